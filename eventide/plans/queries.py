@@ -849,7 +849,10 @@ def _(spark, d):
     results = Q.stamp_results(Q.check_zero_sum(cash), "run-1", LOAD_TS)
     sinks.write_dq_results(results, paths.table("dq_results"))
     _, _, exported = P.publish_dates(spark, paths)
-    return spark.read.option("header", True).csv(exported).select("position_id", "long_value", "short_value", "net_value", "dt")
+    layout = schema("position_id string, ticker string, participant_code string, position_date string, long_value string, "
+                    "short_value string, net_value string, dw_load_dt string, dw_source string, dt date")
+    return spark.read.schema(layout).option("header", True).csv(exported).select(
+        "position_id", "long_value", "short_value", "net_value", "dt")
 
 
 @query("j11_run_d1")

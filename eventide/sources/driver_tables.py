@@ -116,7 +116,8 @@ def src_trade_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src_drvt_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source-layer derivative positions: one per part; a part of size 50 has no price."""
+    """Source-layer derivative positions: one per part. In the first third of the
+    month a part of size 50 has no price."""
     p = table(spark, sf_dir, "part")
     size = F.col("p_size").cast("decimal(15,0)")
     long_q = F.when(F.col("p_partkey") % 2 == 0, size).otherwise(F.lit(0).cast("decimal(15,0)"))
@@ -129,18 +130,19 @@ def src_drvt_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_brand").alias("instrument_code"),
         (long_q - short_q).cast("decimal(15,0)").alias("net_quantity"),
         long_q.alias("long_quantity"), short_q.alias("short_quantity"),
-        F.when(F.col("p_size") != 50, F.col("p_retailprice").cast("decimal(22,6)")).alias("market_value"),
+        F.when((F.col("p_size") != 50) | (F.col("p_partkey") % 30 >= 10), F.col("p_retailprice").cast("decimal(22,6)")).alias("market_value"),
         day.alias("business_date"),
     )
 
 
 def src_cash_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source-layer cash positions: customer balances, zero for one segment's
-    every seventh customer and missing for every eleventh."""
+    """Source-layer cash positions: signed customer balances. In the first half of
+    the month every seventh one is zero and every eleventh one is missing."""
     c = table(spark, sf_dir, "customer")
     balance = F.col("c_acctbal").cast("decimal(22,6)")
-    value = F.when(F.col("c_custkey") % 11 == 0, F.lit(None)).when(
-        F.col("c_custkey") % 7 == 0, F.lit(0).cast("decimal(22,6)")
+    early = F.col("c_custkey") % 30 < 15
+    value = F.when(early & (F.col("c_custkey") % 11 == 0), F.lit(None)).when(
+        early & (F.col("c_custkey") % 7 == 0), F.lit(0).cast("decimal(22,6)")
     ).otherwise(F.when(F.col("c_custkey") % 2 == 0, balance).otherwise(-balance))
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 30).cast("int"))
     return c.select(
