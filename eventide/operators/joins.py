@@ -43,12 +43,15 @@ def left_join_spread(
     (the right side of a left join must arrive whole), so its rows are salted
     and the few left rows that match are replicated per salt. Exact copies on
     the right collapse to one counted row before the shuffle.
+
+    Both sides are facts that grow with the data, so the join is always a merge
+    join: nothing is broadcast on the strength of a size estimate.
     """
     hot = hot_keys(right, key) if hot is None else hot
     if not hot:
-        return left.join(right, key, "left")
+        return left.join(right.hint("merge"), key, "left")
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    cold = left.filter(~is_hot).join(right.filter(~is_hot), key, "left")
+    cold = left.filter(~is_hot).join(right.filter(~is_hot).hint("merge"), key, "left")
 
     counted = right.filter(is_hot).groupBy(*right.columns).agg(F.count(F.lit(1)).alias("_copies"))
     present = [F.col(c) for c in right.columns]
@@ -83,4 +86,4 @@ def rows_not_in(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFram
 def cross_count(a: DataFrame, b: DataFrame) -> DataFrame:
     """Size of the cross product of two inputs, without building it."""
     total = b.agg(F.count(F.lit(1)).alias("n"))
-    return a.agg((F.count(F.lit(1)) * F.first(total.scalar())).alias("cnt"))
+    return a.agg(F.count(F.lit(1)).alias("cnt")).select((F.col("cnt") * total.scalar()).alias("cnt"))

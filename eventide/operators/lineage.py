@@ -96,7 +96,7 @@ def impact(edges: DataFrame, dataset: str, direction: str = "downstream", namesp
     spark = edges.sparkSession
     source, sink = ("input", "output") if direction == "downstream" else ("output", "input")
     node = ["namespace", "name"]
-    kept = materialise(edges.select("job", "direction", *node).distinct(), "lineage-edges")
+    kept, _ = materialise(edges.select("job", "direction", *node).distinct(), "lineage-edges")
     into = kept.filter(F.col("direction") == source).select("job", *node)
     out = kept.filter(F.col("direction") == sink).select("job", *node)
     start = kept.filter(F.col("name") == dataset)
@@ -109,8 +109,8 @@ def impact(edges: DataFrame, dataset: str, direction: str = "downstream", namesp
         jobs = into.join(frontier.select(*node), node, "left_semi").select("job").distinct()
         reached = out.join(jobs, "job", "left_semi").select(*node).distinct()
         fresh = reached.join(found.select(*node), node, "left_anti").withColumn("depth", F.lit(depth))
-        frontier = materialise(fresh, f"lineage-level-{depth}")
-        if frontier.isEmpty():
+        frontier, size = materialise(fresh, f"lineage-level-{depth}")
+        if size == 0:
             break
         found = found.unionByName(frontier)
     return found.filter("depth > 0")

@@ -23,7 +23,7 @@ from ..schemas import (
     ROW_COUNT_TOLERANCE,
     Contract,
 )
-from ..sources.sinks import violations
+from ..sources.sinks import rule_predicates
 from .recon import row_count_parity
 
 RESULT_COLUMNS = [
@@ -352,11 +352,14 @@ def quality_table(close: DataFrame, trades: DataFrame, recon: DataFrame, checked
     """Five checks with failures, total, pass flag and pass rate. Each input is
     aggregated once, and its counts are unfolded to rows."""
     c = close.agg(F.count_if(F.col("closing_price").isNull()).alias("f"), F.count(F.lit(1)).alias("t"))
-    ids = rows_minus_distinct(trades, "trade_id")
-    t = trades.agg(
-        F.count_if(F.col("price") <= 0).alias("p"), F.count_if(F.col("quantity") <= 0).alias("q"),
-        F.count(F.lit(1)).alias("t"),
-    ).withColumn("u", ids.scalar())
+    per_id = trades.groupBy("trade_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("price") <= 0).alias("p"), F.count_if(F.col("quantity") <= 0).alias("q"),
+    )
+    extra = F.col("n") - F.when(F.col("trade_id").isNull(), 0).otherwise(1)
+    t = per_id.agg(*[
+        F.coalesce(F.sum(c), F.lit(0)).alias(name)
+        for name, c in (("u", extra), ("p", F.col("p")), ("q", F.col("q")), ("t", F.col("n")))
+    ])
     r = recon.agg(F.count_if(F.col("recon_status") == "MISSING_INSTRUCTION").alias("f"), F.count(F.lit(1)).alias("t"))
 
     def row(kind: str, name: str, failures: str, total: str) -> Column:
@@ -419,9 +422,10 @@ def run_sql(spark: SparkSession, query: str, business_date: str) -> DataFrame:
 def expect_sql(spark: SparkSession, query: str, check: str | None, value, business_date: str) -> DataFrame:
     """One result row for a user query: row count, three sample rows, verdict."""
     rows = run_sql(spark, query, business_date)
-    count = rows.agg(F.count(F.lit(1)).alias("row_count"))
-    sample = rows.limit(3).agg(F.collect_list(F.to_json(F.struct("*"))).alias("s"))
-    cell = rows.limit(1).agg(F.first(F.col(f"`{rows.columns[0]}`").cast("string")).alias("v"))
+    first_cell = F.col(f"`{rows.columns[0]}`").cast("string")
+    head = rows.limit(3).agg(
+        F.collect_list(F.struct(F.to_json(F.struct("*")).alias("row"), first_cell.alias("cell"))).alias("h")
+    )
     n = F.col("row_count")
     if check == "count_gt":
         ok, error = n > int(value), _say("DQ check failed: row_count=", n, f", expected > {value}")
@@ -435,7 +439,10 @@ def expect_sql(spark: SparkSession, query: str, check: str | None, value, busine
         ok, error = F.lit(True), F.lit(None).cast("string")
     else:
         raise ValueError(f"unknown check: {check}")
-    base = count.select("row_count", sample.scalar().alias("sample"), cell.scalar().alias("first_cell"))
+    # ``get`` is NULL beyond the end, so an empty result has no first cell.
+    base = rows.agg(F.count(F.lit(1)).alias("row_count")).withColumn("_h", head.scalar()).select(
+        "row_count", F.transform("_h", lambda r: r["row"]).alias("sample"), F.get("_h", F.lit(0))["cell"].alias("first_cell")
+    )
     return base.select(
         F.when(ok, "success").otherwise("failed").alias("status"), "row_count", "sample",
         F.when(~ok, error).alias("error"),
@@ -446,23 +453,11 @@ def expect_sql(spark: SparkSession, query: str, check: str | None, value, busine
 def check_contract(df: DataFrame, contract: Contract) -> DataFrame:
     """Number of rows breaking each rule of a contract, in one aggregation; the
     unique key adds one grouped count."""
-    rules = []
-    for c in contract.columns:
-        if c.required:
-            rules.append(f"{c.name}:not_null")
-        if c.max_length is not None:
-            rules.append(f"{c.name}:length")
-        if c.domain is not None:
-            rules.append(f"{c.name}:domain")
-        if c.type != "string":
-            rules.append(f"{c.name}:type")
-    broken = violations(df, contract)
-    counts = df.select(broken.alias("_broken")).agg(
-        *[F.count_if(F.array_contains("_broken", r)).alias(f"r{i}") for i, r in enumerate(rules)]
-    )
+    rules = rule_predicates(contract)
+    counts = df.agg(*[F.count_if(broken).alias(f"r{i}") for i, (_, broken) in enumerate(rules)])
     out = counts.select(
         F.explode(F.array(*[
-            F.struct(F.lit(r).alias("rule"), F.col(f"r{i}").alias("failures")) for i, r in enumerate(rules)
+            F.struct(F.lit(name).alias("rule"), F.col(f"r{i}").alias("failures")) for i, (name, _) in enumerate(rules)
         ])).alias("r")
     ).select("r.*")
     if contract.unique_key:

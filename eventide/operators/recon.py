@@ -22,8 +22,14 @@ def _notional() -> Column:
 
 
 def _last_price() -> Column:
-    """Price of the latest trade; equal times are settled by trade id, then price."""
-    return F.max_by("price", F.struct("trade_time", "trade_id", "price"))
+    """Price of the latest trade; equal times are settled by the higher price.
+
+    Time and price are packed into one decimal, because an ordering of fixed
+    width keeps the aggregation hash-based; a struct would sort every input.
+    """
+    time = F.unix_micros(F.col("trade_time").cast("timestamp")).cast("decimal(18,0)")
+    order = (time * F.lit(10**14).cast("decimal(15,0)")).cast("decimal(34,4)") + F.coalesce("price", F.lit(0).cast("decimal(18,4)"))
+    return F.max_by("price", order)
 
 
 def _stats() -> list[Column]:
@@ -253,7 +259,7 @@ def settlement_report_from_raw(trades: DataFrame, instructions: DataFrame, gener
     notional = _notional()
     out = (
         trades.select("trade_id", "business_date", "price", "quantity")
-        .join(per_id, "trade_id", "left")
+        .join(per_id.hint("merge"), "trade_id", "left")
         .groupBy("business_date")
         .agg(
             F.sum(copies).alias("total_trades"),

@@ -74,7 +74,7 @@ RECON = f"""{TRADES}, {INSTR}, recon AS (
 
 CLOSE = f"""{TRADES}, last_trade AS (
   SELECT ticker, business_date, p4 AS c4 FROM trades QUALIFY row_number() OVER (
-    PARTITION BY ticker, business_date ORDER BY trade_time DESC, trade_id DESC, p4 DESC) = 1),
+    PARTITION BY ticker, business_date ORDER BY trade_time DESC, p4 DESC) = 1),
 stats AS (
   SELECT ticker, business_date, count(*) AS trade_count, sum(quantity) AS daily_volume, sum(n4) AS n4
   FROM trades GROUP BY ticker, business_date),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import add_audit, for_date
@@ -36,6 +36,7 @@ from ..sources.sinks import (
     replace_slice,
     replace_slices,
     split_valid,
+    violations,
     write_csv,
     write_dq_results,
 )
@@ -67,24 +68,33 @@ HASH_KEYS = {
 
 
 def _load(mapped: DataFrame, contract: Contract, paths: Paths, generation: str, source: str,
-          business_date: str | None, load_ts) -> dict[str, int]:
-    """Conform, audit and store mapped rows; rejected rows go to a side table."""
+          business_date: str | None, load_ts, flags: dict[str, Column] | None = None) -> dict[str, int]:
+    """Conform, audit and store mapped rows; rejected rows go to a side table.
+
+    Rows read, rejected and flagged are counted while the good rows are written.
+    The source is read again only when there is something to reject.
+    """
     table = contract.table
     day = DATE_COLUMN[table]
     if business_date is not None:
         mapped = for_date(mapped, day, business_date)
-    good, rejects = split_valid(mapped, contract)
+    _, rejects = split_valid(mapped, contract)
+    seen = Observation()
+    bad = F.size(violations(contract)) > 0
+    counted = mapped.observe(
+        seen, F.count(F.lit(1)).alias("rows_read"), F.count_if(bad).alias("rows_rejected"),
+        *[F.count_if(~bad & c).alias(n) for n, c in (flags or {}).items()],
+    )
+    good, _ = split_valid(counted, contract)
     good = add_audit(good, source, HASH_KEYS[(table, generation)], load_ts)
-    written, rejected = Observation(), Observation()
-    good = good.observe(written, F.count(F.lit(1)).alias("n"))
-    rejects = rejects.observe(rejected, F.count(F.lit(1)).alias("n"))
     if business_date is None:
         replace_slices(good, paths.table(table), day)
     else:
         replace_slice(good, paths.table(table), day, business_date)
-    rejects.write.mode("overwrite").parquet(paths.table(f"{table}_rejects"))
-    out = {"rows_written": int(written.get["n"]), "rows_rejected": int(rejected.get["n"])}
-    out["rows_read"] = out["rows_written"] + out["rows_rejected"]
+    out = {k: int(v) for k, v in seen.get.items()}
+    out["rows_written"] = out["rows_read"] - out["rows_rejected"]
+    if out["rows_rejected"]:
+        rejects.write.mode("overwrite").parquet(paths.table(f"{table}_rejects"))
     return out
 
 
@@ -95,8 +105,8 @@ def load_trades(source: DataFrame, paths: Paths, business_date: str | None = Non
     mapped = map_trades_g1(source) if generation == "g1" else map_trades_g2(source, business_date)
     out = _load(mapped, TRADE_MOVEMENTS_CONTRACT, paths, generation, label, business_date, load_ts)
     stored = read_table(source.sparkSession, paths, "dw_trade_movements", business_date)
-    out["duplicates"] = int(Q.excess_duplicates(stored, "trade_id", ["trade_dt"]).agg(
-        F.coalesce(F.sum("duplicates"), F.lit(0)).alias("n")).first()["n"])
+    extra = Q.excess_duplicates(stored, "trade_id", ["trade_dt"]).agg(F.coalesce(F.sum("duplicates"), F.lit(0)))
+    out["duplicates"] = int(extra.first()[0])
     return out
 
 
@@ -105,19 +115,16 @@ def load_positions(drvt: DataFrame, cash: DataFrame, paths: Paths, business_date
     """Load both position tables; missing prices and zero sums are counted."""
     g1 = generation == "g1"
     d = _load(map_drvt_positions(drvt) if g1 else map_drvt_rows(drvt, zero_as_null=True),
-              DRVT_POSITIONS_CONTRACT, paths, generation, label, business_date, load_ts)
+              DRVT_POSITIONS_CONTRACT, paths, generation, label, business_date, load_ts,
+              {"nulls_found": F.col("settlement_price").isNull()})
     c = _load(map_cash_positions(cash) if g1 else map_cash_rows(cash),
-              CASH_POSITIONS_CONTRACT, paths, generation, label, business_date, load_ts)
-    spark = drvt.sparkSession
-    nulls = read_table(spark, paths, "dw_drvt_positions", business_date).agg(
-        F.count_if(F.col("settlement_price").isNull()).alias("n")).first()["n"]
-    zeros = read_table(spark, paths, "dw_cash_positions", business_date).agg(
-        F.count_if(F.col("long_value") + F.col("short_value") == 0).alias("n")).first()["n"]
+              CASH_POSITIONS_CONTRACT, paths, generation, label, business_date, load_ts,
+              {"zero_sum_found": F.col("long_value") + F.col("short_value") == 0})
     return {
         "drvt_rows_read": d["rows_read"], "drvt_rows_written": d["rows_written"],
         "cash_rows_read": c["rows_read"], "cash_rows_written": c["rows_written"],
         "rows_rejected": d["rows_rejected"] + c["rows_rejected"],
-        "nulls_found": int(nulls), "zero_sum_found": int(zeros),
+        "nulls_found": d["nulls_found"], "zero_sum_found": c["zero_sum_found"],
     }
 
 

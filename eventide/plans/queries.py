@@ -64,7 +64,7 @@ def query(name: str):
 
 # --- shared inputs ----------------------------------------------------------
 def close(spark, d):
-    return R.close_prices(V.raw_trades(spark, d, "trade_id", "ticker", "trade_time", "price", "quantity", "business_date"))
+    return R.close_prices(V.raw_trades(spark, d, "ticker", "trade_time", "price", "quantity", "business_date"))
 
 
 def recon(spark, d):
@@ -228,7 +228,7 @@ def _(spark, d):
 
 @query("a15_upsert")
 def _(spark, d):
-    trades = V.raw_trades(spark, d, "trade_id", "ticker", "trade_time", "price", "quantity", "business_date")
+    trades = V.raw_trades(spark, d, "ticker", "trade_time", "price", "quantity", "business_date")
     old = R.close_prices(trades.filter(F.col("business_date") < DAY)).select(
         "ticker", "business_date", F.col("closing_price"), "daily_volume", F.round("vwap", 4).alias("vwap"), "auction_flag")
     new = R.close_by_vwap(trades.filter(F.col("business_date") >= "1998-01-01")).withColumn("auction_flag", F.lit(True))
@@ -390,7 +390,7 @@ def _(spark, d):
 
 @query("c10_enrich_trades")
 def _(spark, d):
-    t = V.raw_trades(spark, d, "trade_id", "ticker", "trade_time", "price", "quantity", "business_date")
+    t = V.raw_trades(spark, d, "trade_id", "ticker", "price", "business_date")
     prices = close(spark, d).filter(F.col("business_date") >= "1996-01-01")
     return R.enrich_trades(t, prices).select(
         "trade_id", "ticker", "business_date", "price", "closing_price", "price_vs_close_pct")
@@ -472,7 +472,7 @@ def _(spark, d):
 # --- E: window-shaped -------------------------------------------------------
 @query("e1_last_trade")
 def _(spark, d):
-    return R.last_trade(V.raw_trades(spark, d, "trade_id", "ticker", "trade_time", "price", "business_date"))
+    return R.last_trade(V.raw_trades(spark, d, "ticker", "trade_time", "price", "business_date"))
 
 
 @query("e2_running_counts")
@@ -482,7 +482,7 @@ def _(spark, d):
 
 @query("e3_last_value")
 def _(spark, d):
-    return R.latest_value(V.job_runs(spark, d), ["user_id"], "ts", "output_rows", "event_id")
+    return R.latest_value(V.job_runs(spark, d), ["user_id"], "ts", "output_rows")
 
 
 @query("e4_latest_run")

@@ -38,14 +38,17 @@ def raw_trades(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     if "returnflag" in wanted:
         line = line.withColumn("returnflag", F.col("l_returnflag"))
     nation = table(spark, sf_dir, "nation")
-    if "ticker" in wanted:
-        part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("ticker"))
-        line = line.join(part, "l_partkey")
+    # Orders meet customers before they meet the far larger line items, so the
+    # line items are shuffled once for both.
     if "buyer_participant" in wanted:
         customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
         buyers = _with_nation(customer, nation, "c_nationkey", "buyer_participant")
         orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-        line = line.join(orders, "l_orderkey").join(buyers.select("o_custkey", "buyer_participant"), "o_custkey")
+        bought = orders.join(buyers, "o_custkey").select("l_orderkey", "buyer_participant")
+        line = line.join(bought, "l_orderkey")
+    if "ticker" in wanted:
+        part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("ticker"))
+        line = line.join(part, "l_partkey")
     if "seller_participant" in wanted:
         supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
         sellers = _with_nation(supplier, nation, "s_nationkey", "seller_participant")

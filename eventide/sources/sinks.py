@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,33 +121,33 @@ def insert_missing(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataF
     return target.unionByName(first.select(*target.columns))
 
 
-def violations(df: DataFrame, contract: Contract) -> Column:
-    """Array of the rules a row breaks, as ``column:rule``."""
-    checks = []
+def rule_predicates(contract: Contract) -> list[tuple[str, Column]]:
+    """Every rule of a contract as (``column:rule``, the row breaks it)."""
+    rules = []
     for c in contract.columns:
         value = F.col(c.name)
         if c.required:
-            checks.append((f"{c.name}:not_null", value.isNull()))
+            rules.append((f"{c.name}:not_null", value.isNull()))
         if c.max_length is not None:
-            checks.append((f"{c.name}:length", F.length(value) > c.max_length))
+            rules.append((f"{c.name}:length", F.length(value) > c.max_length))
         if c.domain is not None:
-            checks.append((f"{c.name}:domain", ~value.isin(*c.domain)))
+            rules.append((f"{c.name}:domain", ~value.isin(*c.domain)))
         if c.type != "string":
-            checks.append((f"{c.name}:type", value.isNotNull() & value.try_cast(c.type).isNull()))
-    flags = [F.when(F.coalesce(broken, F.lit(False)), F.lit(name)) for name, broken in checks]
-    return F.array_compact(F.array(*flags))
+            rules.append((f"{c.name}:type", value.isNotNull() & value.try_cast(c.type).isNull()))
+    return rules
+
+
+def violations(contract: Contract) -> Column:
+    """Array of the rules a row breaks."""
+    return F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rule_predicates(contract)]))
 
 
 def split_valid(df: DataFrame, contract: Contract) -> tuple[DataFrame, DataFrame]:
     """Rows that fit the contract, cast to its types, and the rejected rows with
     their reasons. Nothing is dropped: every input row is in one of the two."""
-    checked = df.withColumn("reject_reasons", violations(df, contract))
+    checked = df.withColumn("reject_reasons", violations(contract))
     types = {c.name: c.type for c in contract.columns}
     good = checked.filter(F.size("reject_reasons") == 0).select(
         *[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns]
     )
     return good, checked.filter(F.size("reject_reasons") > 0)
-
-
-def empty_like(spark: SparkSession, df: DataFrame) -> DataFrame:
-    return spark.createDataFrame([], df.schema)
