@@ -393,8 +393,8 @@ def check_timeliness_placeholder(spark: SparkSession, business_date: str) -> Dat
     return spark.range(1).select(
         F.lit(business_date).cast("date").alias("business_date"),
         *_result("timeliness_sla_check", "timeliness", "raw_trades", "info", F.lit(True), "SLA met",
-                 F.lit("SLA met (monitored by controlm-sim)"),
-                 F.lit(f"Timeliness SLA for {business_date} is monitored externally by controlm-sim")),
+                 F.lit("SLA met (monitored externally)"),
+                 F.lit(f"Timeliness SLA for {business_date} is monitored externally")),
     )
 
 

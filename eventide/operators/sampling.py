@@ -112,7 +112,7 @@ def drill_zero_sum(
     spark = df.sparkSession
     # The members and tickers of the added rows.
     parts = F.array(F.lit("PART001"), F.lit("PART002"), F.lit("PART003"))
-    tickers = F.array(F.lit("PETR4"), F.lit("VALE3"), F.lit("B3SA3"))
+    tickers = F.array(F.lit("PETR4"), F.lit("VALE3"), F.lit("ITUB4"))
     i = F.col("id")
     value = (F.lit(1000) + F.conv(F.substring(hash_order("id", seed), 1, 8), 16, 10).cast("long") % 49000)
     made = {

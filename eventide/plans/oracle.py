@@ -579,6 +579,8 @@ CASE WHEN m > 60000000 THEN 'critical' WHEN m > 40000000 THEN 'warning' ELSE 'ok
 FROM (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, {_MEAN} AS m FROM runs GROUP BY 1)"""
 ORACLE["k8_duration_by_job"] = f"""WITH {RUNS} SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, job_name,
 {scaled(_MEAN, 6)} AS avg_duration FROM runs GROUP BY 1, 2, 3"""
+ORACLE["k8_duration_p95"] = f"""WITH {RUNS} SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, job_name,
+{scaled(_MEAN, 6)} AS avg_duration, quantile_disc(duration_seconds, 0.95) AS p_duration FROM runs GROUP BY 1, 2, 3"""
 ORACLE["k9_outcome_by_job"] = f"""WITH {RUNS} SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, job_name,
 count(*) FILTER (status = 'success') AS ended_ok, count(*) FILTER (status = 'failed') AS ended_not_ok FROM runs GROUP BY 1, 2, 3"""
 ORACLE["k10_job_table"] = f"""WITH {RUNS} SELECT job_name, count(*) FILTER (status = 'success') AS ended_ok, count(*) FILTER (status = 'failed') AS ended_not_ok,
