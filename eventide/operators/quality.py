@@ -288,7 +288,7 @@ def check_orphans(instructions: DataFrame, trades: DataFrame, business_date: str
         trades = for_date(trades, "business_date", business_date)
     known = trades.select(*on).distinct().withColumn("_known", F.lit(True))
     per_id = instructions.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    joined = per_id.join(known, on, "left")
+    joined = per_id.join(known.hint("merge"), on, "left")
     orphans = F.coalesce(F.sum(F.when(F.col("_known").isNull(), F.col("_n"))), F.lit(0)).alias("n")
     if business_date is None:
         counts = joined.groupBy("business_date").agg(orphans)

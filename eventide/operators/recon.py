@@ -284,7 +284,7 @@ def _report_columns(counts: DataFrame) -> DataFrame:
 def orphan_instructions(instructions: DataFrame, trades: DataFrame) -> DataFrame:
     """Instructions whose trade id has no trade on the same business date."""
     on = ["trade_id", "business_date"]
-    return instructions.join(trades.select(*on).distinct(), on, "left_anti")
+    return instructions.join(trades.select(*on).distinct().hint("merge"), on, "left_anti")
 
 
 def trades_without_instruction(trades: DataFrame, instructions: DataFrame) -> DataFrame:
@@ -295,7 +295,7 @@ def trades_without_instruction(trades: DataFrame, instructions: DataFrame) -> Da
     per_id = instructions.groupBy("trade_id").agg(
         F.count(F.lit(1)).alias("_all"), F.count("status").alias("_with_status")
     )
-    return trades.join(per_id, "trade_id", "left").withColumn(
+    return trades.join(per_id.hint("merge"), "trade_id", "left").withColumn(
         "missing_rows", F.coalesce(F.col("_all") - F.col("_with_status"), F.lit(1))
     ).drop("_all", "_with_status").filter("missing_rows > 0")
 
