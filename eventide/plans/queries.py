@@ -16,11 +16,8 @@ from pyspark.sql import types as T
 from ..functions import scalars as S
 from ..operators import joins, lineage as L, mapping as M, quality as Q, recon as R, sampling as D, telemetry as K
 from ..schemas import (
-    CASH_POSITIONS_CONTRACT,
     CLOSE_PRICES_CONTRACT,
-    DRVT_POSITIONS_CONTRACT,
     EXPORT_COLUMNS,
-    JOB_LOG,
     RAW_SETTLEMENTS_CONTRACT,
     RAW_TRADES_CONTRACT,
     RUN_HISTORY,

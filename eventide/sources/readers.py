@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterable, Mapping
-from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +14,10 @@ from ..schemas import JOB_LOG, RUN_HISTORY, schema
 # URL pattern, driver class and environment names per database.
 JDBC = {
     "oracle": ("jdbc:oracle:thin:@//{host}:{port}/{database}", "oracle.jdbc.OracleDriver",
-               "ORACLE", "oracle", "1521", "SERVICE", "XEPDB1", "demopoc"),
+               "ORACLE", "oracle", "1521", "SERVICE", "XEPDB1", "market"),
     "sqlserver": ("jdbc:sqlserver://{host}:{port};databaseName={database};encrypt=true;trustServerCertificate=true",
                   "com.microsoft.sqlserver.jdbc.SQLServerDriver",
-                  "SQLSERVER", "sqlserver", "1433", "DATABASE", "demopoc", "sa"),
+                  "SQLSERVER", "sqlserver", "1433", "DATABASE", "market", "sa"),
     "mysql": ("jdbc:mysql://{host}:{port}/{database}", "com.mysql.cj.jdbc.Driver",
               "MYSQL", "mysql", "3306", "DATABASE", "exchange", "root"),
     "postgres": ("jdbc:postgresql://{host}:{port}/{database}", "org.postgresql.Driver",
@@ -98,10 +97,6 @@ def first_available(loaders: Iterable[tuple[str, Callable[[], DataFrame]]]) -> D
     raise RuntimeError("no source available (" + "; ".join(failures) + ")")
 
 
-def business_dates(start: date, end: date) -> list[str]:
-    return [(start + timedelta(days=i)).isoformat() for i in range((end - start).days + 1)]
-
-
 def read_run_history(spark: SparkSession, path: str) -> DataFrame:
     """Run records, one JSON object per line; blank and broken lines are skipped."""
     return spark.read.schema(schema(RUN_HISTORY)).option("mode", "DROPMALFORMED").json(path)
