@@ -32,7 +32,12 @@ def sketch(text: Column, k: int = SIZE, words: int = SHINGLE) -> Column:
     """Bottom-k sketch of ``text``: an ascending array of at most ``k`` hashes."""
     tokens = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
     hashed = F.transform(tokens, lambda w: F.xxhash64(w))
-    return F.transform(F.array(hashed), lambda h: _bottom(_shingles(h, words), k)).getItem(0)
+    return _let(hashed, lambda h: _bottom(_shingles(h, words), k))
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), use).getItem(0)
 
 
 def _shingles(h: Column, words: int) -> Column:
@@ -67,9 +72,11 @@ def merge_by(df: DataFrame, keys: list[str], column: str, k: int = SIZE, salts:
 
 def resemblance(a: Column, b: Column, k: int = SIZE) -> Column:
     """Estimated share of common shingles among all, 0 to 1."""
-    least = merge(a, b, k)
-    both = F.size(F.array_intersect(F.array_intersect(least, a), b))
-    return F.when(F.size(least) == 0, F.lit(1.0)).otherwise(both / F.size(least).cast("double"))
+    def share(least: Column) -> Column:
+        both = F.size(F.array_intersect(F.array_intersect(least, a), b))
+        return F.when(F.size(least) == 0, F.lit(1.0)).otherwise(both / F.size(least).cast("double"))
+
+    return _let(merge(a, b, k), share)
 
 
 def distinct_count(a: Column, k: int = SIZE) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, line_dedup
-from .common import table
+from . import chat, fingerprint, line_dedup, quality
+from .common import fold, table
 
 MARKER_CASE = "\\### Assistant: </turn> ok"
 
@@ -40,13 +40,29 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint.as_text(own).alias("fingerprint"), fingerprint.as_text(edited).alias("edited_fingerprint"),
         fingerprint.resemblance(own, edited).alias("near_edited"),
-        fingerprint.resemblance(own, F.col("next_sketch")).alias("near_next"),
-        fingerprint.containment(own, edited).alias("contained_in_edited"),
-        fingerprint.distinct_count(own).alias("distinct_shingles"))
+        fingerprint.resemblance(own, F.col("next_sketch")).alias("near_next"))
+
+
+QUALITY_CUT = 0.7
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
+    """Fitted on the labelled rows of ``docs`` outside the held-out fold."""
+    labels = quality.quality_labels(table(spark, sf_dir, "labels"), fold("doc_id", 4) == 2)
+    return quality.fit(docs.select("doc_id", "text"), labels)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    score = quality.scorer(quality_model(spark, docs, sf_dir))
+    return docs.select(
+        "doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), score("text").alias("score"),
+    ).withColumn("predicted", (F.col("score") >= QUALITY_CUT).cast("int"))
 
 
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_chat_format": op4_chat_format,
     "op6_fingerprints": op6_fingerprints,
+    "op10_quality": op10_quality,
 }
