@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, line_dedup, quality
+from . import chat, fingerprint, line_dedup, packing, quality, toxicity
 from .common import fold, table
 
 MARKER_CASE = "\\### Assistant: </turn> ok"
@@ -43,6 +43,19 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprint.resemblance(own, F.col("next_sketch")).alias("near_next"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).filter(fold("doc_id", 5) != 0)
+    score = toxicity.scorer(toxicity.fit(docs, labels))
+    return docs.select(
+        "doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), score("text").alias("score"),
+    ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUALITY_CUT = 0.7
 
 
@@ -64,5 +77,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_chat_format": op4_chat_format,
     "op6_fingerprints": op6_fingerprints,
+    "op7_toxicity": op7_toxicity,
+    "op8_packing": op8_packing,
     "op10_quality": op10_quality,
 }
