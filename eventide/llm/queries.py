@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, line_dedup, packing, quality, toxicity
+from . import chat, fingerprint, html_crf, line_dedup, packing, quality, toxicity
 from .common import fold, table
 
 MARKER_CASE = "\\### Assistant: </turn> ok"
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    text = html_crf.extractor(html_crf.fit(pages))
+    return pages.select("page_id", "url", text("html").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = line_dedup.with_bitmaps(docs, line_dedup.keep_bitmaps(docs))
@@ -74,6 +80,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op3_line_dedup": op3_line_dedup,
     "op4_chat_format": op4_chat_format,
     "op6_fingerprints": op6_fingerprints,
