@@ -104,8 +104,9 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         _first_documents, "kind byte, h1 long, h2 long, _id long, _th long, pos int"), "lines")
     # A hash that spans ranges has an entry for each of them: its owner is the smallest.
     owners = found.filter("kind = 2").groupBy("h1", "h2").agg(F.min("_id").alias("owner"))
+    # At most two rows per range, so the table is bounded by the number of partitions.
     settled = (
-        found.filter("kind = 1").join(owners, ["h1", "h2"]).filter("_id != owner").select("_id", "_th", "pos")
+        found.filter("kind = 1").join(F.broadcast(owners), ["h1", "h2"]).filter("_id != owner").select("_id", "_th", "pos")
     )
     return found.filter("kind = 0").select("_id", "_th", "pos").unionByName(settled)
 
