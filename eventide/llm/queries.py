@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, html_crf, line_dedup, packing, quality, toxicity
+from . import chat, embedding_dedup, fingerprint, html_crf, line_dedup, mixing, packing, quality, toxicity
 from .common import fold, table
 
 MARKER_CASE = "\\### Assistant: </turn> ok"
@@ -17,6 +17,10 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", text("html").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = line_dedup.with_bitmaps(docs, line_dedup.keep_bitmaps(docs))
@@ -62,6 +66,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.place(docs).select(
+        "row.doc_id", "row.source", "block", "in_block", "slot", "release", "deadline")
+
+
 QUALITY_CUT = 0.7
 
 
@@ -81,10 +91,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html_text": op1_html_text,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_chat_format": op4_chat_format,
     "op6_fingerprints": op6_fingerprints,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
+    "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
 }
