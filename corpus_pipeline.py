@@ -6,14 +6,14 @@ it reads back, so a lost executor never costs more than the stage at hand.
 
 All stages take null columns, empty texts, repeated rows, empty tables and extra
 columns as their operators document; every stage but the last returns the columns
-it was given.
+it was given, the last one the pieces of training sequences.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventide.llm import line_dedup, quality
+from eventide.llm import line_dedup, minhash_dedup, mixing, packing, quality
 from eventide.llm.common import land, table
 from eventide.llm.queries import QUALITY_CUT, quality_model
 
@@ -33,9 +33,27 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates."""
+    return minhash_dedup.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lays the documents out in mix order; packing reads them in that order."""
+    return mixing.in_order(mixing.place(docs), docs.columns)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences."""
+    return packing.pack(docs)
+
+
 STAGES = [
     ("quality", quality_filter),
     ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack_windows),
 ]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, fingerprint, html_crf, line_dedup, mixing, packing, quality, toxicity
+from . import chat, embedding_dedup, fingerprint, html_crf, line_dedup, minhash_dedup, mixing, packing, quality, toxicity
 from .common import fold, table
 
 MARKER_CASE = "\\### Assistant: </turn> ok"
@@ -43,6 +43,11 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"), "valid", "bad_turn")
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return minhash_dedup.mark(docs, ["doc_id"]).select("row.doc_id", "representative", "kept")
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprint.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
     own, edited = F.col("sketch"), F.col("edited_sketch")
@@ -94,6 +99,7 @@ QUERIES = {
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_chat_format": op4_chat_format,
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op6_fingerprints": op6_fingerprints,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
