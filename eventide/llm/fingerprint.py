@@ -96,12 +96,15 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def with_next(rows: DataFrame, columns: list[str], id_column: str = "doc_id", tie: str = "text") -> DataFrame:
-    """``rows`` with the struct ``next`` holding ``columns`` of the following row.
+def with_next(rows: DataFrame, columns: list[str], derived: dict | None = None, id_column: str = "doc_id",
+              tie: str = "text") -> DataFrame:
+    """``rows`` with ``next_<c>`` of the following row for every ``c`` in ``columns``.
 
     Rows are dealt into ranges of ids (quantiles, one per shuffle partition); each
     range also gets a copy of the row that comes after its end, so no row has to
     look across tasks. Only the quantiles and one id per range reach the driver.
+    ``derived`` names columns to compute after the rows are dealt, from a function of
+    the row's columns: they need not travel.
     """
     spark = rows.sparkSession
     n = max(1, partitions(spark))
@@ -109,50 +112,52 @@ def with_next(rows: DataFrame, columns: list[str], id_column: str = "doc_id", ti
     ids = rows.select(ident.alias("_id"))
     cuts = ids.agg(F.percentile_approx("_id", [i / n for i in range(1, n)], 10_000).alias("c")).first()["c"] if n > 1 else []
     cuts = sorted(set(cuts or []))
-    bucket = F.lit(0)
-    for_bucket = lambda c: F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda q: q < c)) if cuts else bucket
-    heads = ids.select("_id", for_bucket(F.col("_id")).alias("_b")).groupBy("_b").agg(F.max("_id").alias("top")).collect()
+
+    def bucket(value: Column) -> Column:
+        if not cuts:
+            return F.lit(0)
+        return F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda q: q < value))
+
+    heads = ids.select("_id", bucket(F.col("_id")).alias("_b")).groupBy("_b").agg(F.max("_id").alias("top")).collect()
     tops = {r["_b"]: r["top"] for r in heads}
     order = sorted(tops, reverse=True)  # buckets from the largest ids down
     after = {b: tops[order[(i + 1) % len(order)]] for i, b in enumerate(order)}
 
-    keyed = rows.select(F.struct("*").alias("row"), ident.alias("_id"), for_bucket(ident).alias("_b"), F.lit(False).alias("_copy"))
-    firsts = rows.select(F.struct("*").alias("row"), ident.alias("_id")).filter(F.col("_id").isin(list(tops.values())))
-    one = W.partitionBy("_id").orderBy(F.col("row").getField(tie))
-    firsts = firsts.withColumn("_r", F.row_number().over(one)).filter("_r = 1")
+    # Numbered names keep any column of ``rows`` from clashing with the helpers.
+    names = {c: f"c{i}" for i, c in enumerate(rows.columns)}
+    plain = rows.select(*[F.col(c).alias(x) for c, x in names.items()], ident.alias("_id"))
+    keyed = plain.withColumns({"_b": bucket(F.col("_id")), "_copy": F.lit(False)})
+    firsts = plain.filter(F.col("_id").isin(list(tops.values()))).withColumn(
+        "_r", F.row_number().over(W.partitionBy("_id").orderBy(names[tie]))).filter("_r = 1").drop("_r")
+    pairs = F.array(*[F.struct(F.lit(top).alias("id"), F.lit(b).alias("b")) for b, top in after.items()])
     if after:
-        pairs = F.array(*[F.struct(F.lit(top).alias("id"), F.lit(b).alias("b")) for b, top in after.items()])
         firsts = firsts.withColumn("_p", F.explode(F.filter(pairs, lambda p: p["id"] == F.col("_id"))))
-        firsts = firsts.select("row", "_id", F.col("_p.b").alias("_b"), F.lit(True).alias("_copy"))
+        firsts = firsts.withColumns({"_b": F.col("_p.b"), "_copy": F.lit(True)}).drop("_p")
     else:
-        firsts = firsts.select("row", "_id", F.lit(0).alias("_b"), F.lit(True).alias("_copy"))
-    follow = W.partitionBy("_b").orderBy("_copy", F.desc("_id"), F.col("row").getField(tie))
-    chosen = F.struct(*[F.col("row").getField(c).alias(c) for c in columns])
-    return (
-        keyed.unionByName(firsts).withColumn("next", F.lead(chosen).over(follow)).filter(~F.col("_copy"))
-        .select("row.*", "next")
-    )
-
-
-def fingerprints(docs: DataFrame, k: int = SIZE) -> DataFrame:
-    """``doc_id, text, n_chars, sketch`` of every document (null text: empty)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", text.alias("text")).withColumns(
-        {"n_chars": F.length("text").cast("long"), "sketch": sketch(F.col("text"), k)})
+        firsts = firsts.withColumns({"_b": F.lit(0), "_copy": F.lit(True)})
+    dealt = keyed.unionByName(firsts).repartition("_b")
+    for name, make in (derived or {}).items():
+        names[name] = f"c{len(names)}"
+        dealt = dealt.withColumn(names[name], make(lambda c: F.col(names[c])))
+    follow = W.partitionBy("_b").orderBy("_copy", F.desc("_id"), names[tie])
+    return dealt.select(
+        "_copy", *[F.col(x).alias(c) for c, x in names.items()],
+        *[F.lead(names[c]).over(follow).alias(f"next_{c}") for c in columns]).filter(~F.col("_copy")).drop("_copy")
 
 
 def edited_fingerprints(docs: DataFrame, k: int = SIZE) -> DataFrame:
-    """Each document beside itself with its end replaced by the next document's start.
+    """Each document's sketch beside that of its text with the end replaced by the next document's start.
 
     The last floor(n/2) code points give way to as many of the next text (all of
     it if it is shorter).
     """
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = with_next(rows, ["text", "sketch"], {"sketch": lambda c: sketch(c("text"), k)})
+    rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    rows = with_next(fingerprints(docs, k), ["text", "sketch"])
     edited = F.concat(
         F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half),
-        F.substring(F.col("next.text"), F.lit(1), half))
+        F.substring("next_text", F.lit(1), half))
     rows = rows.withColumn("edited", edited)
     return rows.select(
-        "doc_id", "n_chars", "sketch", "edited", F.col("next.sketch").alias("next_sketch"),
-        sketch(F.col("edited"), k).alias("edited_sketch"))
+        "doc_id", "n_chars", "sketch", "edited", "next_sketch", sketch(F.col("edited"), k).alias("edited_sketch"))
