@@ -5,82 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import plan_bytes
+_KEY = "_join_key"
 
-# Below this plan size no task can receive more than a fair load, so looking
-# for hot keys is not worth a scan.
-SMALL_PLAN_BYTES = 1 << 30
-# A key of at least this many rows is spread over ``SALTS`` tasks.
-HOT_ROWS = 1_000_000
-SALTS = 64
-# At most this many keys are tracked; the sketch and its result stay this size.
-TRACKED_KEYS = 64
 
+def split_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str) -> DataFrame:
+    """A merge join whose sides always arrive by a shuffle of their own.
 
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS, small_bytes: int = SMALL_PLAN_BYTES) -> list:
-    """Keys of ``df`` that hold ``hot_rows`` rows or more.
-
-    One mergeable sketch per task, no shuffle of the data; the list is bounded
-    by ``TRACKED_KEYS``. It only steers the physical layout: a missed or extra
-    key costs balance, never rows.
+    AQE splits a hot key only where a plain shuffle lies under the join; a side
+    that was just aggregated by the key has none. The join therefore also compares
+    a hash of the key, which no earlier partitioning covers. A hot key is split on
+    the left for left, semi and anti joins, and on either side for inner joins.
     """
-    size = plan_bytes(df)
-    if size is not None and size < small_bytes:
-        return []
-    sketch = df.select(F.col(key)).agg(
-        F.expr(f"approx_top_k({key}, {TRACKED_KEYS}, 10000)").alias("top")
-    )
-    rows = sketch.select(F.explode("top").alias("t")).select("t.item", "t.count").collect()
-    return [r["item"] for r in rows if r["item"] is not None and r["count"] >= hot_rows]
+    on = [on] if isinstance(on, str) else on
+    keyed = [df.withColumn(_KEY, F.xxhash64(*on)) for df in (left, right)]
+    return keyed[0].join(keyed[1].hint("merge"), [_KEY, *on], how).drop(_KEY)
 
 
-def left_join_spread(
-    left: DataFrame, right: DataFrame, key: str, hot: list | None = None, salts: int = SALTS
-) -> DataFrame:
+def left_join_spread(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """``left LEFT JOIN right USING (key)`` where ``right`` may repeat a key.
 
-    A hot key on the left is split by AQE. A hot key on the right cannot be
-    (the right side of a left join must arrive whole), so its rows are salted
-    and the few left rows that match are replicated per salt. Exact copies on
-    the right collapse to one counted row before the shuffle.
-
-    Both sides are facts that grow with the data, so the join is always a merge
-    join: nothing is broadcast on the strength of a size estimate.
+    The right side of a left join must arrive whole, so a hot key there could not be
+    split. Matches come from an inner join, which AQE splits on both sides, and the
+    rows without a match from an anti join against the keys, one row each.
     """
-    hot = hot_keys(right, key) if hot is None else hot
-    if not hot:
-        return left.join(right.hint("merge"), key, "left")
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    cold = left.filter(~is_hot).join(right.filter(~is_hot).hint("merge"), key, "left")
-
-    counted = right.filter(is_hot).groupBy(*right.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    present = [F.col(c) for c in right.columns]
-    spread = counted.withColumn("_salt", F.pmod(F.xxhash64(*present), F.lit(salts)).cast("int"))
-    replicas = left.filter(is_hot).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    matched = (
-        replicas.join(spread, [key, "_salt"])
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-        .drop("_salt", "_copies", "_copy")
-    )
-    # Left rows whose key was listed as hot but is absent on the right.
-    unmatched = left.filter(is_hot).join(right.filter(is_hot).select(key).distinct(), key, "left_anti")
-    missing = [f.name for f in right.schema if f.name != key]
-    unmatched = unmatched.select(
-        "*", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in missing]
-    )
-    return cold.unionByName(matched).unionByName(unmatched)
+    matched = split_join(left, right, key, "inner")
+    unmatched = split_join(left, right.select(key).distinct(), key, "left_anti")
+    missing = [f for f in right.schema if f.name != key]
+    unmatched = unmatched.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing])
+    return matched.unionByName(unmatched)
 
 
 def rows_in(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows whose key appears in ``keys`` (each key is shuffled once)."""
     on = [on] if isinstance(on, str) else on
-    return df.join(keys.select(*on).distinct(), on, "left_semi")
+    return split_join(df, keys.select(*on).distinct(), on, "left_semi")
 
 
 def rows_not_in(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows whose key does not appear in ``keys``; NULL keys are kept."""
     on = [on] if isinstance(on, str) else on
-    return df.join(keys.select(*on).distinct(), on, "left_anti")
+    return split_join(df, keys.select(*on).distinct(), on, "left_anti")
 
 
 def cross_count(a: DataFrame, b: DataFrame) -> DataFrame:

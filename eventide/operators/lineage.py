@@ -46,10 +46,16 @@ JOB_IO = {
 KNOWN_NAMESPACES = (SOURCE_NS, WAREHOUSE_NS, EXPORT_NS)
 
 
-def contract_problems(contract: dict, namespaces: tuple[str, ...] = KNOWN_NAMESPACES) -> list[str]:
-    """Unknown dependencies and unknown namespaces of a job contract."""
-    problems = []
-    for job, io in contract.items():
+def contract_problems(contract: dict | list[tuple[str, dict]], namespaces: tuple[str, ...] = KNOWN_NAMESPACES) -> list[str]:
+    """Repeated job names, unknown dependencies and unknown namespaces of a job contract.
+
+    A contract read from a file is a list of (name, entry), where names can repeat.
+    """
+    entries = list(contract.items()) if isinstance(contract, dict) else contract
+    names = [job for job, _ in entries]
+    problems = [f"{job}: repeated name" for job in sorted({n for n in names if names.count(n) > 1})]
+    contract = dict(entries)
+    for job, io in entries:
         problems += [f"{job}: unknown dependency {d}" for d in io.get("depends_on", []) if d not in contract]
         problems += [
             f"{job}: unknown namespace {ns}"
@@ -65,7 +71,7 @@ def lineage_edges(spark: SparkSession, contract: dict = JOB_IO) -> DataFrame:
         raise ValueError("; ".join(problems))
     rows = [
         (job, direction, ns, name)
-        for job, io in contract.items()
+        for job, io in (contract.items() if isinstance(contract, dict) else contract)
         for direction, side in (("input", "inputs"), ("output", "outputs"))
         for ns, name in io[side]
     ]
@@ -87,33 +93,48 @@ def external_io(edges: DataFrame) -> DataFrame:
 
 
 def impact(edges: DataFrame, dataset: str, direction: str = "downstream", namespace: str | None = None) -> DataFrame:
-    """Datasets reachable from one dataset, with the number of jobs in between.
+    """Datasets reachable from one dataset, with the number of jobs in between."""
+    return impacts(edges, {direction: dataset}, namespace).drop("direction")
+
 
-    One round per level: frontier to jobs to datasets, minus those already
-    found. Each round is written to the shared folder, so plans stay short and
-    a lost executor repeats one round only.
+def impacts(edges: DataFrame, starts: dict[str, str], namespace: str | None = None) -> DataFrame:
+    """``direction, namespace, name, depth``: what each start reaches, in one pass.
+
+    ``starts`` maps ``downstream`` and ``upstream`` to a dataset each. Edges become hops between datasets, written once; then one round per
+    level: frontier to hops, minus what was found. Each round is written to the shared
+    folder with all that is found so far, so plans stay short and a lost executor
+    repeats one round only.
     """
-    spark = edges.sparkSession
-    source, sink = ("input", "output") if direction == "downstream" else ("output", "input")
     node = ["namespace", "name"]
-    kept, _ = materialise(edges.select("job", "direction", *node).distinct(), "lineage-edges")
-    into = kept.filter(F.col("direction") == source).select("job", *node)
-    out = kept.filter(F.col("direction") == sink).select("job", *node)
-    start = kept.filter(F.col("name") == dataset)
+    rows = edges.select("job", "direction", *node).distinct()
+    ins = rows.filter("direction = 'input'").select("job", F.struct(*node).alias("i"))
+    outs = rows.filter("direction = 'output'").select("job", F.struct(*node).alias("o"))
+    # Both ends of a job's hops, not their pairs: a job with many datasets is not multiplied out.
+    wanted = [F.struct(F.lit(w).alias("way"), F.lit(w == "downstream").alias("enter")) for w in starts]
+    sides = ins.select("job", F.col("i").alias("d"), F.lit(True).alias("is_input")).unionByName(
+        outs.select("job", F.col("o").alias("d"), F.lit(False).alias("is_input")))
+    sides = sides.withColumn("w", F.explode(F.array(*wanted))).select(
+        "job", "d.*", F.col("w.way").alias("way"), (F.col("is_input") == F.col("w.enter")).alias("enters"))
+    kept, _ = materialise(sides, "lineage-edges")
+    into, out = kept.filter("enters").drop("enters"), kept.filter("NOT enters").drop("enters")
+    first = F.element_at(F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]), F.col("way"))
+    start = kept.filter(F.col("name") == first)
     if namespace is not None:
         start = start.filter(F.col("namespace") == namespace)
-    frontier = start.select(*node, F.lit(0).alias("depth")).distinct()
-    found, depth = frontier, 0
+    found, _ = materialise(start.select("way", *node, F.lit(0).alias("depth")).distinct(), "lineage-level-0")
+    depth = 0
     while True:
+        frontier = found.filter(F.col("depth") == depth).select("way", *node)
         depth += 1
-        jobs = into.join(frontier.select(*node), node, "left_semi").select("job").distinct()
-        reached = out.join(jobs, "job", "left_semi").select(*node).distinct()
-        fresh = reached.join(found.select(*node), node, "left_anti").withColumn("depth", F.lit(depth))
-        frontier, size = materialise(fresh, f"lineage-level-{depth}")
-        if size == 0:
+        jobs = into.join(frontier, ["way", *node], "left_semi").select("way", "job").distinct()
+        reached = out.join(jobs, ["way", "job"], "left_semi").select("way", *node, F.lit(depth).alias("depth"))
+        grown = found.unionByName(reached).groupBy("way", *node).agg(F.min("depth").alias("depth"))
+        before = found
+        found, _ = materialise(grown, f"lineage-level-{depth}")
+        if found.filter(F.col("depth") == depth).isEmpty():
+            found = before
             break
-        found = found.unionByName(frontier)
-    return found.filter("depth > 0")
+    return found.filter("depth > 0").select(F.col("way").alias("direction"), *node, "depth")
 
 
 def sql_inputs(queries: DataFrame, column: str, keys: list[str]) -> DataFrame:
@@ -142,10 +163,12 @@ def _facet(kind: str, *fields: Column) -> Column:
 
 def run_events(
     runs: DataFrame, edges: DataFrame, namespace: str = "eventide", shift_hours: int = 0,
-    fields: dict[str, list[tuple[str, str]]] | None = None,
+    fields: dict[str, list[tuple[str, str]]] | None = None, max_error_chars: int | None = None,
 ) -> DataFrame:
     """Run rows as lineage events in JSON.
 
+    Error texts are sent whole unless ``max_error_chars`` limits them.
+
     ``runs`` needs ``job_name, business_date, ts, run_id, parent_run_id,
     event_type, row_count, error``. Row counts are those of the run, and appear
     on the outputs of completed runs. ``fields`` lists the columns per dataset.
@@ -172,9 +195,10 @@ def run_events(
     outputs = F.transform("_out", lambda d: F.struct(
         d["namespace"].alias("namespace"), d["name"].alias("name"), d["facets"].alias("facets"), statistics.alias("outputFacets"),
     ))
+    message = F.col("error") if max_error_chars is None else F.substring("error", 1, max_error_chars)
     failure = F.when(
         (F.col("event_type") == "FAIL") & F.col("error").isNotNull(),
-        _facet("1-0-0/ErrorMessageRunFacet", F.substring("error", 1, 500).alias("message"), F.lit("Python").alias("programmingLanguage")),
+        _facet("1-0-0/ErrorMessageRunFacet", message.alias("message"), F.lit("Python").alias("programmingLanguage")),
     )
     event = F.struct(
         F.col("event_type").alias("eventType"),

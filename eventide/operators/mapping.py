@@ -17,21 +17,25 @@ def _zero_null(name: str, zero_as_null: bool) -> Column:
 
 
 # --- source layer to warehouse ----------------------------------------------
-def map_trades_g1(src: DataFrame) -> DataFrame:
+def map_trades_g1(src: DataFrame, *columns: str) -> DataFrame:
     """Source trade movements: notional from price and quantity, desk from the
-    instrument prefix, buyer as counterparty and seller as trader."""
-    return src.select(
-        "trade_id",
-        F.col("instrument_code").alias("ticker"),
-        F.coalesce(F.col("closing_price") * F.col("quantity"), F.lit(0)).alias("notional"),
-        "quantity",
-        F.col("business_date").alias("trade_dt"),
-        "settlement_dt",
-        F.col("buy_participant").alias("counterparty_id"),
-        F.col("sell_participant").alias("trader_id"),
-        F.substring("instrument_code", 1, 5).alias("desk_code"),
-        "status",
-    )
+    instrument prefix, buyer as counterparty and seller as trader.
+
+    With ``columns`` only those are made, from a source that holds their inputs.
+    """
+    made = {
+        "trade_id": F.col("trade_id"),
+        "ticker": F.col("instrument_code"),
+        "notional": F.coalesce(F.col("closing_price") * F.col("quantity"), F.lit(0)),
+        "quantity": F.col("quantity"),
+        "trade_dt": F.col("business_date"),
+        "settlement_dt": F.col("settlement_dt"),
+        "counterparty_id": F.col("buy_participant"),
+        "trader_id": F.col("sell_participant"),
+        "desk_code": F.substring("instrument_code", 1, 5),
+        "status": F.col("status"),
+    }
+    return src.select(*[made[c].alias(c) for c in columns or made])
 
 
 def map_trades_g2(rows: DataFrame, business_date: str | Column | None = None) -> DataFrame:

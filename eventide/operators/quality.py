@@ -559,7 +559,7 @@ def gate(results: DataFrame, mode: str = "report"):
     verdict = gate_status(results).first()
     if mode == "raise" and verdict["critical_failures"] > 0:
         names = results.filter(~F.col("passed") & (F.col("severity") == "critical")).select("check_name").distinct()
-        listed = ", ".join(r[0] for r in names.orderBy("check_name").limit(20).collect())
+        listed = ", ".join(r[0] for r in names.orderBy("check_name").collect())
         raise QualityGateError(
             f"quality gate failed: {verdict['critical_failures']} critical check(s) did not pass: {listed}"
         )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import percent, quotient, volume_category
-from .joins import left_join_spread
+from .joins import left_join_spread, split_join
 
 TICKER_DAY = ["ticker", "business_date"]
 POSITION_KEY = ["business_date", "participant_id", "ticker"]
@@ -83,7 +83,7 @@ def enrich_trades(trades: DataFrame, close: DataFrame) -> DataFrame:
     """Trades with the day's closing price and the distance to it in percent."""
     price = F.col("price").cast("decimal(18,4)")
     closing = F.col("closing_price").cast("decimal(18,4)")
-    return trades.join(close.select(*TICKER_DAY, "closing_price"), TICKER_DAY, "left").withColumn(
+    return split_join(trades, close.select(*TICKER_DAY, "closing_price"), TICKER_DAY, "left").withColumn(
         "price_vs_close_pct",
         F.round(F.try_divide((price - closing) * 100, closing), 4).cast("decimal(20,4)"),
     )
@@ -170,7 +170,7 @@ def position_recon(positions: DataFrame, trades: DataFrame, reconciled_at=None)
 def participant_exposure(recon: DataFrame, close: DataFrame, generated_at=None) -> DataFrame:
     """Mark-to-market and exposure difference of each reconciled position."""
     price = F.coalesce(F.col("closing_price").cast("decimal(18,4)"), F.lit(0).cast("decimal(18,4)"))
-    out = recon.join(close.select(*TICKER_DAY, "closing_price"), TICKER_DAY, "left").select(
+    out = split_join(recon, close.select(*TICKER_DAY, "closing_price"), TICKER_DAY, "left").select(
         "participant_id", "ticker", "business_date", "declared_quantity", "traded_net_qty",
         "quantity_diff", "recon_status", "closing_price",
         (F.col("declared_quantity") * price).alias("mark_to_market"),
@@ -181,7 +181,7 @@ def participant_exposure(recon: DataFrame, close: DataFrame, generated_at=None)
 
 # --- settlement -------------------------------------------------------------
 def settlement_recon(
-    trades: DataFrame, instructions: DataFrame, reconciled_at=None, hot: list | None = None
+    trades: DataFrame, instructions: DataFrame, reconciled_at=None
 ) -> DataFrame:
     """Trades against settlement instructions by trade id.
 
@@ -194,7 +194,7 @@ def settlement_recon(
     )
     found = F.col("_found").isNotNull()
     status = F.col("settlement_status")
-    out = left_join_spread(trades, side, "trade_id", hot).select(
+    out = left_join_spread(trades, side, "trade_id").select(
         "trade_id", "ticker", "business_date", "price", "quantity", "buyer_participant",
         "seller_participant", "settlement_id", "settlement_date", "settlement_status",
         F.when(found & (status == "MATCHED"), "MATCHED")
@@ -205,7 +205,7 @@ def settlement_recon(
     return _stamp(out, "reconciled_at", reconciled_at)
 
 
-def settlement_recon_detailed(trades: DataFrame, instructions: DataFrame, hot: list | None = None) -> DataFrame:
+def settlement_recon_detailed(trades: DataFrame, instructions: DataFrame) -> DataFrame:
     """Reconciliation with separate quantity and amount match flags."""
     side = instructions.select(
         "trade_id", "instruction_id", F.col("quantity").alias("settlement_quantity"),
@@ -214,7 +214,7 @@ def settlement_recon_detailed(trades: DataFrame, instructions: DataFrame, hot: l
     amount = _notional()
     present = F.col("instruction_id").isNotNull()
     return left_join_spread(
-        trades.select("trade_id", "ticker", "price", "quantity", "business_date"), side, "trade_id", hot
+        trades.select("trade_id", "ticker", "price", "quantity", "business_date"), side, "trade_id"
     ).select(
         "trade_id", "instruction_id", "ticker", F.col("quantity").alias("trade_quantity"),
         "settlement_quantity",
@@ -245,9 +245,9 @@ def settlement_report(recon: DataFrame, generated_at=None) -> DataFrame:
 def settlement_report_from_raw(trades: DataFrame, instructions: DataFrame, generated_at=None) -> DataFrame:
     """The same report without building the fanned-out reconciliation.
 
-    Instructions shrink to one row of status counts per trade id before they
-    are shuffled, so a trade id repeated without end costs one row, and the
-    join never multiplies. A hot id on the trades side is split by AQE.
+    Instructions shrink to one row of status counts per trade id, so a trade id
+    repeated without end costs one row, and the join never multiplies. The counts
+    meet the trades by a shuffle of their own, so AQE can split a hot id there.
     """
     per_id = instructions.groupBy("trade_id").agg(
         F.count_if(F.col("status") == "MATCHED").alias("_matched"),
@@ -258,8 +258,7 @@ def settlement_report_from_raw(trades: DataFrame, instructions: DataFrame, gener
     matched, broken = F.coalesce("_matched", F.lit(0)), F.coalesce("_break", F.lit(0))
     notional = _notional()
     out = (
-        trades.select("trade_id", "business_date", "price", "quantity")
-        .join(per_id.hint("merge"), "trade_id", "left")
+        split_join(trades.select("trade_id", "business_date", "price", "quantity"), per_id, "trade_id", "left")
         .groupBy("business_date")
         .agg(
             F.sum(copies).alias("total_trades"),
@@ -284,7 +283,7 @@ def _report_columns(counts: DataFrame) -> DataFrame:
 def orphan_instructions(instructions: DataFrame, trades: DataFrame) -> DataFrame:
     """Instructions whose trade id has no trade on the same business date."""
     on = ["trade_id", "business_date"]
-    return instructions.join(trades.select(*on).distinct().hint("merge"), on, "left_anti")
+    return split_join(instructions, trades.select(*on).distinct(), on, "left_anti")
 
 
 def trades_without_instruction(trades: DataFrame, instructions: DataFrame) -> DataFrame:
@@ -295,7 +294,7 @@ def trades_without_instruction(trades: DataFrame, instructions: DataFrame) -> Da
     per_id = instructions.groupBy("trade_id").agg(
         F.count(F.lit(1)).alias("_all"), F.count("status").alias("_with_status")
     )
-    return trades.join(per_id.hint("merge"), "trade_id", "left").withColumn(
+    return split_join(trades, per_id, "trade_id", "left").withColumn(
         "missing_rows", F.coalesce(F.col("_all") - F.col("_with_status"), F.lit(1))
     ).drop("_all", "_with_status").filter("missing_rows > 0")
 
@@ -315,5 +314,5 @@ def row_count_parity(source: DataFrame, target: DataFrame, source_date: str, tar
 # --- derived inputs ---------------------------------------------------------
 def latest_value(df: DataFrame, keys: list[str], ts: str, value: str, tie: str | None = None) -> DataFrame:
     """Last value of a series per key."""
-    order = F.struct(ts, tie) if tie else F.col(ts)
+    order = F.struct(ts, *([tie] if tie else []), value)
     return df.groupBy(*keys).agg(F.max_by(value, order).alias(value), F.max(ts).alias(ts))

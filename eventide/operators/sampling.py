@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import for_date, uuid_from
 from ..schemas import OVERFLOW_SOURCE
 
+# Hex digits of one histogram level.
 BUCKET_DIGITS = 4
-# Up to this many rows a sorted limit is cheaper than finding the cut.
-SMALL_SAMPLE = 10_000
 
 
 def hash_order(key: str, seed: int) -> Column:
@@ -46,12 +46,22 @@ def sample_cut(df: DataFrame, key: str, seed: int, n: int | None = None, fractio
         .filter((F.col("cum") >= F.col("n")) & (F.col("cum") - F.col("c") < F.col("n")))
         .select("b", "n", (F.col("cum") - F.col("c")).alias("before"))
     )
+    # The same once more inside the bucket, so that the keys ranked at the end are few.
+    inner = positions.filter(bucket == edge.select("b").scalar())
+    deeper = F.substring("h", BUCKET_DIGITS + 1, BUCKET_DIGITS)
+    rest = edge.select((F.col("n") - F.col("before")).alias("n")).scalar()
+    fine = (
+        inner.groupBy(deeper.alias("b")).agg(F.count(F.lit(1)).alias("c"))
+        .select("b", "c", F.sum("c").over(upto).alias("cum"))
+        .filter((F.col("cum") >= rest) & (F.col("cum") - F.col("c") < rest))
+        .select("b", (rest - F.col("cum") + F.col("c")).alias("need"))
+    )
     inside = (
-        positions.filter(bucket == edge.select("b").scalar())
+        inner.filter(deeper == fine.select("b").scalar())
         .groupBy("h").agg(F.count(F.lit(1)).alias("c"))
         .withColumn("cum", F.sum("c").over(everything.orderBy("h").rowsBetween(W.unboundedPreceding, 0)))
     )
-    need = edge.select((F.col("n") - F.col("before")).alias("need")).scalar()
+    need = fine.select("need").scalar()
     last = inside.filter(F.col("cum") - F.col("c") < need).agg(F.max("h").alias("cut"))
     # No edge bucket: the whole input is asked for ('g' sorts after every hex digit).
     return last.select(F.coalesce("cut", F.lit("g")).alias("cut"))
@@ -62,12 +72,16 @@ def sample_rows(
 ) -> DataFrame:
     """``n`` rows or a share of the rows, picked by hash order of ``key``.
 
-    Rows sharing the last key stay together for a share or a large ``n``; a
-    small ``n`` is exact.
+    ``n`` is exact at every size: rows of the last key are taken in the order of
+    all their columns. Rows sharing the last key of a share stay together.
     """
-    if n is not None and n <= SMALL_SAMPLE:
-        return df.orderBy(hash_order(key, seed), *df.columns).limit(n)
-    return df.filter(hash_order(key, seed) <= sample_cut(df, key, seed, n, fraction).scalar())
+    h = hash_order(key, seed)
+    cut = sample_cut(df, key, seed, n, fraction)
+    if n is None:
+        return df.filter(h <= cut.scalar())
+    edge = cut.first()["cut"]
+    below = df.filter(h < edge)
+    return below.unionByName(df.filter(h == edge).orderBy(*df.columns).limit(max(0, n - below.count())))
 
 
 # --- drills -----------------------------------------------------------------
@@ -196,7 +210,7 @@ def drill_late_settlement(df: DataFrame, business_date: str | None = None, seed:
 
 
 def drill_volume_spike(df: DataFrame, business_date: str | None = None, seed: int = 0, factor: int = 10) -> DataFrame:
-    """Add ``factor`` times the trades of one ticker, all copies of one of them.
+    """Add ``factor`` times the trades of one ticker, all copies of one of them with ids and order ids of their own.
 
     Each existing trade of the ticker gives rise to ``factor`` copies of the
     template, so the new rows are made where the old ones are, however many.
@@ -204,12 +218,16 @@ def drill_volume_spike(df: DataFrame, business_date: str | None = None, seed: in
     rows = _slice(df, "business_date", business_date)
     ticker = rows.select("ticker").distinct().orderBy(hash_order("ticker", seed)).limit(1)
     mine = rows.filter(F.col("ticker") == ticker.scalar())
-    copied = ["order_id", "price", "quantity", "buyer_participant", "seller_participant", "trade_time"]
-    template = mine.agg(F.min_by(F.struct(*copied), F.struct("trade_id", *copied)).alias("t"))
-    new_id = uuid_from(F.lit("spike"), "trade_id", "_copy")
+    copied = ["price", "quantity", "buyer_participant", "seller_participant", "trade_time"]
+    template = mine.agg(F.min_by(F.struct(*copied), F.struct("trade_id", "order_id", *copied)).alias("t"))
+    new_id = uuid_from(F.lit("spike"), "trade_id", "_row", "_copy")
+    kind = df.schema["order_id"].dataType  # texts get a UUID, numbers a hash
+    new_order = uuid_from(F.lit("spike-order"), "trade_id", "_row", "_copy") if isinstance(kind, T.StringType) else (
+        F.xxhash64(F.lit("spike-order"), "trade_id", "_row", "_copy").cast(kind))
     spike = (
-        mine.select("trade_id", "ticker", "business_date", F.explode(F.sequence(F.lit(1), F.lit(factor))).alias("_copy"))
+        mine.withColumn("_row", F.xxhash64(*df.columns))  # trade ids can repeat
+        .select("trade_id", "ticker", "business_date", "_row", F.explode(F.sequence(F.lit(1), F.lit(factor))).alias("_copy"))
         .withColumn("t", template.scalar())
-        .select(new_id.alias("trade_id"), "ticker", "business_date", "t.*")
+        .select(new_id.alias("trade_id"), new_order.alias("order_id"), "ticker", "business_date", "t.*")
     )
     return df.unionByName(spike.select(*df.columns))

@@ -236,7 +236,7 @@ def job_table(runs: DataFrame) -> DataFrame:
     return runs.groupBy("job_name").agg(
         F.count_if(is_ok()).alias("ended_ok"), F.count_if(is_failed()).alias("ended_not_ok"),
         mean("duration_seconds").alias("avg_duration"),
-        F.max_by("output_rows", "ts").alias("last_output_rows"),
+        F.max_by("output_rows", F.struct("ts", "event_id")).alias("last_output_rows"),
         F.max("retries").cast("long").alias("max_retries"),
     )
 

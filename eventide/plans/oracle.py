@@ -6,6 +6,8 @@ must agree to the last digit.
 
 from __future__ import annotations
 
+from ..operators.lineage import JOB_IO
+
 ORACLE: dict[str, str] = {}
 
 
@@ -269,7 +271,7 @@ traded AS traded_net_qty, diff AS quantity_diff, recon_status FROM posrecon"""
 ORACLE["c4_participant_exposure"] = f"""WITH {CLOSE}, {POS} SELECT p.pid AS participant_id, p.ticker, p.business_date,
 p.q AS declared_quantity, CAST(0 AS BIGINT) AS traded_net_qty, p.q AS quantity_diff, 'BREAK' AS recon_status,
 {scaled('c.c4', 4)} AS closing_price, {scaled('p.q * coalesce(c.c4, 0)', 4)} AS mark_to_market, {scaled('p.q * coalesce(c.c4, 0)', 4)} AS exposure_diff
-FROM pos p LEFT JOIN closing c ON c.ticker = p.ticker AND c.business_date = p.business_date AND c.business_date >= DATE '1996-01-01'"""
+FROM pos p LEFT JOIN closing c ON c.ticker = p.ticker AND c.business_date = p.business_date"""
 ORACLE["c5_orphan_instructions"] = f"""WITH {TRADES}, {INSTR} SELECT instruction_id, trade_id, business_date, status FROM instr i
 WHERE NOT EXISTS (SELECT 1 FROM trades t WHERE t.trade_id = i.trade_id AND t.business_date = i.business_date)"""
 ORACLE["c6_rows_in"] = """SELECT o_orderkey, o_custkey,
@@ -283,7 +285,7 @@ _PARITY = f"""WITH {DROPPED}, parity AS (SELECT business_date, coalesce(s, 0) AS
 ORACLE["c9_row_count_parity"] = f"{_PARITY} SELECT business_date, s AS source_count, t AS target_count, s - t AS count_diff FROM parity"
 ORACLE["c10_enrich_trades"] = f"""WITH {CLOSE} SELECT t.trade_id, t.ticker, t.business_date, {scaled('t.p4', 4)} AS price,
 {scaled('c.c4', 4)} AS closing_price, {scaled(half_up_signed('CAST(t.p4 - c.c4 AS HUGEINT) * 1000000', 'c.c4'), 4)} AS price_vs_close_pct
-FROM trades t LEFT JOIN closing c ON c.ticker = t.ticker AND c.business_date = t.business_date AND c.business_date >= DATE '1996-01-01'"""
+FROM trades t LEFT JOIN closing c ON c.ticker = t.ticker AND c.business_date = t.business_date"""
 ORACLE["c11_settlement_recon_detailed"] = f"""WITH {RECON} SELECT trade_id, settlement_id AS instruction_id, ticker,
 quantity AS trade_quantity, i_quantity AS settlement_quantity, quantity = i_quantity AS quantity_match,
 {scaled('n4', 4)} AS trade_amount, {scaled('i_a4', 4)} AS settlement_amount, n4 = i_a4 AS amount_match, recon_status, business_date FROM recon"""
@@ -548,6 +550,22 @@ g AS (SELECT business_date, count(*) AS checks_run, count(*) FILTER (NOT passed)
 SELECT business_date, checks_run, checks_failed, critical_failures, CASE WHEN critical_failures = 0 THEN 'PASS' ELSE 'FAIL' END AS gate_status,
 CAST(coalesce(t.n, 0) AS BIGINT) AS dw_trade_movements_rows, coalesce(p.n, 0) AS dw_drvt_positions_rows, coalesce(c.n, 0) AS dw_cash_positions_rows,
 critical_failures = 0 AS published FROM g LEFT JOIN t USING (business_date) LEFT JOIN p USING (business_date) LEFT JOIN c USING (business_date)"""
+ORACLE["j11_run_d1_g2"] = f"""WITH {SRC_TRADES}, {DRVT}, {CASH}, stored AS (SELECT * FROM src),
+t AS (SELECT business_date, sum(n - 1) AS dups, sum(n) AS n FROM {_IDS.format(t='stored')} GROUP BY 1),
+s AS (SELECT business_date, count(*) AS n FROM src GROUP BY 1),
+p AS (SELECT position_date AS business_date, count(*) AS n, count(*) FILTER (price IS NULL) AS nulls FROM drvt GROUP BY 1),
+c AS (SELECT position_date AS business_date, count(*) AS n, count(*) FILTER (coalesce(value, 0) = 0) AS zeros FROM cash GROUP BY 1),
+checks AS (
+  SELECT business_date, dups = 0 AS passed, TRUE AS critical FROM t
+  UNION ALL SELECT business_date, coalesce(t.n, 0) = coalesce(s.n, 0), TRUE FROM t FULL JOIN s USING (business_date)
+  UNION ALL SELECT business_date, nulls = 0, TRUE FROM p UNION ALL SELECT business_date, TRUE, TRUE FROM p
+  UNION ALL SELECT business_date, TRUE, TRUE FROM c UNION ALL SELECT business_date, TRUE, TRUE FROM t
+  UNION ALL SELECT business_date, zeros = 0, TRUE FROM c),
+g AS (SELECT business_date, count(*) AS checks_run, count(*) FILTER (NOT passed) AS checks_failed,
+  count(*) FILTER (NOT passed AND critical) AS critical_failures FROM checks GROUP BY 1)
+SELECT business_date, checks_run, checks_failed, critical_failures, CASE WHEN critical_failures = 0 THEN 'PASS' ELSE 'FAIL' END AS gate_status,
+CAST(coalesce(t.n, 0) AS BIGINT) AS dw_trade_movements_rows, coalesce(p.n, 0) AS dw_drvt_positions_rows, coalesce(c.n, 0) AS dw_cash_positions_rows,
+critical_failures = 0 AS published FROM g LEFT JOIN t USING (business_date) LEFT JOIN p USING (business_date) LEFT JOIN c USING (business_date)"""
 ORACLE["j12_publish_reports"] = f"""WITH {POSRECON}, {INSTR}, r AS (SELECT t.business_date FROM trades t LEFT JOIN instr i ON i.trade_id = t.trade_id)
 SELECT dt, 'settlement' AS report, CAST(1 AS BIGINT) AS "rows", n AS measure FROM (SELECT business_date AS dt, count(*) AS n FROM r GROUP BY 1)
 UNION ALL SELECT business_date, 'exposure', count(*), CAST(sum(diff) AS BIGINT) FROM posrecon GROUP BY business_date"""
@@ -584,7 +602,7 @@ ORACLE["k8_duration_p95"] = f"""WITH {RUNS} SELECT date_trunc('day', ts) AS wind
 ORACLE["k9_outcome_by_job"] = f"""WITH {RUNS} SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, job_name,
 count(*) FILTER (status = 'success') AS ended_ok, count(*) FILTER (status = 'failed') AS ended_not_ok FROM runs GROUP BY 1, 2, 3"""
 ORACLE["k10_job_table"] = f"""WITH {RUNS} SELECT job_name, count(*) FILTER (status = 'success') AS ended_ok, count(*) FILTER (status = 'failed') AS ended_not_ok,
-{scaled(_MEAN, 6)} AS avg_duration, arg_max(k, ts) AS last_output_rows, max(k % 3) AS max_retries FROM runs GROUP BY 1"""
+{scaled(_MEAN, 6)} AS avg_duration, arg_max(k, struct_pack(a := ts, b := event_id)) AS last_output_rows, max(k % 3) AS max_retries FROM runs GROUP BY 1"""
 ORACLE["k11_pipeline_table"] = f"""WITH {_SUMMARY}, counted AS (SELECT *, count(*) FILTER (jobs_notok = 0) OVER w AS ok_counter,
 count(*) FILTER (jobs_notok > 0) OVER w AS notok_counter, row_number() OVER (PARTITION BY business_date ORDER BY finished_at DESC, run_id DESC) AS r
 FROM summary WINDOW w AS (ORDER BY finished_at, run_id ROWS UNBOUNDED PRECEDING))
@@ -596,7 +614,8 @@ count(*) FILTER (status = 'failed') AS ended_not_ok, count(*) FILTER (sla_miss)
 _DAYS = "date_trunc('day', created_at) AS window_start, date_trunc('day', created_at) + INTERVAL 1 DAY AS window_end"
 ORACLE["k13_check_failures_over_time"] = f"WITH {DQ} SELECT {_DAYS}, check_name, count(*) FILTER (NOT passed) AS failures FROM dq GROUP BY 1, 2, 3"
 ORACLE["k13_check_detail"] = f"""WITH {DQ} SELECT check_name, target_table, severity, count(*) AS runs,
-NOT arg_max(passed, struct_pack(a := created_at, b := result_id)) AS last_failed FROM dq GROUP BY 1, 2, 3"""
+NOT arg_max(passed, struct_pack(a := created_at, b := result_id)) AS last_failed,
+arg_max(actual_value, struct_pack(a := created_at, b := result_id)) AS last_value FROM dq GROUP BY 1, 2, 3"""
 ORACLE["k13_failures_by_type"] = f"""WITH {DQ} SELECT check_type, count(*) FILTER (NOT passed) AS failures FROM dq GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""
 ORACLE["k13_row_count_trend"] = f"""WITH {DQ} SELECT {_DAYS}, max(CAST(actual_value AS DOUBLE)) AS max_value FROM dq WHERE check_name = 'row_count' GROUP BY 1, 2"""
 ORACLE["k14_pass_rate"] = f"""WITH {DQ}, r AS (SELECT count(*) AS total, count(*) FILTER (NOT passed) AS failed,
@@ -610,6 +629,11 @@ WHERE metric IN ('exchange.oracle.trade_mvmt_source_count', 'exchange.dw.trade_m
 SELECT business_date, measure, max(value) FILTER (source) AS source_value, max(value) FILTER (NOT source) AS dw_value FROM named GROUP BY 1, 2"""
 ORACLE["k16_running_totals_stream"] = f"""WITH {RUNS} SELECT job_name, count(*) FILTER (status = 'success') AS ended_ok,
 count(*) FILTER (status = 'failed') AS ended_not_ok, count(*) FILTER (sla_miss) AS sla_violations FROM runs GROUP BY 1"""
+_SILENT = f"""WITH {RUNS}, seen AS (SELECT DISTINCT date_trunc('minute', ts) AS m, job_name FROM runs
+WHERE job_name = 'publish_d1_reports' AND status = 'success'),
+gaps AS (SELECT job_name, m, lead(m) OVER (ORDER BY m) AS n FROM seen)"""
+ORACLE["k6_stream_absence"] = f"""{_SILENT} SELECT job_name, m + INTERVAL 30 MINUTE AS overdue_at FROM gaps
+WHERE n - m > INTERVAL 30 MINUTE"""
 ORACLE["k17_renotifications"] = f"""WITH {RUNS}, seen AS (SELECT DISTINCT job_name, date_trunc('minute', ts) AS m FROM runs WHERE status = 'failed'),
 marked AS (SELECT *, CASE WHEN m - lag(m) OVER w <= INTERVAL 120 MINUTE THEN 0 ELSE 1 END AS opened FROM seen WINDOW w AS (PARTITION BY job_name ORDER BY m)),
 episodes AS (SELECT job_name, e, min(m) AS opened_at, max(m) AS last_seen FROM (
@@ -617,6 +641,12 @@ SELECT *, sum(opened) OVER (PARTITION BY job_name ORDER BY m) AS e FROM marked)
 n AS (SELECT job_name, opened_at, unnest(generate_series(opened_at, last_seen, INTERVAL 60 MINUTE)) AS notify_at FROM episodes)
 SELECT job_name, opened_at, notify_at, date_diff('hour', opened_at, notify_at) AS repeat,
 CASE WHEN notify_at > opened_at THEN concat('ESCALATION: unresolved after ', date_diff('minute', opened_at, notify_at), ' minutes') ELSE 'ALERT' END AS text FROM n"""
+ORACLE["k17_stream_renotify"] = f"""WITH {RUNS}, seen AS (SELECT DISTINCT job_name, date_trunc('minute', ts) AS m FROM runs WHERE status = 'failed'),
+marked AS (SELECT *, CASE WHEN m - lag(m) OVER w <= INTERVAL 120 MINUTE THEN 0 ELSE 1 END AS opened FROM seen WINDOW w AS (PARTITION BY job_name ORDER BY m)),
+episodes AS (SELECT job_name, e, min(m) AS opened_at, max(m) AS last_seen FROM (
+SELECT *, sum(opened) OVER (PARTITION BY job_name ORDER BY m) AS e FROM marked) GROUP BY 1, 2),
+n AS (SELECT job_name, opened_at, unnest(generate_series(opened_at, last_seen, INTERVAL 60 MINUTE)) AS notify_at FROM episodes)
+SELECT job_name, opened_at, notify_at, date_diff('hour', opened_at, notify_at) AS repeat FROM n"""
 _KIND = "CASE status WHEN 'success' THEN 'COMPLETE' WHEN 'failed' THEN 'FAIL' ELSE 'START' END"
 ORACLE["k18_lineage_health"] = f"""WITH {RUNS} SELECT job_name, {_KIND} AS event_type, count(*) AS total, max(ts) AS last_seen FROM runs
 WHERE ts > (SELECT max(ts) FROM runs) - INTERVAL 1440 MINUTE GROUP BY 1, 2"""
@@ -629,7 +659,11 @@ ORACLE["k22_logs_for_run"] = f"""WITH {RUNS} SELECT event_id, ts, job_name, stat
 WHERE run_id = (SELECT run_id FROM runs GROUP BY 1 ORDER BY count(*) DESC, run_id LIMIT 1)"""
 
 # --- L ----------------------------------------------------------------------
-ORACLE["l1_lineage_edges"] = f"WITH {EDGES} SELECT * FROM edges"
+_DECLARED = ", ".join(
+    f"('{job}', '{side[:-1]}', '{ns}', '{name}')" for job, io in JOB_IO.items() for side in ("inputs", "outputs") for ns, name in io[side])
+ORACLE["l1_lineage_edges"] = f"""WITH {RUNS}, seen AS (SELECT job_name AS job, count(*) AS runs FROM runs GROUP BY 1)
+SELECT job, direction, namespace, name, runs FROM (VALUES {_DECLARED}) e(job, direction, namespace, name) FULL JOIN seen USING (job)"""
+ORACLE["l1_observed_edges"] = f"WITH {EDGES} SELECT * FROM edges"
 ORACLE["l2_external_io"] = f"{_EXTERNAL} SELECT direction, count(*) AS datasets FROM external_io GROUP BY 1"
 ORACLE["l3_impact"] = f"""WITH RECURSIVE {EDGES},
 hops AS (SELECT DISTINCT i.name AS a, o.name AS b FROM edges i JOIN edges o ON o.job = i.job AND i.direction = 'input' AND o.direction = 'output'),
@@ -667,13 +701,16 @@ ORACLE["m6_null_close"] = f"""WITH {CLOSE} SELECT ticker, business_date, CASE WH
 CASE WHEN ticker NOT IN {_TWO} THEN {scaled('vwap6', 6)} END AS vwap FROM closing"""
 _HEX = "'0123456789abcdef'"
 _MOD3 = " + ".join(f"(instr({_HEX}, substr(h, {i + 1}, 1)) - 1) * {16 ** (7 - i)}" for i in range(8))
-ORACLE["m7_late_settlement"] = f"""WITH {INSTR}, marked AS (SELECT *, {position('instruction_id', 9)} AS h,
-instruction_id IN (SELECT instruction_id FROM instr ORDER BY {position('instruction_id', 9)} LIMIT 50) AS hit FROM instr)
+ORACLE["m7_late_settlement"] = f"""WITH {INSTR}, pick AS MATERIALIZED (
+SELECT DISTINCT instruction_id FROM (SELECT instruction_id FROM instr ORDER BY {position('instruction_id', 9)} LIMIT 50)),
+marked AS (SELECT i.*, {position('i.instruction_id', 9)} AS h, p.instruction_id IS NOT NULL AS hit
+FROM instr i LEFT JOIN pick p ON p.instruction_id = i.instruction_id)
 SELECT instruction_id, CASE WHEN hit THEN settlement_date + CAST(({_MOD3}) % 3 + 1 AS INT) ELSE settlement_date END AS settlement_date,
 CASE WHEN hit THEN 'FAILED' ELSE status END AS status, business_date FROM marked"""
 ORACLE["m8_volume_spike"] = f"""WITH {TRADES}, pick AS (SELECT ticker FROM trades GROUP BY 1 ORDER BY {position('ticker', 6)} LIMIT 1),
 template AS (SELECT p4, quantity FROM trades WHERE ticker = (SELECT ticker FROM pick) ORDER BY trade_id, order_id, p4, quantity, buyer, seller, trade_time LIMIT 1),
-base AS (SELECT ticker, count(*) AS n, sum(quantity) AS q, sum(p4) AS p FROM trades GROUP BY 1)
+base AS (SELECT ticker, count(*) AS n, sum(quantity) AS q, sum(p4) AS p, count(DISTINCT order_id) AS o FROM trades GROUP BY 1)
 SELECT ticker, CAST(CASE WHEN ticker = (SELECT ticker FROM pick) THEN 11 * n ELSE n END AS BIGINT) AS trades,
+CAST(CASE WHEN ticker = (SELECT ticker FROM pick) THEN o + 10 * n ELSE o END AS BIGINT) AS orders,
 CAST(q + CASE WHEN ticker = (SELECT ticker FROM pick) THEN 10 * n * (SELECT quantity FROM template) ELSE 0 END AS BIGINT) AS quantity,
 {scaled('p + CASE WHEN ticker = (SELECT ticker FROM pick) THEN 10 * n * (SELECT p4 FROM template) ELSE 0 END', 4)} AS price FROM base"""

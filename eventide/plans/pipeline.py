@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import add_audit, for_date
@@ -31,6 +31,7 @@ from ..schemas import (
     Contract,
 )
 from ..sources.sinks import (
+    clear_slices,
     export_csv,
     export_parquet,
     replace_slice,
@@ -69,33 +70,47 @@ HASH_KEYS = {
 
 def _load(mapped: DataFrame, contract: Contract, paths: Paths, generation: str, source: str,
           business_date: str | None, load_ts, flags: dict[str, Column] | None = None) -> dict[str, int]:
-    """Conform, audit and store mapped rows; rejected rows go to a side table.
+    """Conform, audit and store mapped rows; rejected rows go to a dated side table.
 
-    Rows read, rejected and flagged are counted while the good rows are written.
-    The source is read again only when there is something to reject.
+    Both tables hold one slice per date, and a load replaces the slices of its dates in
+    both, so a clean load also clears the rejects of an earlier one. All counts come from
+    the slices as written. ``dates`` in the result lists the dates loaded.
     """
     table = contract.table
     day = DATE_COLUMN[table]
     if business_date is not None:
         mapped = for_date(mapped, day, business_date)
-    _, rejects = split_valid(mapped, contract)
-    seen = Observation()
-    bad = F.size(violations(contract)) > 0
-    counted = mapped.observe(
-        seen, F.count(F.lit(1)).alias("rows_read"), F.count_if(bad).alias("rows_rejected"),
-        *[F.count_if(~bad & c).alias(n) for n, c in (flags or {}).items()],
-    )
-    good, _ = split_valid(counted, contract)
+    good, rejects = split_valid(mapped, contract)
     good = add_audit(good, source, HASH_KEYS[(table, generation)], load_ts)
-    if business_date is None:
-        replace_slices(good, paths.table(table), day)
+    target, aside = paths.table(table), paths.table(f"{table}_rejects")
+    if business_date is not None:
+        replace_slice(good, target, day, business_date)
+        replace_slice(rejects, aside, day, business_date)
+        dates = [business_date]
     else:
-        replace_slice(good, paths.table(table), day, business_date)
-    out = {k: int(v) for k, v in seen.get.items()}
-    out["rows_written"] = out["rows_read"] - out["rows_rejected"]
-    if out["rows_rejected"]:
-        rejects.write.mode("overwrite").parquet(paths.table(f"{table}_rejects"))
-    return out
+        bad = F.size(violations(contract)) > 0
+        days = mapped.groupBy(F.col(day).cast("string").alias("day")).agg(
+            F.count_if(~bad).alias("good"), F.count_if(bad).alias("bad")).filter("day IS NOT NULL").collect()
+        dates = [r["day"] for r in days]
+        replace_slices(good, target, day)
+        replace_slices(rejects, aside, day)
+        clear_slices(mapped.sparkSession, target, day, [r["day"] for r in days if not r["good"]], good.schema)
+        clear_slices(mapped.sparkSession, aside, day, [r["day"] for r in days if not r["bad"]], rejects.schema)
+    spark = mapped.sparkSession
+    stored = on_dates(spark.read.schema(good.schema).parquet(target), day, dates)
+    counts = stored.agg(
+        F.count(F.lit(1)).alias("rows_written"),
+        *[F.count_if(c).alias(n) for n, c in (flags or {}).items()]).first().asDict()
+    apart = spark.read.schema(rejects.schema).parquet(aside)
+    counts["rows_rejected"] = on_dates(apart, day, dates, business_date is None).count()
+    counts["rows_read"] = counts["rows_written"] + counts["rows_rejected"]
+    return {k: int(v) for k, v in counts.items()} | {"dates": sorted(dates)}
+
+
+def on_dates(df: DataFrame, column: str, dates: list[str], undated: bool = False) -> DataFrame:
+    """Rows of the given dates (a list of days, bounded by the calendar)."""
+    hit = F.col(column).cast("string").isin(dates)
+    return df.filter(hit | F.col(column).isNull() if undated else hit)
 
 
 def load_trades(source: DataFrame, paths: Paths, business_date: str | None = None, generation: str = "g1",
@@ -104,7 +119,7 @@ def load_trades(source: DataFrame, paths: Paths, business_date: str | None = Non
     the quality gate reports them."""
     mapped = map_trades_g1(source) if generation == "g1" else map_trades_g2(source, business_date)
     out = _load(mapped, TRADE_MOVEMENTS_CONTRACT, paths, generation, label, business_date, load_ts)
-    stored = read_table(source.sparkSession, paths, "dw_trade_movements", business_date)
+    stored = on_dates(read_table(source.sparkSession, paths, "dw_trade_movements"), "trade_dt", out["dates"])
     extra = Q.excess_duplicates(stored, "trade_id", ["trade_dt"]).agg(F.coalesce(F.sum("duplicates"), F.lit(0)))
     out["duplicates"] = int(extra.first()[0])
     return out
@@ -125,6 +140,7 @@ def load_positions(drvt: DataFrame, cash: DataFrame, paths: Paths, business_date
         "cash_rows_read": c["rows_read"], "cash_rows_written": c["rows_written"],
         "rows_rejected": d["rows_rejected"] + c["rows_rejected"],
         "nulls_found": d["nulls_found"], "zero_sum_found": c["zero_sum_found"],
+        "dates": sorted({*d["dates"], *c["dates"]}),
     }
 
 
@@ -172,13 +188,17 @@ def gate_checks(
 def quality_gate(
     spark: SparkSession, paths: Paths, src: dict[str, DataFrame | None], run_id: str, created_at,
     business_date: str | None = None, generation: str = "g1", mode: str = "report",
+    dates: list[str] | None = None,
 ) -> DataFrame:
     """Run the checks, store their results, and return the verdict per date.
 
-    The results are stored before a ``raise`` gate stops the run.
+    ``dates`` restricts the warehouse to the dates at hand. The results are stored
+    before a ``raise`` gate stops the run.
     """
     names = ["dw_trade_movements", "dw_drvt_positions", "dw_cash_positions"]
     dw = {n: read_table(spark, paths, n) for n in names}
+    if dates is not None:
+        dw = {n: on_dates(df, DATE_COLUMN[n], dates) for n, df in dw.items()}
     results = Q.stamp_results(gate_checks(dw, src, business_date, generation), run_id, created_at)
     write_dq_results(results, paths.table("dq_results"), "replace" if generation == "g1" else "append")
     stored = read_table(spark, paths, "dq_results", business_date).filter(F.col("run_id") == run_id)
@@ -206,8 +226,9 @@ def publish(spark: SparkSession, paths: Paths, business_date: str, guard: bool =
     return {"status": "success", "files_exported": files}
 
 
-def publish_dates(spark: SparkSession, paths: Paths, guard: bool = True, all_runs: bool = False) -> list[str]:
-    """Export every date whose gate allows it, as ``dt=<date>`` partitions."""
+def publish_dates(spark: SparkSession, paths: Paths, guard: bool = True, all_runs: bool = False,
+                  dates: list[str] | None = None) -> list[str]:
+    """Export every date (of ``dates``, if given) whose gate allows it, as ``dt=<date>`` partitions."""
     allowed = None
     if guard:
         verdicts = Q.publish_guard(read_table(spark, paths, "dq_results"), all_runs)
@@ -217,6 +238,8 @@ def publish_dates(spark: SparkSession, paths: Paths, guard: bool = True, all_run
         folder = "spot" if table == "dw_cash_positions" else "derivatives"
         rows = read_table(spark, paths, table).select(*EXPORT_COLUMNS[table])
         rows = rows.withColumn("dt", F.col(DATE_COLUMN[table]))
+        if dates is not None:
+            rows = on_dates(rows, "dt", dates)
         if allowed is not None:
             rows = rows.join(allowed.withColumnRenamed("business_date", "dt"), "dt", "left_semi")
         target = paths.export(f"{folder}/{table}")
@@ -242,22 +265,32 @@ def run_d1(
     load_ts, business_date: str | None = None, generation: str = "g1", gate_mode: str = "report",
     guard: bool = True,
 ) -> DataFrame:
-    """Loads, checks, gate and publication in order; one summary row per date."""
-    load_trades(trades, paths, business_date, "g1", load_ts=load_ts)
-    load_positions(drvt, cash, paths, business_date, "g1", load_ts=load_ts)
+    """Loads, checks, gate and publication in order; one summary row per date.
+
+    Only the dates loaded are checked and published, whatever else the warehouse holds.
+    """
+    loaded = load_trades(trades, paths, business_date, generation, load_ts=load_ts)
+    positions = load_positions(drvt, cash, paths, business_date, generation, load_ts=load_ts)
+    dates = sorted({*loaded["dates"], *positions["dates"]})
     src = {"trades": trades, "drvt": drvt, "cash": cash}
-    verdict = quality_gate(spark, paths, src, run_id, load_ts, business_date, generation, gate_mode)
+    verdict = quality_gate(spark, paths, src, run_id, load_ts, business_date, generation, gate_mode, dates)
     if business_date is None:
-        publish_dates(spark, paths, guard)
+        publish_dates(spark, paths, guard, dates=dates)
+        if guard:
+            allowed = Q.publish_guard(read_table(spark, paths, "dq_results")).filter("publish_allowed")
+            verdict = verdict.join(allowed.select("business_date", F.lit(True).alias("_out")), "business_date", "left")
+        else:
+            verdict = verdict.withColumn("_out", F.lit(True))
     else:
-        publish(spark, paths, business_date, guard)
+        done = publish(spark, paths, business_date, guard)
+        verdict = verdict.withColumn("_out", F.lit(done["status"] == "success"))
     counts = [
-        read_table(spark, paths, t, business_date).groupBy(F.col(DATE_COLUMN[t]).alias("business_date")).agg(
-            F.count(F.lit(1)).alias(f"{t}_rows"))
+        on_dates(read_table(spark, paths, t), DATE_COLUMN[t], dates).groupBy(
+            F.col(DATE_COLUMN[t]).alias("business_date")).agg(F.count(F.lit(1)).alias(f"{t}_rows"))
         for t in ("dw_trade_movements", "dw_drvt_positions", "dw_cash_positions")
     ]
     joined = reduce(lambda a, b: a.join(b, "business_date", "left"), counts, verdict)
-    published = F.lit(True) if not guard else F.col("gate_status") == "PASS"
+    published = F.coalesce("_out", F.lit(False))
     return joined.select(
         "business_date", "checks_run", "checks_failed", "critical_failures", "gate_status",
         *[F.coalesce(f"{t}_rows", F.lit(0)).alias(f"{t}_rows") for t in

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,11 +19,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder named by ``spark.checkpoint.dir``.
 
-    Every executor must see what one of them writes, so a machine-local folder
-    is used only where the cluster names none (a test session).
+    Every executor must see what one of them writes, so without that setting only
+    a local session, whose executors are the driver, gets a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="eventide-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
@@ -38,10 +42,3 @@ def materialise(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), int(seen.get["rows"])
 
-
-def plan_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df``; None where the plan is not reachable."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
-        return None

@@ -98,24 +98,27 @@ def raw_participant_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return participant_positions(trades)
 
 
-def src_trade_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source-layer trades: price at six decimals, settlement in two days."""
-    t = raw_trades(
-        spark, sf_dir, "trade_id", "ticker", "price", "quantity", "buyer_participant",
-        "seller_participant", "business_date", "trade_time", "returnflag",
-    )
-    return t.select(
-        "trade_id", F.to_date("trade_time").alias("trade_dt"),
-        F.col("ticker").alias("instrument_code"),
-        F.col("buyer_participant").alias("buy_participant"),
-        F.col("seller_participant").alias("sell_participant"),
-        F.col("quantity").cast("decimal(15,0)").alias("quantity"),
-        F.col("price").cast("decimal(18,6)").alias("closing_price"),
-        (F.col("price") * F.col("quantity")).cast("decimal(22,6)").alias("gross_value"),
-        F.date_add("business_date", 2).alias("settlement_dt"),
-        F.when(F.col("returnflag") == "R", "").when(F.col("returnflag") == "A", "OPEN").alias("status"),
-        "business_date",
-    )
+def src_trade_movements(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Source-layer trades: price at six decimals, settlement in two days.
+
+    Only what the given columns need (all by default) is read and joined.
+    """
+    made = {
+        "trade_id": (["trade_id"], F.col("trade_id")),
+        "trade_dt": (["trade_time"], F.to_date("trade_time")),
+        "instrument_code": (["ticker"], F.col("ticker")),
+        "buy_participant": (["buyer_participant"], F.col("buyer_participant")),
+        "sell_participant": (["seller_participant"], F.col("seller_participant")),
+        "quantity": (["quantity"], F.col("quantity").cast("decimal(15,0)")),
+        "closing_price": (["price"], F.col("price").cast("decimal(18,6)")),
+        "gross_value": (["price", "quantity"], (F.col("price") * F.col("quantity")).cast("decimal(22,6)")),
+        "settlement_dt": (["business_date"], F.date_add("business_date", 2)),
+        "status": (["returnflag"], F.when(F.col("returnflag") == "R", "").when(F.col("returnflag") == "A", "OPEN")),
+        "business_date": (["business_date"], F.col("business_date")),
+    }
+    chosen = {c: made[c] for c in columns or made}
+    needed = list(dict.fromkeys(x for inputs, _ in chosen.values() for x in inputs))
+    return raw_trades(spark, sf_dir, *needed).select(*[value.alias(c) for c, (_, value) in chosen.items()])
 
 
 def src_drvt_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,9 +213,9 @@ def job_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_job_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a stream; it may be one file or a folder of part files."""
     layout = table(spark, sf_dir, "events").schema
-    source = spark.readStream.schema(layout).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return event_columns(source)
+    return event_columns(spark.readStream.schema(layout).parquet(f"{sf_dir}/events.parque[t]"))
 
 
 def observed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import logging
 import os
 from collections.abc import Callable, Iterable, Mapping
 
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import for_date
 from ..schemas import JOB_LOG, RUN_HISTORY, schema
 
+log = logging.getLogger(__name__)
+
 # URL pattern, driver class and environment names per database.
 JDBC = {
     "oracle": ("jdbc:oracle:thin:@//{host}:{port}/{database}", "oracle.jdbc.OracleDriver",
@@ -68,12 +73,17 @@ def read_jdbc(
     return reader.load()
 
 
-def read_slice(spark: SparkSession, src: str | DataFrame, table: str | None, date_col: str, business_date: str) -> DataFrame:
-    """Rows of one business date from a Parquet root, a JDBC kind or a frame."""
+def read_slice(spark: SparkSession, src: str | DataFrame, table: str | None, date_col: str, business_date: str,
+               partition_column: str | None = None, bounds: tuple[str, str] | None = None,
+               partitions: int = 16) -> DataFrame:
+    """Rows of one business date from a Parquet root, a JDBC kind or a frame.
+
+    With a partition column and its bounds a database slice is read by many tasks.
+    """
     if isinstance(src, DataFrame):
         df = src
     elif src in JDBC:
-        df = read_jdbc(spark, src, table)
+        df = read_jdbc(spark, src, table, partition_column=partition_column, bounds=bounds, partitions=partitions)
     else:
         df = spark.read.parquet(f"{src}/{table}" if table else src)
     return for_date(df, date_col, business_date)
@@ -90,9 +100,11 @@ def first_available(loaders: Iterable[tuple[str, Callable[[], DataFrame]]]) -> D
         try:
             df = load()
             df.schema
-        except Exception as exc:  # any failure of a source means: try the next
+        except (AnalysisException, Py4JError, OSError) as exc:  # away or unreachable: try the next
             failures.append(f"{label}: {type(exc).__name__}")
             continue
+        if failures:
+            log.warning("source %s stands in for %s", label, "; ".join(failures))
         return df.withColumn("dw_source", F.lit(label))
     raise RuntimeError("no source available (" + "; ".join(failures) + ")")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,19 +27,24 @@ def replace_slices(df: DataFrame, path: str, part_col: str) -> None:
 def replace_slice(df: DataFrame, path: str, part_col: str, business_date: str) -> int:
     """Replace one date with the rows of ``df`` and return how many were written.
 
-    Dynamic overwrite leaves a date untouched when no row arrives for it, so an
-    empty load clears the date's folder explicitly.
+    Dynamic overwrite leaves a date untouched when no row arrives for it, so the
+    date's folder is written on its own, empty or not. The count is that of the
+    files written, whatever tasks ran twice.
     """
-    spark = df.sparkSession
-    seen = Observation()
-    counted = for_date(df, part_col, business_date).observe(seen, F.count(F.lit(1)).alias("rows"))
-    replace_slices(counted, path, part_col)
-    rows = int(seen.get["rows"])
-    if rows == 0:
-        rest = T.StructType([f for f in df.schema if f.name != part_col])
-        empty = spark.createDataFrame([], rest)
-        empty.write.mode("overwrite").parquet(f"{path}/{part_col}={business_date}")
-    return rows
+    target = f"{path}/{part_col}={business_date}"
+    rows = for_date(df, part_col, business_date).drop(part_col)
+    rows.hint("rebalance").write.mode("overwrite").parquet(target)
+    return df.sparkSession.read.schema(rows.schema).parquet(target).count()
+
+
+def clear_slices(spark: SparkSession, path: str, part_col: str, dates: list[str], layout: T.StructType) -> None:
+    """Empty the given dates of a partitioned table, as far as it holds them."""
+    if not dates:
+        return
+    empty = spark.createDataFrame([], T.StructType([f for f in layout if f.name != part_col]))
+    held = spark.read.schema(layout).parquet(path).filter(F.col(part_col).cast("string").isin(dates))
+    for date in [str(r[0]) for r in held.select(part_col).distinct().collect()]:
+        empty.write.mode("overwrite").parquet(f"{path}/{part_col}={date}")
 
 
 def copy_table(source: DataFrame, path: str, business_date: str, date_col: str = "business_date") -> int:
@@ -80,9 +85,10 @@ def export_csv(df: DataFrame, path: str, business_date: str) -> str | None:
 
 
 def write_csv(df: DataFrame, path: str, part_col: str | None = None) -> None:
+    """CSV with a header; with a partition column only the dates in ``df`` are replaced."""
     writer = df.write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "")
     if part_col:
-        writer = writer.partitionBy(part_col)
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(part_col)
     writer.csv(path)
 
 
@@ -91,11 +97,19 @@ def append_run_history(runs: DataFrame, path: str) -> None:
     runs.write.mode("append").json(path)
 
 
-def upsert(target: DataFrame, updates: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+def upsert(target: DataFrame, updates: DataFrame, keys: list[str], cols: list[str],
+           order: str | None = None) -> DataFrame:
     """Update ``cols`` of rows whose key exists, insert the other rows.
 
-    Both sides must be unique on ``keys``.
+    ``target`` must be unique on ``keys``. Repeated updates of a key take effect in the
+    order of ``order`` (by default of all their columns): the last one stands.
     """
+    rest = [c for c in updates.columns if c not in keys]
+    if rest:
+        rank = F.struct(*([order] if order else []), *rest)
+        updates = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("_last")).select(*keys, "_last.*")
+    else:
+        updates = updates.select(*keys).distinct()
     marked = updates.select(
         *keys, F.lit(True).alias("_updated"),
         *[F.col(c).alias(f"_new_{c}") for c in target.columns if c not in keys and c in updates.columns],

@@ -144,6 +144,8 @@ def run_available(stream: DataFrame, keys: list[str], label: str, output_mode: s
     )
     query.awaitTermination()
     layout = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
+    if not any(p.numInputRows for p in query.recentProgress):  # no batch ran: nothing was stored
+        spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{path}/table/batch_id=-1")
     rows = spark.read.schema(layout).parquet(f"{path}/table")
     if output_mode == "append" or not keys:
         return rows.drop("batch_id")

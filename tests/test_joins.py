@@ -25,17 +25,49 @@ def skewed(spark):
     return left, right
 
 
-@pytest.mark.parametrize("hot", [["hot"], ["hot", "absent"], ["1", "hot"], []])
-def test_left_join_spread_equals_left_join(skewed, hot):
+def test_left_join_spread_equals_left_join(skewed):
     left, right = skewed
-    got = joins.left_join_spread(left, right, "k", hot=hot, salts=5)
+    got = joins.left_join_spread(left, right, "k")
     assert counts(got) == counts(left.join(right, "k", "left"))
 
 
-def test_hot_keys_found_and_bounded(skewed):
-    _, right = skewed
-    assert joins.hot_keys(right, "k", hot_rows=20, small_bytes=0) == ["hot"]
-    assert joins.hot_keys(right, "k", hot_rows=20) == []
+def final_plan(df):
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("case", ["report", "orphans", "rows_in", "enrich", "spread"])
+def test_hot_key_is_split(spark, case):
+    """The final plan reads the hot key's partition in parts (skew=true)."""
+    conf = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    hot = F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.col("id").cast("string"))
+    facts = spark.range(0, 40_000, 1, 8).select(
+        hot.alias("trade_id"), hot.alias("ticker"), F.lit("2024-01-02").cast("date").alias("business_date"),
+        (F.col("id") * 7919 % 100_003).cast("decimal(18,4)").alias("price"), F.lit(5).alias("quantity"),
+        F.sha2(F.col("id").cast("string"), 256).alias("pad"))
+    keys = facts.select("trade_id", "ticker", "business_date").distinct()
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        if case == "report":
+            df = R.settlement_report_from_raw(facts, keys.select("trade_id", F.lit("MATCHED").alias("status")))
+        elif case == "orphans":
+            df = R.orphan_instructions(facts, keys)
+        elif case == "rows_in":
+            df = joins.rows_in(facts, keys, "trade_id")
+        elif case == "enrich":
+            df = R.enrich_trades(facts, keys.groupBy("ticker", "business_date").agg(F.max(F.lit(2)).alias("closing_price")))
+        else:
+            df = joins.left_join_spread(keys.select("trade_id"), facts.select("trade_id", "pad"), "trade_id")
+        assert "skew=true" in final_plan(df)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 def test_recon_with_hot_id_equals_plain(spark):

@@ -39,8 +39,16 @@ def test_small_sample_is_exact(spark):
     assert D.sample_rows(df, "k", 1, n=20).count() == 20
 
 
-def test_large_n_uses_the_cut(spark, monkeypatch):
-    monkeypatch.setattr(D, "SMALL_SAMPLE", 10)
+def test_any_n_is_exact_with_a_tied_key_on_the_cut(spark):
+    df = spark.range(40_000).select((F.col("id") % 30).alias("k"), "id")
+    for n in (10_000, 10_001, 10_667):
+        assert D.sample_rows(df, "k", 3, n=n).count() == n
+    got = sorted(tuple(r) for r in D.sample_rows(df, "k", 3, n=5_000).collect())
+    ranked = sorted(((i % 30, i) for i in range(40_000)), key=lambda r: (hashlib.md5(f"{r[0]}|3".encode()).hexdigest(), r))
+    assert got == sorted(ranked[:5_000])
+
+
+def test_large_n(spark):
     df = spark.range(1000).withColumnRenamed("id", "k")
     assert D.sample_rows(df, "k", 3, n=321).count() == 321
     assert D.sample_rows(df, "k", 3, n=5000).count() == 1000
