@@ -19,8 +19,11 @@ Defined results
 
 from __future__ import annotations
 
+import base64
+import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,43 +34,75 @@ WINDOW = 2048
 END = 1
 MAX_OPEN = 4096
 TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"  # the same vocabulary
 CACHE = 500_000  # words whose ids a task remembers
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 _ARROW = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
-# Characters that the tokenizer's word pattern and the regex module class alike.
-# A text with any other is encoded whole by the tokenizer.
-_OTHER = "[^\\t\\n\\r\\x20-\\x7e\\xa0-\\u1fff\\u2010-\\u2027\\u3041-\\u30ff\\u4e00-\\u9fa5\\uac00-\\ud7a3]"
+# Plain characters: those that the tokenizer's word pattern and Python class alike, with
+# no white space but the blank and the line end. Other texts are encoded whole.
+_ODD = re.compile("[^\\n\\x20-\\x7e\\xa1-\\u167f\\u2010-\\u2027\\u3041-\\u30ff\\u4e00-\\u9fa5\\uac00-\\ud7a3]")
+
+
+class _Known(dict):
+    """Ids of words after ``lead``, found when first asked for. No word may be empty."""
+
+    def __init__(self, lead: str, encode: Callable[[str], list[int]]):
+        self.lead, self.encode = lead, encode
+
+    def __missing__(self, word: str) -> list[int]:
+        if not word:
+            raise KeyError(word)
+        if len(self) > CACHE:
+            self.clear()
+        ids = self[word] = self.encode(self.lead + word)
+        return ids
 
 
 def encoder(path: str | None = None) -> Callable[[str], list[int]]:
-    """Text -> token ids. Words repeat, so each is encoded once per task and remembered.
+    """Text -> token ids of the tokenizer at ``path`` (by default the 50k byte-level BPE).
 
-    The tokenizer splits a text into words by a pattern and encodes each word on
-    its own, so encoding the words apart gives the ids of the whole text.
+    The default tokenizer splits a text into words by a pattern and encodes each word on
+    its own. A single blank between two visible characters always begins a word, and a
+    single line end is one, so such pieces are encoded apart and remembered; their ids come
+    from the same vocabulary as a rank table. Texts with other white space go through the
+    tokenizer as a whole.
     """
     import public_tokenizers
-    import regex
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
     tokenizer.encode_special_tokens = True
-    words = regex.compile(public_tokenizers.PATTERN).findall
-    other = regex.compile(_OTHER).search
-    known: dict[str, list[int]] = {}
+
+    def whole(text: str) -> list[int]:
+        return tokenizer.encode(text, add_special_tokens=False).ids
+
+    if path:
+        return whole
+    import tiktoken
+
+    with open(public_tokenizers.path(RANKS), "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    piece = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    first, later = _Known("", piece), _Known(" ", piece)
+    line_end = piece("\n")
 
     def encode(text: str) -> list[int]:
-        if other(text):
-            return tokenizer.encode(text, add_special_tokens=False).ids
+        if _ODD.search(text):
+            return whole(text)
         out: list[int] = []
-        if len(known) > CACHE:
-            known.clear()
-        for word in words(text):
-            ids = known.get(word)
-            if ids is None:
-                ids = known[word] = tokenizer.encode(word, add_special_tokens=False).ids
-            out += ids
+        try:
+            for i, line in enumerate(text.split("\n")):
+                if i:
+                    out += line_end
+                words = line.split(" ")
+                out += first[words[0]]
+                if len(words) > 1:
+                    del words[0]
+                    out += chain.from_iterable(map(later.__getitem__, words))
+        except KeyError:  # neighbouring, leading or trailing white space
+            return whole(text) if text else []
         return out
 
     return encode
