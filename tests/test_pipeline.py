@@ -64,7 +64,7 @@ def test_reload_is_idempotent(spark, tmp_path, day):
     paths = P.Paths(str(tmp_path))
     for _ in range(2):
         out = P.load_trades(day[0], paths, DAY, load_ts=TS)
-    assert out == {"rows_read": 500, "rows_rejected": 0, "rows_written": 500, "duplicates": 0}
+    assert out == {"rows_read": 500, "rows_rejected": 0, "rows_written": 500, "duplicates": 0, "dates": [DAY]}
     assert P.read_table(spark, paths, "dw_trade_movements").count() == 500
 
 
@@ -101,12 +101,96 @@ def test_hard_gate_stops_the_run_but_keeps_results(spark, tmp_path, day):
 
 
 def test_second_generation_gate_has_seven_rows(spark, tmp_path, day):
-    paths, row = run(spark, tmp_path, day, generation="g2")
-    assert row["checks_run"] == 7 and row["gate_status"] == "PASS"
-    P.quality_gate(spark, paths, {"trades": day[0], "drvt": day[1], "cash": day[2]}, "r2", TS, DAY, "g2")
+    mapped = [m.withColumn("business_date", F.col(c)) for m, c in (
+        (M.map_trades_g1(day[0]).withColumn("status", F.lit("")), "trade_dt"),
+        (M.map_drvt_positions(day[1]), "position_date"), (M.map_cash_positions(day[2]), "position_date"))]
+    paths, row = run(spark, tmp_path, mapped, generation="g2")
+    assert row["checks_run"] == 7 and row["gate_status"] == "PASS" and row["published"]
+    # The second generation's defaults took effect in the load itself.
+    assert {r[0] for r in P.read_table(spark, paths, "dw_trade_movements").select("status").distinct().collect()} == {"EXECUTED"}
+    P.quality_gate(spark, paths, {"trades": mapped[0], "drvt": mapped[1], "cash": mapped[2]}, "r2", TS, DAY, "g2")
     assert P.read_table(spark, paths, "dq_results").count() == 14
 
 
+def test_rejects_and_exports_of_other_dates_stay(spark, tmp_path, day):
+    trades, _, cash = day
+    paths, other = P.Paths(str(tmp_path)), "2024-01-03"
+    rejected = F.when(F.col("trade_id") == "TRD-00000", F.lit(None)).otherwise(F.col("status"))
+    moved = trades.withColumn("business_date", F.lit(other).cast("date"))
+    for df, date in ((trades, DAY), (moved, other)):
+        assert P.load_trades(df.withColumn("status", rejected), paths, date, load_ts=TS)["rows_rejected"] == 1
+    held = lambda: {str(r[0]) for r in spark.read.parquet(paths.table("dw_trade_movements_rejects")).select("trade_dt").collect()}
+    assert held() == {DAY, other}
+    both = trades.unionByName(moved.withColumn("status", rejected))
+    assert P.load_trades(both, paths, load_ts=TS)["rows_rejected"] == 1  # all dates: the clean one loses its old reject
+    assert held() == {other}
+    P.load_trades(moved, paths, other, load_ts=TS)
+    assert held() == set()
+    report = spark.createDataFrame([(DAY, 1), (other, 2)], "business_date string, n int").withColumn("business_date", F.to_date("business_date"))
+    for date in (DAY, other):
+        P.publish_reports(report.filter(F.col("business_date") == date), report.filter(F.col("business_date") == date), str(tmp_path / "out"))
+    csv = spark.read.option("header", True).csv(f"{tmp_path}/out/exports/participant_exposure_report")
+    assert {str(r["dt"]) for r in csv.collect()} == {DAY, other}
+
+
+def test_runs_look_at_their_own_dates_only(spark, tmp_path, day):
+    paths, _ = run(spark, tmp_path, day)
+    moved = [df.withColumns({c: F.lit("2024-01-03").cast("date") for c in ("business_date", "position_date") if c in df.columns}) for df in day]
+    rows = P.run_d1(spark, paths, *moved, "r2", TS).collect()
+    assert [(str(r["business_date"]), r["gate_status"], r["published"]) for r in rows] == [("2024-01-03", "PASS", True)]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    from eventide import session
+
+    class Conf:
+        def __init__(self, master, folder=None):
+            self.values = {"spark.master": master, "spark.checkpoint.dir": folder}
+
+        def get(self, key, default=None):
+            return self.values.get(key) or default
+
+    for master in ("local", "local[4]", "local[*]"):
+        assert session.scratch_dir(type("S", (), {"conf": Conf(master)}), "x")
+    for master in ("local-cluster[2,1,1024]", "yarn", "k8s://host"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            session.scratch_dir(type("S", (), {"conf": Conf(master)}), "x")
+        assert session.scratch_dir(type("S", (), {"conf": Conf(master, "s3a://b/c")}), "x").startswith("s3a://b/c/x-")
+
+
+def test_upsert_takes_the_last_of_repeated_updates(spark):
+    target = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, n int")
+    updates = spark.createDataFrame([(1, "x", 5), (1, "y", 4), (3, "z", 1), (3, "w", 2)], "k int, v string, n int")
+    got = sorted(map(tuple, sinks.upsert(target, updates, ["k"], ["v", "n"], order="n").collect()))
+    assert got == [(1, "x", 5), (2, "b", 1), (3, "w", 2)]
+
+
+def test_jdbc_slices_can_be_split(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(readers, "read_jdbc", lambda spark, kind, table, **kw: seen.update(kw) or day_frame(spark))
+    readers.read_slice(spark, "oracle", "t", "business_date", DAY, "id", ("0", "9"), 4)
+    assert seen == {"partition_column": "id", "bounds": ("0", "9"), "partitions": 4}
+
+
+def day_frame(spark):
+    return spark.range(1).withColumn("business_date", F.lit(DAY).cast("date"))
+
+
+def test_stream_reads_a_folder_table(spark, tmp_path):
+    from eventide.operators import telemetry as K
+    from eventide.sources import driver_tables as V
+    from eventide.streaming import alerts
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    keys = ["window_start", "window_end", "job_name"]
+    want, got = [alerts.run_available(alerts.job_failures(V.stream_job_runs(spark, d)), keys, "t-folder")
+                 for d in ("/root/testdata/sf0.001", str(tmp_path))]
+    assert sorted(map(str, want.collect())) == sorted(map(str, got.select(want.columns).collect())) and want.count() > 0
+    events.limit(0).write.parquet(f"{tmp_path}/none/events.parquet")
+    assert alerts.run_available(alerts.job_failures(V.stream_job_runs(spark, f"{tmp_path}/none")), keys, "t-none").count() == 0
+
+
 def test_overflow_row_is_rejected_on_load(spark, tmp_path, day):
     big = day[0].withColumn("quantity", F.when(F.col("trade_id") == "TRD-00000", F.lit(999999999999999)).otherwise(F.col("quantity")).cast("decimal(15,0)"))
     paths = P.Paths(str(tmp_path))
