@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 SEED = 3
 TRAIN_PAGES = 200  # bound of the sample
 TRAIN_CHARS = 200_000  # longer pages are extracted like any other, but not learnt from
-LAYOUTS = 4  # dressed variants per sampled page
+LAYOUTS = 8  # dressed variants per sampled page
 EPOCHS = 6
 FEATURES = 1 << 13
 PENALTY = 1e-4
@@ -306,12 +306,17 @@ def dress(content: list[tuple[str, str]], prose: list[str], short: list[str], rn
         body = f"<main>{body}</main>"
     elif pick < 0.55:
         body = f"<main><article class={name}>{body}</article></main>"
+    elif pick < 0.65:
+        body = f"<div>{body}</div>"
     elif pick < 0.9:
         body = f'<div {rng.choice(("class", "id"))}="{name}">{body}</div>'
     body += "" if inside else tail
     before = [part(k) for k in ("notice", "header", "nav", "ad", "form", "aside") if rng.random() < 0.6]
     after = [part(k) for k in ("share", "aside", "ad", "nav", "form", "notice", "footer") if rng.random() < 0.5]
-    return f"<html><body>{''.join(before)}{body}{''.join(after)}</body></html>"
+    page = f"{''.join(before)}{body}{''.join(after)}"
+    if rng.random() < 0.3:  # a frame around all of it says nothing
+        page = rng.choice(("<div>{}</div>", "<div id=page>{}</div>", "<div class=wrapper><div>{}</div></div>")).format(page)
+    return f"<html><body>{page}</body></html>"
 
 
 _OUTSIDE = frozenset(("nav", "header", "footer", "aside", "form"))
