@@ -60,9 +60,10 @@ class Fluid:
         """Slots used when the virtual clock stands at ``virtual``."""
         return np.interp(virtual, self.ends, self.times)
 
-    def delivered(self, t: float) -> np.ndarray:
-        """Blocks of each source out after ``t`` slots."""
-        out = np.minimum(self.sizes, self.weights * np.interp(t, self.times, self.ends))
+    def delivered(self, t: float | np.ndarray) -> np.ndarray:
+        """Blocks of each source out after ``t`` slots (a row per entry of an array)."""
+        virtual = np.interp(t, self.times, self.ends)
+        out = np.minimum(self.sizes, self.weights * (virtual[:, None] if np.ndim(t) else virtual))
         near = np.rint(out)
         return np.where(np.abs(out - near) < TINY * np.maximum(1, near), near, out)
 
@@ -73,14 +74,31 @@ class Fluid:
         return int(np.floor(start + slack)), int(np.ceil(end - slack))
 
     def before(self, t: int) -> np.ndarray:
-        """Whole blocks of each source that lie before slot ``t``."""
+        """Whole blocks of each source that lie before slot ``t``.
+
+        Blocks that the fluid has finished do, and so many of those it has begun that ``t``
+        slots are full: the earliest deadlines first, but only those for which there is a slot
+        left. From any slot u on, at most t - u of the blocks released since can lie before t.
+        """
         flow = self.delivered(float(t))
         done = np.floor(flow).astype(np.int64)
-        part = np.flatnonzero((flow > done) & (done < self.sizes))
         extra = int(t - done.sum())
-        if extra > 0:
-            due = sorted(part.tolist(), key=lambda s: (self.window(s, int(done[s]) + 1)[1], s))
-            done[due[:extra]] += 1
+        if extra <= 0:
+            return done
+        begun = np.flatnonzero((flow > done) & (done < self.sizes)).tolist()
+        windows = {s: self.window(s, int(done[s]) + 1) for s in begun}
+        releases = np.array([windows[s][0] for s in begun])
+        since = max(int(releases.min()), t - max(64, min(SEGMENT, 4_000_000 // len(done))))
+        u = np.unique(np.concatenate([np.arange(since, t), releases[releases < t]]))
+        room = t - u - np.maximum(0, done - np.ceil(self.delivered(u.astype(float)))).sum(1)
+        chosen = []
+        for s in sorted(begun, key=lambda s: (windows[s][1], s)):
+            spans = u <= windows[s][0]
+            if len(chosen) < extra and (room[spans] >= 1).all():
+                room[spans] -= 1
+                chosen.append(s)
+        left = sorted(set(begun) - set(chosen), key=lambda s: (windows[s], s))
+        done[chosen + left[: extra - len(chosen)]] += 1
         return done
 
 
