@@ -39,13 +39,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lays the documents out in mix order; packing reads them in that order."""
+    """Lays the documents out in mix order."""
     return mixing.in_order(mixing.place(docs), docs.columns)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences."""
-    return packing.pack(docs)
+    """Pieces of training sequences, numbered in mix order.
+
+    Files are read back by size and several to a task, so their order says nothing. A place
+    in the mix follows from the rows alone: it is found again here, and the tasks that pack
+    and number the sequences take the documents range by range.
+    """
+    placed = mixing.place(docs.select("doc_id", "source", "text"))
+    return packing.pack(mixing.in_order(placed, ["doc_id", "text"]))
 
 
 STAGES = [

@@ -9,7 +9,9 @@ becomes sequences whose lengths are powers of two, so no padding remains.
 
 A task holds at most ``MAX_OPEN`` open windows; beyond that it settles them early
 in the same way. Sequence ids are (partition number << 32) + running number: a
-task that runs again over the same file split gives the same ids.
+task that runs again over the same rows gives the same ids. Over range-partitioned
+rows the ids follow the ranges; inside a task a document may come later by the time
+its window stays open.
 
 Defined results
 - null text: empty, that is the end token alone. Every row is packed, repeated

@@ -1,9 +1,10 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as C
-from eventide.llm import minhash_dedup, packing, quality
+from eventide.llm import minhash_dedup, mixing, packing, quality
 from eventide.llm.common import land
 from eventide.llm.queries import QUALITY_CUT, quality_model
 
@@ -90,3 +91,37 @@ def test_stages_take_odd_tables(spark, name, stage, data):
     assert (n == 0) == (not data) or name == "quality"
     if name != "packing":
         assert out.columns == docs.columns and n <= len(data)
+
+
+def test_sequences_follow_the_mix(spark):
+    rng = np.random.default_rng(5)
+    sizes = {"a": 2400, "b": 900, "c": 300}
+    data = [(f"{s} " + "word " * int(rng.integers(1, 90)), s) for s, n in sizes.items() for _ in range(n)]
+    docs = spark.createDataFrame([(i, text, "en", s, len(text)) for i, (text, s) in enumerate(data)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    settings = {"spark.sql.shuffle.partitions": "12", "spark.sql.files.openCostInBytes": "1",
+                "spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.minPartitionNum": "1"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        mixed = land(C.mix_sources(spark, docs, SF), "test-order")
+        assert len(mixed.inputFiles()) > 4
+        pieces = land(C.pack_windows(spark, mixed, SF), "test-order-packed").toPandas()
+        slots = mixing.place(docs).select("row.doc_id", "slot", "in_block", "source_key").toPandas().set_index("doc_id")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    pieces["task"] = pieces["sequence_id"] // 2**32
+    task = pieces.groupby("doc_id")["task"].agg(["min", "max"])
+    assert (task["min"] == task["max"]).all() and task["min"].nunique() > 4 and len(task) == len(data)
+    order = slots.sort_values(["slot", "in_block"])
+    assert task.loc[order.index, "min"].is_monotonic_increasing
+    # While all sources last, each task's sequences hold the target shares but for a block on either side.
+    target = {s: n**0.5 / sum(m**0.5 for m in sizes.values()) for s, n in sizes.items()}
+    ends = order[order["source_key"] == "c"]["slot"].max()
+    order["task"] = task["min"]
+    for _, part in order.groupby("task"):
+        if part["slot"].max() < ends:
+            for s, share in target.items():
+                assert abs((part["source_key"] == s).sum() - share * len(part)) <= 2 * mixing.BLOCK
