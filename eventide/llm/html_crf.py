@@ -16,6 +16,9 @@ Defined results
 - null, empty or text-free html: empty text.
 - a page without any content block: empty text.
 - unclosed and stray tags, comments and cut-off ends are read as browsers do, roughly.
+- the content of ``HIDDEN`` elements (buttons, drawings, players, ...) is no main text. One
+  without its own end tag hides nothing; its text is labelled like any other.
+- a head that is not closed ends at the first text or element that may not stand in it.
 - repeated rows are extracted each; null ids and urls stay null.
 """
 
@@ -44,7 +47,15 @@ PENALTY = 1e-4
 
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg select object canvas audio video button".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())  # text up to the end tag, or to the page's end
+HIDDEN = frozenset("noscript template svg select object canvas audio video button".split())  # elements with content that is no main text
+ALONE = frozenset(("button", "select"))  # a second one ends the first
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
+# Start tags that end a foreign element they stand in, and the foreign elements in which they do not.
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre "
+    "ruby s small span strong strike sub sup table tt u ul var".split())
+FOREIGN_HTML = frozenset(("foreignobject", "desc"))
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot "
@@ -56,6 +67,7 @@ CUES = frozenset(
     "share login menu privacy terms follow".split())
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?")
+_COMMENT_END = re.compile("-->|(?<!<!)--!>")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _TOKEN = re.compile(r"[^\W\d_]+")
@@ -83,14 +95,25 @@ def _own_features(tag: str, attrs: str) -> frozenset[int]:
 
 
 class _Open:
-    """An open element with what its ancestors and itself add to a block's features."""
+    """An open element with what its ancestors and itself add to a block's features.
 
-    __slots__ = ("tag", "tags", "features")
+    A hidden element adds nothing. Its content is left out if its end tag comes; one that
+    ends without it hides nothing, since nobody can tell how far it was meant to reach.
+    """
 
-    def __init__(self, tag: str, attrs: str, parent: _Open | None):
+    __slots__ = ("tag", "tags", "features", "above", "ended")
+
+    def __init__(self, tag: str, attrs: str, parent: _Open | None, hidden: bool = False):
         self.tag = tag
-        self.tags = (parent.tags if parent else frozenset()) | {tag}
-        self.features = (parent.features if parent else frozenset()) | _own_features(tag, attrs)
+        self.tags = parent.tags if parent else frozenset()
+        self.features = parent.features if parent else frozenset()
+        self.above: tuple[_Open, ...] = parent.above if parent else ()  # hidden elements around, its own included
+        self.ended = False
+        if hidden:
+            self.above += (self,)
+        else:
+            self.tags |= {tag}
+            self.features |= _own_features(tag, attrs)
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -98,23 +121,26 @@ def blocks(page: str | None) -> list[Block]:
     page = page or ""
     stack: list[_Open] = []
     counts: dict[str, int] = {}
-    out: list[Block] = []
-    pieces: list[tuple[str, bool]] = []
+    read: list[tuple[str | None, bool, _Open | None]] = []  # texts and, as None, the ends of blocks
     links = 0
     at, n = 0, len(page)
 
-    def flush() -> None:
-        text = " ".join("".join(p for p, _ in pieces).split())
-        if text:
-            linked = len("".join(p for p, link in pieces if link).strip())
-            out.append(_block(text, min(1.0, linked / len(text)), stack[-1] if stack else None))
-        pieces.clear()
+    def add(text: str | None, link: bool = False) -> None:
+        if text is not None and stack and stack[-1].tag == "head" and not text.isspace():
+            add(None)
+            pop_to("head")
+        read.append((text, link, stack[-1] if stack else None))
+
+    def push(tag: str, attrs: str, hidden: bool = False) -> None:
+        stack.append(_Open(tag, attrs, stack[-1] if stack else None, hidden))
+        counts[tag] = counts.get(tag, 0) + 1
 
-    def pop_to(tag: str) -> None:
+    def pop_to(tag: str, ended: bool = False) -> None:
         while stack:
-            top = stack.pop().tag
-            counts[top] -= 1
-            if top == tag:
+            top = stack.pop()
+            counts[top.tag] -= 1
+            if top.tag == tag:
+                top.ended = ended
                 return
 
     while at < n:
@@ -122,12 +148,12 @@ def blocks(page: str | None) -> list[Block]:
         if lt < 0:
             lt = n
         if lt > at:
-            pieces.append((_html.unescape(page[at:lt]), links > 0))
+            add(_html.unescape(page[at:lt]), links > 0)
             if lt == n:
                 break
         if page.startswith("<!--", lt):
-            end = page.find("-->", lt + 4)
-            at = n if end < 0 else end + 3
+            end = _COMMENT_END.search(page, lt + 2)
+            at = n if not end else end.end()
             continue
         if page.startswith(("<!", "<?"), lt):
             end = page.find(">", lt)
@@ -135,7 +161,7 @@ def blocks(page: str | None) -> list[Block]:
             continue
         m = _TAG.match(page, lt)
         if not m:
-            pieces.append(("<", links > 0))
+            add("<", links > 0)
             at = lt + 1
             continue
         at = m.end()
@@ -143,19 +169,38 @@ def blocks(page: str | None) -> list[Block]:
             end = page.find(">", at)
             at = n if end < 0 else end + 1
         closing, tag, attrs = m[1], m[2].lower(), m[3]
+        if not closing and stack:
+            if stack[-1].tag == "svg" and tag in BREAKOUT:
+                pop_to("svg")
+            if stack[-1:] and stack[-1].tag == "head" and tag not in IN_HEAD:
+                add(None)
+                pop_to("head")
         if not closing and tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            foreign = bool(stack) and stack[-1].tag == "svg"
+            if foreign and attrs.endswith("/"):
+                continue
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])" + ("|</svg" if foreign else ""), re.I).search(page, at)
+            if foreign and (not end or end[0].lower() == "</svg"):
+                continue
             at = n if not end else end.start()
             if end:
                 gt = page.find(">", at)
                 at = n if gt < 0 else gt + 1
             continue
-        if tag == "br":
-            pieces.append((" ", False))
+        if tag in HIDDEN or tag in FOREIGN_HTML and stack and stack[-1].above:
+            if closing:
+                if counts.get(tag):
+                    pop_to(tag, ended=True)
+            elif not (tag == "svg" or tag in FOREIGN_HTML) or not attrs.endswith("/"):
+                if tag in ALONE and counts.get(tag):
+                    pop_to(tag)
+                push(tag, attrs, hidden=True)
+        elif tag == "br":
+            add(" ")
         elif tag == "a":
             links = 0 if closing else 1
         elif tag in BLOCK:
-            flush()
+            add(None)
             links = 0
             if closing:
                 if counts.get(tag):
@@ -170,13 +215,25 @@ def blocks(page: str | None) -> list[Block]:
                             if above.tag == sibling:
                                 pop_to(sibling)
                                 break
-                            if above.tag in bounds:
+                            if above.tag in bounds or above.tag in HIDDEN:
                                 break
                 if tag not in VOID:
-                    stack.append(_Open(tag, attrs, stack[-1] if stack else None))
-                    counts[tag] = counts.get(tag, 0) + 1
-    flush()
-    return [b for b in out if "head" not in b.tags or "body" in b.tags]
+                    push(tag, attrs)
+    add(None)
+    out: list[Block] = []
+    pieces: list[tuple[str, bool]] = []
+    for piece, link, inside in read:
+        if inside and any(h.ended for h in inside.above):
+            continue
+        if piece is not None:
+            pieces.append((piece, link))
+            continue
+        text = " ".join("".join(p for p, _ in pieces).split())
+        if text:
+            linked = len("".join(p for p, link in pieces if link).strip())
+            out.append(_block(text, min(1.0, linked / len(text)), inside))
+        pieces.clear()
+    return out
 
 
 def _block(text: str, linked: float, inside: _Open | None) -> Block:

@@ -96,3 +96,53 @@ def test_empty_table_and_odd_rows(spark):
     assert H.fit(pages.limit(0)).extract("<p>a</p>") in ("", "a")
     text = H.extractor(H.fit(pages))
     assert [r[0] for r in pages.select(text("html")).collect()].count("") >= 3
+
+
+WHOLE = ["First part of the story, with enough words.", "Second part of the story, it ends here."]
+HOLES = {tag: f"<{tag} class=x>" for tag in ("svg", "select", "object", "canvas", "audio", "video", "button", "template", "noscript")}
+
+
+@pytest.mark.parametrize("hole", [*HOLES.values(), "<svg viewBox='0 0 1 1'/>", "<svg><path d='M0 0'/><title>icon", "<!-->"])
+@pytest.mark.parametrize("tail", ["", "<p>Third.</p><div><button>Go</button><svg/><video src=v>none</video></div>"])
+def test_unclosed_elements_cut_nothing(model, hole, tail):
+    found = [b.text for b in H.blocks(f"<body><article><p>{WHOLE[0]}</p>{hole}<p>{WHOLE[1]}</p></article>{tail}")]
+    assert [t for t in found if t in WHOLE] == WHOLE and ("Third." in found) == bool(tail)
+    assert "Go" not in found and "none" not in found
+    text = model.extract(f"<body><article><p>{WHOLE[0]}</p>{hole}<p>{WHOLE[1]}</p></article>")
+    assert all(w in text for w in WHOLE)
+
+
+@pytest.mark.parametrize("tag", list(HOLES))
+def test_second_element_does_not_end_an_unclosed_one(tag):
+    page = f"<body><div><{tag}></div><article><p>{WHOLE[0]}</p></article><{tag}>hidden</{tag}><p>{WHOLE[1]}</p>"
+    assert [b.text for b in H.blocks(page)] == WHOLE
+    page = f"<body><{tag}><article><p>{WHOLE[0]}</p></article><{tag}>hidden</{tag}><p>{WHOLE[1]}</p>"
+    assert [b.text for b in H.blocks(page)] == WHOLE
+
+
+@pytest.mark.parametrize("tag", list(HOLES))
+def test_closed_elements_are_left_out(tag):
+    page = f"<p>Press <{tag} id=a><g>x</g> y</{tag}>to start.</p><ul><li>a<{tag}>z</{tag}><li>b</ul>"
+    assert [b.text for b in H.blocks(page)] == ["Press to start.", "a", "b"]
+
+
+def test_blocks_inside_closed_elements_do_not_part_the_text():
+    assert [b.text for b in H.blocks("<p>Press <button><div>Go</div></button>to start.</p>")] == ["Press to start."]
+    assert [b.text for b in H.blocks("<ul><li>a<template><li>x<li>y</template> b</ul>")] == ["a b"]
+    assert [b.text for b in H.blocks("<p>a<svg><foreignObject><div><p>x</p></div></foreignObject></svg>b</p>")] == ["ab"]
+
+
+@pytest.mark.parametrize("head", ["<head><title>t</title><meta charset=x>", "<head><title>t</title></head>", "<head><noscript><style>p{}</style></noscript>", "<head>"])
+@pytest.mark.parametrize("body", ["", "<body>"])
+def test_head_without_its_end_tag(model, head, body):
+    inner = "".join(f"<p>{w}</p>" for w in WHOLE)
+    page = f"<!doctype html><html>{head}{body}<article>{inner}</article>"
+    found = H.blocks(page)
+    assert [b.text for b in found] == WHOLE and model.extract(page) == "\n\n".join(WHOLE)
+    assert bool(body) or not any("head" in b.tags for b in found)
+    assert [b.text for b in H.blocks(f"{head}Plain text.")] == ["Plain text."]
+
+
+@pytest.mark.parametrize("tag", ["script", "style", "textarea", "title"])
+def test_raw_text_runs_to_the_end(tag):
+    assert [b.text for b in H.blocks(f"<p>a</p><{tag}>never closed <p>b</p>")] == ["a"]
