@@ -10,7 +10,8 @@ The chain is trained here, in numpy, on labelled pages made from a bounded sampl
 (``TRAIN_PAGES``) of the table itself: the blocks that HTML's own semantics settle
 (inside ``article`` or ``main`` and outside ``nav``, ``footer``, ... or not) are put
 into varied layouts by ``dress``, with menus, notices, adverts, forms, sidebars and
-reader comments around and between them, so that their place in the page is known.
+reader comments around and between them, so that their place in the page is known. Of
+pages without such elements the longer texts are dressed, so every table is learnt from.
 
 Defined results
 - null, empty or text-free html: empty text.
@@ -377,22 +378,38 @@ def dress(content: list[tuple[str, str]], prose: list[str], short: list[str], rn
 
 
 _OUTSIDE = frozenset(("nav", "header", "footer", "aside", "form"))
+# Names of parts that may stand inside an article without being its text.
+_DOUBTFUL = frozenset(
+    _feature(f"class:{name}") for kind in ("ad", "notice", "comments") for name in PARTS[kind] if "-" not in name)
+SHORT = 6  # words of a text that may be a label or a link
+STOCK = ("Nothing else here, only one sentence.", "It had been raining for two days when the boat came in.",
+         "The council will vote on the plan next week, and nobody knows how it will end.")
 
 
 def labelled_pages(pages: list[str], seed: int = SEED, layouts: int = LAYOUTS) -> list[tuple[list[Block], np.ndarray]]:
-    """Training sequences: the sampled pages as they are, where semantics settle them, and dressed anew."""
+    """Training sequences: the sampled pages as they are, where semantics settle them, and dressed anew.
+
+    Blocks under a name of adverts, notices or comments are neither: they may stand inside an
+    article, and nothing but the name tells. A page without settled content lends its longer
+    texts to the layouts; so every sample, an empty one too, has both labels.
+    """
     rng = random.Random(seed)
     found = [blocks(p) for p in pages]
     out, contents, prose, short = [], [], [], []
     for page in found:
-        labels = np.array([bool(b.tags & {"article", "main"}) and not b.tags & _OUTSIDE for b in page], int)
-        inside = [b for b, y in zip(page, labels) if y]
+        settled = [b for b in page if not _DOUBTFUL & set(b.features)]
+        labels = np.array([bool(b.tags & {"article", "main"}) and not b.tags & _OUTSIDE for b in settled], int)
+        inside = [b for b, y in zip(settled, labels) if y]
+        if inside:
+            out.append((settled, labels))
+        else:
+            inside = [b for b in settled if len(b.text.split()) > SHORT]
         if inside:
-            out.append((page, labels))
             contents.append([b.text for b in inside])
         for b in page:
-            (short if len(b.text.split()) <= 6 else prose).append(b.text)
-    prose = prose or ["Nothing else here, only one sentence."]
+            (short if len(b.text.split()) <= SHORT else prose).append(b.text)
+    contents = contents or [list(STOCK)]
+    prose = prose or list(STOCK[:1])
     short = short or ["Home"]
     for texts in contents:
         for _ in range(layouts):

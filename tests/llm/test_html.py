@@ -146,3 +146,38 @@ def test_head_without_its_end_tag(model, head, body):
 @pytest.mark.parametrize("tag", ["script", "style", "textarea", "title"])
 def test_raw_text_runs_to_the_end(tag):
     assert [b.text for b in H.blocks(f"<p>a</p><{tag}>never closed <p>b</p>")] == ["a"]
+
+
+STORY = [f"Line {i} of the story tells what happened on day {i} at sea." for i in range(5)]
+
+
+def div_page(k):
+    body = "".join(f"<p>{x} ({k})</p>" for x in STORY)
+    return (f"<html><head><title>t</title></head><body><div class=menu><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></div>"
+            f"<div class=post><h1>Title {k}</h1>{body}</div><div class=ads><p>Buy the best boats of the coast now, only today.</p></div>"
+            f"<div id=comments><div class=comment><p>I liked this story a lot, thank you for it.</p></div></div>"
+            f"<div class=footer>Copyright 2020, all rights reserved.</div></body></html>")
+
+
+def test_table_without_articles(spark):
+    pages = spark.createDataFrame([(k, "u", div_page(k)) for k in range(30)], "page_id long, url string, html string")
+    model = H.fit(pages)
+    for k in (0, 29):
+        assert model.extract(div_page(k)).split("\n\n") == [f"Title {k}", *(f"{x} ({k})" for x in STORY)]
+
+
+@pytest.mark.parametrize("name", ["advert", "cookie-banner", "reader-comments", "sponsored"])
+def test_named_parts_of_an_article_are_not_taught_as_content(name):
+    pages = [f"<div class=menu><a>Home</a></div><article><h1>Title {k}</h1>" + "".join(f"<p>{x} ({k})</p>" for x in STORY)
+             + f"<div class={name}><p>Not of the story {k}, in spite of its place.</p></div></article><footer>Site {k}</footer>" for k in range(20)]
+    taught = H.labelled_pages(pages)
+    assert not any(y and b.text.startswith("Not of the story") for page, labels in taught for b, y in zip(page, labels))
+    trained = H.train(taught)
+    for k, page in enumerate(pages):
+        assert trained.extract(page).split("\n\n") == [f"Title {k}", *(f"{x} ({k})" for x in STORY)]
+
+
+def test_every_sample_teaches_both_labels():
+    for pages in ([], [""], ["<div>Home</div>"], [div_page(1)]):
+        labels = np.concatenate([y for _, y in H.labelled_pages(pages)])
+        assert 0 < labels.mean() < 1
