@@ -35,6 +35,7 @@ from .common import partitions
 SEED = 11
 BLOCK = 64
 SEGMENT = 4096  # slots scheduled by one task
+CHUNK = 1 << 18  # slots looked at together
 BUCKETS = 1024  # hash buckets per source
 MAX_SOURCES = 100_000  # bound of the weights that travel with the job
 SMOOTHING = 0.5  # default weights: source size to this power
@@ -67,11 +68,27 @@ class Fluid:
         near = np.rint(out)
         return np.where(np.abs(out - near) < TINY * np.maximum(1, near), near, out)
 
+    def windows(self, sources: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Releases and deadlines of blocks (from 1)."""
+        start = self.slots((blocks - 1) / self.weights[sources])
+        end = self.slots(blocks / self.weights[sources])
+        slack = TINY * np.maximum(1.0, end)
+        return np.floor(start + slack).astype(np.int64), np.ceil(end - slack).astype(np.int64)
+
     def window(self, source: int, block: int) -> tuple[int, int]:
         """Release and deadline of a block (from 1)."""
-        start, end = self.slots(np.array([block - 1, block]) / self.weights[source])
-        slack = TINY * max(1.0, end)
-        return int(np.floor(start + slack)), int(np.ceil(end - slack))
+        release, deadline = self.windows(np.array([source]), np.array([block]))
+        return int(release[0]), int(deadline[0])
+
+    def released(self, low: int, high: int, done: np.ndarray) -> np.ndarray:
+        """How many of the first ``done`` blocks of the sources are released at each slot from ``low`` to ``high``."""
+        first = np.maximum(0, np.floor(self.delivered(float(low))).astype(np.int64) - 1)
+        last = np.minimum(done, np.ceil(self.delivered(float(high))).astype(np.int64) + 1)
+        n = np.maximum(0, last - first)
+        sources = np.repeat(np.arange(len(done)), n)
+        blocks = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[sources] + 1
+        at = self.windows(sources, blocks)[0]
+        return np.bincount(at[(at >= low) & (at < high)] - low, minlength=high - low)
 
     def before(self, t: int) -> np.ndarray:
         """Whole blocks of each source that lie before slot ``t``.
@@ -85,20 +102,31 @@ class Fluid:
         extra = int(t - done.sum())
         if extra <= 0:
             return done
-        begun = np.flatnonzero((flow > done) & (done < self.sizes)).tolist()
-        windows = {s: self.window(s, int(done[s]) + 1) for s in begun}
-        releases = np.array([windows[s][0] for s in begun])
-        since = max(int(releases.min()), t - max(64, min(SEGMENT, 4_000_000 // len(done))))
-        u = np.unique(np.concatenate([np.arange(since, t), releases[releases < t]]))
-        room = t - u - np.maximum(0, done - np.ceil(self.delivered(u.astype(float)))).sum(1)
-        chosen = []
-        for s in sorted(begun, key=lambda s: (windows[s][1], s)):
-            spans = u <= windows[s][0]
-            if len(chosen) < extra and (room[spans] >= 1).all():
-                room[spans] -= 1
-                chosen.append(s)
-        left = sorted(set(begun) - set(chosen), key=lambda s: (windows[s], s))
-        done[chosen + left[: extra - len(chosen)]] += 1
+        begun = np.flatnonzero((flow > done) & (done < self.sizes))
+        releases, deadlines = self.windows(begun, done[begun] + 1)
+        # The room from u on binds the blocks released at u or later: of all u between two
+        # releases only the least room counts. The slots are gone through in chunks, backwards.
+        points, place = np.unique(np.minimum(releases, t - 1), return_inverse=True)
+        least = np.full(len(points) + 1, t, np.int64)
+        later, high = 0, t
+        while high > points[0]:
+            low = max(int(points[0]), high - CHUNK)
+            since = np.cumsum(self.released(low, high, done)[::-1])[::-1] + later
+            u = np.arange(low, high)
+            np.minimum.at(least, np.searchsorted(points, u), t - u - since)
+            later, high = int(since[0]), low
+        chosen = np.zeros(len(begun), bool)
+        for k in np.lexsort((begun, deadlines)).tolist():
+            room = least[: place[k] + 1]
+            if room.min() >= 1:
+                room -= 1
+                chosen[k] = True
+                extra -= 1
+                if not extra:
+                    break
+        rest = np.lexsort((begun, deadlines, releases))
+        chosen[rest[~chosen[rest]][:extra]] = True
+        done[begun[chosen]] += 1
         return done
 
 

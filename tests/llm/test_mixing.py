@@ -38,6 +38,30 @@ def test_random_mixes():
         check_schedule(rng.integers(1, 120, n).tolist(), (rng.random(n) + 0.01).tolist(), int(rng.integers(5, 200)))
 
 
+@pytest.mark.parametrize("n,seed", [(1500, 0), (3000, 1), (3000, 2)])
+def test_thousands_of_sources_keep_their_windows(n, seed):
+    rng = np.random.default_rng(seed)
+    check_schedule(rng.integers(1, 4, n).tolist(), (rng.random(n) ** 3 + 0.001).tolist(), 700)
+
+
+def test_slots_taken_long_before_a_segment_count():
+    # 1,000 blocks released at slot 4,000 are out at 6,000; so but 1,000 of 1,200 others released since then may be.
+    kinds = [(1000, 2000, 10), (1200, 4020, 5), (8000, 40_000, 3)]  # sources, slots a block, blocks
+    weights = np.concatenate([np.full(n, 1 / slots) for n, slots, _ in kinds])
+    fluid = M.Fluid(np.concatenate([np.full(n, size) for n, _, size in kinds]), weights)
+    at = int(np.ceil(2000 * weights.sum()))
+    start, end = 2 * at - 5, fluid.window(0, 3)[1]
+    assert all(release <= slot < deadline for *_, slot, release, deadline in M.schedule(fluid, start, end))
+
+
+def test_free_slots_are_counted_by_chunks(monkeypatch):
+    rng = np.random.default_rng(4)
+    fluid = M.Fluid(rng.integers(1, 9, 300), rng.random(300) + 0.01)
+    want = [fluid.before(t).tolist() for t in range(0, 900, 50)]
+    monkeypatch.setattr(M, "CHUNK", 7)
+    assert [fluid.before(t).tolist() for t in range(0, 900, 50)] == want
+
+
 def test_query_places_every_document_once(spark):
     docs = {(r["doc_id"], r["source"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = op9_mixing(spark, SF).toPandas()
