@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+from types import ModuleType
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +42,17 @@ def fold(column: str, parts: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(parts))
 
 
+def per_worker(key: object, make: Callable):
+    """``make()``, once per Python worker process: later tasks of the worker find it again.
+
+    Functions travel by value, so their modules' globals do not outlive a task.
+    """
+    shelf = sys.modules.setdefault("_worker_shelf", ModuleType("_worker_shelf")).__dict__
+    if key not in shelf:
+        shelf[key] = make()
+    return shelf[key]
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """Connected components of ``edges (a, b)``: ``node, component`` with the smallest node id.
 

@@ -37,3 +37,37 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
   CASE WHEN first_bad IS NOT NULL THEN first_bad WHEN last_role <> 'assistant' THEN n_turns END AS bad_turn
 FROM g
 """
+
+ORACLE["op12_filter_audit"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+t AS (SELECT text, min(doc_id) AS first_id FROM d GROUP BY text),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT w.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+    (len(words) < 100)::INT
+    + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::INT
+    + 4 * (100 * length(regexp_replace(w.text, '[^A-Z]+', '', 'g')) > 10 * length(w.text))::INT
+    + 8 * regexp_matches(w.text, '[#$%&*|]')::INT
+    + 16 * coalesce(w.doc_id > t.first_id, false)::INT AS mask
+  FROM w JOIN t USING (text) LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, mask),
+c AS (SELECT i::INT AS i, chr(65 + i::INT) AS letter, (1 << i::INT) AS bit FROM range(5) r(i)),
+o AS (SELECT '' AS filter_order, 0 AS used UNION ALL
+  SELECT filter_order || letter, used + bit FROM o, c WHERE used & bit = 0),
+s AS (SELECT filter_order, k::INT AS step, ascii(filter_order[k::INT]) - 65 AS i FROM o, range(1, 6) r(k) WHERE length(filter_order) = 5),
+b AS (SELECT s.filter_order, s.step, 1 << s.i AS bit, coalesce(sum(1 << p.i), 0)::INT AS earlier
+  FROM s LEFT JOIN s p ON p.filter_order = s.filter_order AND p.step < s.step GROUP BY s.filter_order, s.step, s.i),
+g AS (SELECT part, filter_order, step, bit,
+    sum(n) FILTER (WHERE mask & (earlier | bit) = 0) AS kept,
+    sum(n) FILTER (WHERE mask & bit <> 0 AND mask & earlier = 0) AS removed,
+    sum(n) FILTER (WHERE mask & bit <> 0 AND mask & earlier <> 0) AS redundant,
+    sum(n) FILTER (WHERE mask = bit) AS unique_fails,
+    sum(good) FILTER (WHERE mask & bit <> 0 AND mask & earlier = 0) AS good_lost,
+    sum(toxic) FILTER (WHERE mask & bit <> 0 AND mask & earlier = 0) AS toxic_lost
+  FROM m, b GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  (sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM g
+"""

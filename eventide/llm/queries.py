@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, fingerprint, html_crf, line_dedup, minhash_dedup, mixing, packing, quality, toxicity
+from . import chat, embedding_dedup, filter_audit, fingerprint, html_crf, importance, line_dedup, minhash_dedup, mixing
+from . import packing, quality, token_counts, toxicity
 from .common import fold, table
 
 MARKER_CASE = "\\### Assistant: </turn> ok"
@@ -94,6 +95,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("predicted", (F.col("score") >= QUALITY_CUT).cast("int"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return filter_audit.audit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.resample(docs, table(spark, sf_dir, "benchmark").select("text"))
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -105,4 +120,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op11_token_counts": op11_token_counts,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_importance": op13_importance,
 }
