@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import percent, quotient, volume_category
-from .joins import left_join_spread, split_join
+from .joins import bloom_anti_join, salted_left_join, split_join
 
 TICKER_DAY = ["ticker", "business_date"]
 POSITION_KEY = ["business_date", "participant_id", "ticker"]
@@ -185,8 +185,9 @@ def settlement_recon(
 ) -> DataFrame:
     """Trades against settlement instructions by trade id.
 
-    The id alone is compared, so repeated ids fan out. An instruction without a
-    status is reported like a missing one.
+    The id alone is compared, so repeated ids fan out; ids that hold many rows on
+    either side are split (``salted_left_join``). An instruction without a status is
+    reported like a missing one.
     """
     side = instructions.select(
         "trade_id", "settlement_id", "settlement_date", F.col("status").alias("settlement_status"),
@@ -194,7 +195,7 @@ def settlement_recon(
     )
     found = F.col("_found").isNotNull()
     status = F.col("settlement_status")
-    out = left_join_spread(trades, side, "trade_id").select(
+    out = salted_left_join(trades, side, "trade_id").select(
         "trade_id", "ticker", "business_date", "price", "quantity", "buyer_participant",
         "seller_participant", "settlement_id", "settlement_date", "settlement_status",
         F.when(found & (status == "MATCHED"), "MATCHED")
@@ -213,7 +214,7 @@ def settlement_recon_detailed(trades: DataFrame, instructions: DataFrame) -> Dat
     )
     amount = _notional()
     present = F.col("instruction_id").isNotNull()
-    return left_join_spread(
+    return salted_left_join(
         trades.select("trade_id", "ticker", "price", "quantity", "business_date"), side, "trade_id"
     ).select(
         "trade_id", "instruction_id", "ticker", F.col("quantity").alias("trade_quantity"),
@@ -281,9 +282,12 @@ def _report_columns(counts: DataFrame) -> DataFrame:
 
 
 def orphan_instructions(instructions: DataFrame, trades: DataFrame) -> DataFrame:
-    """Instructions whose trade id has no trade on the same business date."""
-    on = ["trade_id", "business_date"]
-    return split_join(instructions, trades.select(*on).distinct(), on, "left_anti")
+    """Instructions whose trade id has no trade on the same business date.
+
+    Instructions are few beside the trades: of those only keys that pass a Bloom filter
+    of the instructions' keys travel, one row each.
+    """
+    return bloom_anti_join(instructions, trades, ["trade_id", "business_date"])
 
 
 def trades_without_instruction(trades: DataFrame, instructions: DataFrame) -> DataFrame:

@@ -25,10 +25,70 @@ def skewed(spark):
     return left, right
 
 
-def test_left_join_spread_equals_left_join(skewed):
+@pytest.mark.parametrize("least", [3, 25, 10_000])
+def test_salted_left_join_equals_left_join(skewed, least):
     left, right = skewed
-    got = joins.left_join_spread(left, right, "k")
-    assert counts(got) == counts(left.join(right, "k", "left"))
+    for a, b in ((left, right), (right, left.withColumnRenamed("a", "c")), (left, right.limit(0)), (left.limit(0), right)):
+        assert counts(joins.salted_left_join(a, b, "k", least)) == counts(a.join(b, "k", "left"))
+
+
+def test_salted_join_shuffles_each_side_once_and_splits_the_hot_key(spark):
+    left = spark.range(0, 40_000, 1, 8).select(
+        F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 5 == 0, None).otherwise(F.col("id").cast("string")).alias("k"),
+        F.col("id").alias("a"))
+    right = spark.range(0, 20_000, 1, 8).select(
+        F.when(F.col("id") % 4000 == 0, "hot").otherwise((F.col("id") * 3).cast("string")).alias("k"), F.lit(2).alias("b"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        df = joins.salted_left_join(left, right, "k", 1000)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2 and plan.count("SortMergeJoin") == 1
+        # Neither the hot rows nor those without a key lie in one task.
+        sizes = df.filter("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in sizes) <= 0.6 * 100_000
+        loose = df.filter("k IS NULL").groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in loose) <= 0.6 * 4_000
+        assert df.count() == left.join(right, "k", "left").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_frequent_keys_merge_within_the_stated_error(spark):
+    rows = spark.range(0, 60_000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).when(F.col("id") % 7 == 0, F.lit(-2)).otherwise(F.col("id")).alias("k"))
+    true = {r["k"]: r["count"] for r in rows.filter("k < 0").groupBy("k").count().collect()}
+    found = joins.frequent_keys(rows, "k", shards=2, tracked=64).collect()
+    assert sum(r["rows"] for r in found) == 60_000
+    for k, n in true.items():
+        best = max((i["count"], r["rows"]) for r in found for i in r["items"] if i["item"] == k)
+        assert abs(best[0] - n) <= joins.count_error(best[1], 64)
+    hot, share = joins.hot_keys(rows, "k", 16, 1000)
+    assert set(hot) == {-1, -2} and share == 3750
+
+
+@pytest.mark.parametrize("words", [64, 4096])
+def test_bloom_filter(spark, words):
+    keys = spark.range(0, 6000, 3).select(F.col("id").alias("k"), F.lit("x").alias("d"))
+    facts = spark.range(0, 60_000, 1, 4).select(F.col("id").alias("k"), F.lit("x").alias("d"))
+    whole = joins.bloom_filter(keys, ["k", "d"], words)
+    parts = [joins.bloom_filter(keys.filter(F.col("k") % 2 == n), ["k", "d"], words) for n in (0, 1)]
+    assert counts(joins.merge_filters(*parts)) == counts(whole)
+    passed = joins.maybe_in(facts, whole, ["k", "d"], words)
+    assert passed.join(keys, "k", "left_semi").count() == 2000  # no key is lost
+    rate = (passed.count() - 2000) / 58_000
+    stated = joins.false_positive_rate(2000, words)
+    assert abs(rate - stated) < 0.15 * stated + 0.001
+
+
+@pytest.mark.parametrize("words", [16, joins.WORDS])
+def test_bloom_anti_join(spark, words):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (None, "a"), (7, None)], "k int, d string")
+    facts = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (7, None), (None, "a")], "k int, d string")
+    got = joins.bloom_anti_join(df, facts, ["k", "d"], words)
+    assert counts(got) == sorted([("a", "2"), ("a", "None"), ("None", "7")])
 
 
 def final_plan(df):
@@ -37,7 +97,7 @@ def final_plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("case", ["report", "orphans", "rows_in", "enrich", "spread"])
+@pytest.mark.parametrize("case", ["report", "orphans", "rows_in", "enrich"])
 def test_hot_key_is_split(spark, case):
     """The final plan reads the hot key's partition in parts (skew=true)."""
     conf = {
@@ -60,10 +120,8 @@ def test_hot_key_is_split(spark, case):
             df = R.orphan_instructions(facts, keys)
         elif case == "rows_in":
             df = joins.rows_in(facts, keys, "trade_id")
-        elif case == "enrich":
-            df = R.enrich_trades(facts, keys.groupBy("ticker", "business_date").agg(F.max(F.lit(2)).alias("closing_price")))
         else:
-            df = joins.left_join_spread(keys.select("trade_id"), facts.select("trade_id", "pad"), "trade_id")
+            df = R.enrich_trades(facts, keys.groupBy("ticker", "business_date").agg(F.max(F.lit(2)).alias("closing_price")))
         assert "skew=true" in final_plan(df)
     finally:
         for k, v in old.items():
