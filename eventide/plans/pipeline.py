@@ -6,6 +6,7 @@ Steps are plain driver functions; Spark retries tasks, the caller re-runs jobs.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -30,18 +31,19 @@ from ..schemas import (
     TRADE_MOVEMENTS_CONTRACT,
     Contract,
 )
+from ..sources import versions
 from ..sources.sinks import (
-    clear_slices,
+    changed_dates,
     export_csv,
     export_parquet,
-    replace_slice,
-    replace_slices,
+    hash_diff,
     split_valid,
-    violations,
     write_csv,
     write_dq_results,
 )
 
+TABLES = ("dw_trade_movements", "dw_drvt_positions", "dw_cash_positions")
+
 
 @dataclass
 class Paths:
@@ -68,13 +70,12 @@ HASH_KEYS = {
 }
 
 
-def _load(mapped: DataFrame, contract: Contract, paths: Paths, generation: str, source: str,
-          business_date: str | None, load_ts, flags: dict[str, Column] | None = None) -> dict[str, int]:
-    """Conform, audit and store mapped rows; rejected rows go to a dated side table.
+def _load(change: versions.Change, mapped: DataFrame, contract: Contract, paths: Paths, generation: str, source: str,
+          business_date: str | None, load_ts) -> list[str]:
+    """Conform, audit and write mapped rows and their rejects as new slices; returns the dates loaded.
 
-    Both tables hold one slice per date, and a load replaces the slices of its dates in
-    both, so a clean load also clears the rejects of an earlier one. All counts come from
-    the slices as written. ``dates`` in the result lists the dates loaded.
+    A load replaces the slices of its dates in both tables, so a clean load also clears the
+    rejects of an earlier one. Nothing is live before the change commits.
     """
     table = contract.table
     day = DATE_COLUMN[table]
@@ -82,71 +83,116 @@ def _load(mapped: DataFrame, contract: Contract, paths: Paths, generation: str,
         mapped = for_date(mapped, day, business_date)
     good, rejects = split_valid(mapped, contract)
     good = add_audit(good, source, HASH_KEYS[(table, generation)], load_ts)
-    target, aside = paths.table(table), paths.table(f"{table}_rejects")
-    if business_date is not None:
-        replace_slice(good, target, day, business_date)
-        replace_slice(rejects, aside, day, business_date)
-        dates = [business_date]
-    else:
-        bad = F.size(violations(contract)) > 0
-        days = mapped.groupBy(F.col(day).cast("string").alias("day")).agg(
-            F.count_if(~bad).alias("good"), F.count_if(bad).alias("bad")).filter("day IS NOT NULL").collect()
-        dates = [r["day"] for r in days]
-        replace_slices(good, target, day)
-        replace_slices(rejects, aside, day)
-        clear_slices(mapped.sparkSession, target, day, [r["day"] for r in days if not r["good"]], good.schema)
-        clear_slices(mapped.sparkSession, aside, day, [r["day"] for r in days if not r["bad"]], rejects.schema)
-    spark = mapped.sparkSession
-    stored = on_dates(spark.read.schema(good.schema).parquet(target), day, dates)
-    counts = stored.agg(
-        F.count(F.lit(1)).alias("rows_written"),
-        *[F.count_if(c).alias(n) for n, c in (flags or {}).items()]).first().asDict()
-    apart = spark.read.schema(rejects.schema).parquet(aside)
-    counts["rows_rejected"] = on_dates(apart, day, dates, business_date is None).count()
+    loaded = [business_date] if business_date is not None else []
+    undated = [None] if business_date is None else []
+    written = change.replace(table, paths.table(table), good, day, loaded)
+    written += change.replace(f"{table}_rejects", paths.table(f"{table}_rejects"), rejects, day, loaded + undated)
+    dates = sorted({*loaded, *written} - {versions.NO_DATE})
+    for name in (table, f"{table}_rejects"):
+        change.clear(name, dates)
+    return dates
+
+
+def _stored(change: versions.Change, table: str, dates: list[str], *aggs: Column) -> dict[str, int]:
+    """Counts over the slices as written: rows, rejects and ``aggs``, in one job."""
+    apart = change.read(f"{table}_rejects", [*dates, versions.NO_DATE]).agg(F.count(F.lit(1)))
+    counts = change.read(table, dates).agg(F.count(F.lit(1)).alias("rows_written"), *aggs).withColumn(
+        "rows_rejected", apart.scalar()).first().asDict()
     counts["rows_read"] = counts["rows_written"] + counts["rows_rejected"]
-    return {k: int(v) for k, v in counts.items()} | {"dates": sorted(dates)}
+    return {k: int(v) for k, v in counts.items()}
 
 
-def on_dates(df: DataFrame, column: str, dates: list[str], undated: bool = False) -> DataFrame:
+def on_dates(df: DataFrame, column: str, dates: list[str]) -> DataFrame:
     """Rows of the given dates (a list of days, bounded by the calendar)."""
-    hit = F.col(column).cast("string").isin(dates)
-    return df.filter(hit | F.col(column).isNull() if undated else hit)
+    return df.filter(F.col(column).cast("string").isin(dates))
 
 
 def load_trades(source: DataFrame, paths: Paths, business_date: str | None = None, generation: str = "g1",
-                label: str = "oracle", load_ts="1970-01-01 00:00:00") -> dict[str, int]:
+                label: str = "oracle", load_ts="1970-01-01 00:00:00", change: versions.Change | None = None) -> dict:
     """Load trade movements. Repeated trade ids are kept on purpose, and counted:
-    the quality gate reports them."""
+    the quality gate reports them. Without a ``change`` to join, the load is one of its own."""
+    own = change or versions.Change(source.sparkSession, paths.root)
     mapped = map_trades_g1(source) if generation == "g1" else map_trades_g2(source, business_date)
-    out = _load(mapped, TRADE_MOVEMENTS_CONTRACT, paths, generation, label, business_date, load_ts)
-    stored = on_dates(read_table(source.sparkSession, paths, "dw_trade_movements"), "trade_dt", out["dates"])
-    extra = Q.excess_duplicates(stored, "trade_id", ["trade_dt"]).agg(F.coalesce(F.sum("duplicates"), F.lit(0)))
-    out["duplicates"] = int(extra.first()[0])
-    return out
+    table = TRADE_MOVEMENTS_CONTRACT.table
+    dates = _load(own, mapped, TRADE_MOVEMENTS_CONTRACT, paths, generation, label, business_date, load_ts)
+    # One grouping by (date, id) gives rows and repeated ids.
+    per_id = own.read(table, dates).groupBy(DATE_COLUMN[table], "trade_id").agg(F.count(F.lit(1)).alias("n"))
+    rejected = own.read(f"{table}_rejects", [*dates, versions.NO_DATE]).agg(F.count(F.lit(1)))
+    n = per_id.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra")).withColumn(
+        "rejected", rejected.scalar()).first()
+    if change is None:
+        own.commit()
+    return {"rows_read": n["rows"] + n["rejected"], "rows_rejected": n["rejected"], "rows_written": n["rows"],
+            "duplicates": n["extra"], "dates": dates}
 
 
 def load_positions(drvt: DataFrame, cash: DataFrame, paths: Paths, business_date: str | None = None,
-                   generation: str = "g1", label: str = "oracle", load_ts="1970-01-01 00:00:00") -> dict[str, int]:
-    """Load both position tables; missing prices and zero sums are counted."""
+                   generation: str = "g1", label: str = "oracle", load_ts="1970-01-01 00:00:00",
+                   change: versions.Change | None = None) -> dict:
+    """Load both position tables, which change together; missing prices and zero sums are counted."""
+    own = change or versions.Change(drvt.sparkSession, paths.root)
     g1 = generation == "g1"
-    d = _load(map_drvt_positions(drvt) if g1 else map_drvt_rows(drvt, zero_as_null=True),
-              DRVT_POSITIONS_CONTRACT, paths, generation, label, business_date, load_ts,
-              {"nulls_found": F.col("settlement_price").isNull()})
-    c = _load(map_cash_positions(cash) if g1 else map_cash_rows(cash),
-              CASH_POSITIONS_CONTRACT, paths, generation, label, business_date, load_ts,
-              {"zero_sum_found": F.col("long_value") + F.col("short_value") == 0})
+    days_d = _load(own, map_drvt_positions(drvt) if g1 else map_drvt_rows(drvt, zero_as_null=True),
+                   DRVT_POSITIONS_CONTRACT, paths, generation, label, business_date, load_ts)
+    days_c = _load(own, map_cash_positions(cash) if g1 else map_cash_rows(cash),
+                   CASH_POSITIONS_CONTRACT, paths, generation, label, business_date, load_ts)
+    d = _stored(own, DRVT_POSITIONS_CONTRACT.table, days_d, F.count_if(F.col("settlement_price").isNull()).alias("nulls_found"))
+    c = _stored(own, CASH_POSITIONS_CONTRACT.table, days_c,
+                F.count_if(F.col("long_value") + F.col("short_value") == 0).alias("zero_sum_found"))
+    if change is None:
+        own.commit()
     return {
         "drvt_rows_read": d["rows_read"], "drvt_rows_written": d["rows_written"],
         "cash_rows_read": c["rows_read"], "cash_rows_written": c["rows_written"],
         "rows_rejected": d["rows_rejected"] + c["rows_rejected"],
         "nulls_found": d["nulls_found"], "zero_sum_found": c["zero_sum_found"],
-        "dates": sorted({*d["dates"], *c["dates"]}),
+        "dates": sorted({*days_d, *days_c}),
     }
 
 
+def load_changes(mapped: DataFrame, contract: Contract, paths: Paths, business_date: str | None = None,
+                 generation: str = "g1", label: str = "oracle", load_ts="1970-01-01 00:00:00") -> list[str]:
+    """Load mapped rows, but write only the dates whose rows differ from those stored; returns these dates.
+
+    A date that holds the same rows keeps its files and load time. Rows are compared by
+    a hash of all contract columns, as multisets per key.
+    """
+    spark, table = mapped.sparkSession, contract.table
+    day = DATE_COLUMN[table]
+    change = versions.Change(spark, paths.root)
+    if table not in change.base.tables:
+        dates = _load(change, mapped, contract, paths, generation, label, business_date, load_ts)
+        change.commit()
+        return dates
+    if business_date is not None:
+        mapped = for_date(mapped, day, business_date)
+    good, rejects = split_valid(mapped, contract)
+    scope = None if business_date is None else [business_date]
+    differ: set[str] = set()
+    for name, fresh in ((table, good), (f"{table}_rejects", rejects)):
+        columns = [c for c in fresh.columns if c != day]
+        stored = change.read(name, scope).select(*columns, day)
+        diff = hash_diff(stored, fresh, day, [contract.columns[0].name], columns)
+        differ |= {versions.NO_DATE if r[0] is None else str(r[0]) for r in changed_dates(diff, day).collect()}
+    if not differ:
+        return []
+    dates = sorted(differ - {versions.NO_DATE})
+    undated = [None] if versions.NO_DATE in differ else []
+    good = add_audit(on_dates(good, day, dates), label, HASH_KEYS[(table, generation)], load_ts)
+    hit = F.col(day).cast("string").isin(dates)
+    rejects = rejects.filter(hit | F.col(day).isNull() if undated else hit)
+    change.replace(table, paths.table(table), good, day, dates)
+    change.replace(f"{table}_rejects", paths.table(f"{table}_rejects"), rejects, day, dates + undated)
+    change.commit()
+    return dates + [versions.NO_DATE] * len(undated)
+
+
 def read_table(spark: SparkSession, paths: Paths, name: str, business_date: str | None = None) -> DataFrame:
-    df = spark.read.parquet(paths.table(name))
-    return df if business_date is None else for_date(df, DATE_COLUMN[name], business_date)
+    """A table as the newest change left it; check results, which only grow by runs, as they lie there."""
+    if name == "dq_results":
+        df = spark.read.parquet(paths.table(name))
+        return df if business_date is None else for_date(df, DATE_COLUMN[name], business_date)
+    return versions.read(spark, paths.root, name, None if business_date is None else [business_date])
 
 
 def gate_checks(
@@ -195,10 +241,8 @@ def quality_gate(
     ``dates`` restricts the warehouse to the dates at hand. The results are stored
     before a ``raise`` gate stops the run.
     """
-    names = ["dw_trade_movements", "dw_drvt_positions", "dw_cash_positions"]
-    dw = {n: read_table(spark, paths, n) for n in names}
-    if dates is not None:
-        dw = {n: on_dates(df, DATE_COLUMN[n], dates) for n, df in dw.items()}
+    scope = dates if dates is not None else None if business_date is None else [business_date]
+    dw = {n: versions.read(spark, paths.root, n, scope) for n in TABLES}
     results = Q.stamp_results(gate_checks(dw, src, business_date, generation), run_id, created_at)
     write_dq_results(results, paths.table("dq_results"), "replace" if generation == "g1" else "append")
     stored = read_table(spark, paths, "dq_results", business_date).filter(F.col("run_id") == run_id)
@@ -214,41 +258,50 @@ def publish(spark: SparkSession, paths: Paths, business_date: str, guard: bool =
         results = read_table(spark, paths, "dq_results")
         if not Q.publish_allowed(results, business_date, all_runs):
             return {"status": "failed", "reason": f"quality gate failed for {business_date}", "files_exported": []}
-    formats = formats or {"dw_trade_movements": "parquet", "dw_drvt_positions": "parquet", "dw_cash_positions": "csv"}
-    files = []
+    formats = formats or EXPORT_FORMATS
+    drafts, files = f"{paths.root}/exports-{uuid.uuid4().hex}", []
     for table, fmt in formats.items():
-        folder = "spot" if table == "dw_cash_positions" else "derivatives"
         rows = read_table(spark, paths, table, business_date).select(*EXPORT_COLUMNS[table])
         write = export_parquet if fmt == "parquet" else export_csv
-        target = write(rows, paths.export(f"{folder}/{table}"), business_date)
+        target = write(rows, f"{drafts}/{_folder(table)}/{table}", business_date)
         if target:
-            files.append(target)
-    return {"status": "success", "files_exported": files}
+            files.append((target, target.replace(drafts, f"{paths.root}/exports", 1)))
+    versions.move_all(spark, files, drafts)
+    return {"status": "success", "files_exported": [new for _, new in files]}
+
+
+EXPORT_FORMATS = {"dw_trade_movements": "parquet", "dw_drvt_positions": "parquet", "dw_cash_positions": "csv"}
+
+
+def _folder(table: str) -> str:
+    return "spot" if table == "dw_cash_positions" else "derivatives"
 
 
 def publish_dates(spark: SparkSession, paths: Paths, guard: bool = True, all_runs: bool = False,
                   dates: list[str] | None = None) -> list[str]:
-    """Export every date (of ``dates``, if given) whose gate allows it, as ``dt=<date>`` partitions."""
+    """Export every date (of ``dates``, if given) whose gate allows it, as ``dt=<date>`` partitions.
+
+    All three tables are written aside first; the dates appear when every file is there.
+    """
     allowed = None
     if guard:
         verdicts = Q.publish_guard(read_table(spark, paths, "dq_results"), all_runs)
         allowed = verdicts.filter("publish_allowed").select("business_date")
-    targets = []
-    for table, fmt in (("dw_trade_movements", "parquet"), ("dw_drvt_positions", "parquet"), ("dw_cash_positions", "csv")):
-        folder = "spot" if table == "dw_cash_positions" else "derivatives"
-        rows = read_table(spark, paths, table).select(*EXPORT_COLUMNS[table])
+    drafts, targets, files = f"{paths.root}/exports-{uuid.uuid4().hex}", [], []
+    for table, fmt in EXPORT_FORMATS.items():
+        rows = versions.read(spark, paths.root, table, dates).select(*EXPORT_COLUMNS[table])
         rows = rows.withColumn("dt", F.col(DATE_COLUMN[table]))
-        if dates is not None:
-            rows = on_dates(rows, "dt", dates)
         if allowed is not None:
             rows = rows.join(allowed.withColumnRenamed("business_date", "dt"), "dt", "left_semi")
-        target = paths.export(f"{folder}/{table}")
+        draft, target = f"{drafts}/{table}", paths.export(f"{_folder(table)}/{table}")
         rows = rows.hint("rebalance", "dt")
         if fmt == "parquet":
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(target)
+            rows.write.partitionBy("dt").parquet(draft)
         else:
-            write_csv(rows, target, "dt")
+            write_csv(rows, draft, "dt")
+        files += [(f"{draft}/{n}", f"{target}/{n}") for n in versions.names(spark, draft) if n.startswith("dt=")]
         targets.append(target)
+    versions.move_all(spark, files, drafts)
     return targets
 
 
@@ -269,8 +322,9 @@ def run_d1(
 
     Only the dates loaded are checked and published, whatever else the warehouse holds.
     """
-    loaded = load_trades(trades, paths, business_date, generation, load_ts=load_ts)
-    positions = load_positions(drvt, cash, paths, business_date, generation, load_ts=load_ts)
+    with versions.Change(spark, paths.root) as change:  # trades, positions and rejects change together
+        loaded = load_trades(trades, paths, business_date, generation, load_ts=load_ts, change=change)
+        positions = load_positions(drvt, cash, paths, business_date, generation, load_ts=load_ts, change=change)
     dates = sorted({*loaded["dates"], *positions["dates"]})
     src = {"trades": trades, "drvt": drvt, "cash": cash}
     verdict = quality_gate(spark, paths, src, run_id, load_ts, business_date, generation, gate_mode, dates)
@@ -285,15 +339,14 @@ def run_d1(
         done = publish(spark, paths, business_date, guard)
         verdict = verdict.withColumn("_out", F.lit(done["status"] == "success"))
     counts = [
-        on_dates(read_table(spark, paths, t), DATE_COLUMN[t], dates).groupBy(
+        versions.read(spark, paths.root, t, dates).groupBy(
             F.col(DATE_COLUMN[t]).alias("business_date")).agg(F.count(F.lit(1)).alias(f"{t}_rows"))
-        for t in ("dw_trade_movements", "dw_drvt_positions", "dw_cash_positions")
+        for t in TABLES
     ]
     joined = reduce(lambda a, b: a.join(b, "business_date", "left"), counts, verdict)
     published = F.coalesce("_out", F.lit(False))
     return joined.select(
         "business_date", "checks_run", "checks_failed", "critical_failures", "gate_status",
-        *[F.coalesce(f"{t}_rows", F.lit(0)).alias(f"{t}_rows") for t in
-          ("dw_trade_movements", "dw_drvt_positions", "dw_cash_positions")],
+        *[F.coalesce(f"{t}_rows", F.lit(0)).alias(f"{t}_rows") for t in TABLES],
         published.alias("published"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import for_date
+from ..functions.scalars import for_date, row_hash
 from ..schemas import Contract
 
 
@@ -27,14 +27,20 @@ def replace_slices(df: DataFrame, path: str, part_col: str) -> None:
 def replace_slice(df: DataFrame, path: str, part_col: str, business_date: str) -> int:
     """Replace one date with the rows of ``df`` and return how many were written.
 
-    Dynamic overwrite leaves a date untouched when no row arrives for it, so the
-    date's folder is written on its own, empty or not. The count is that of the
-    files written, whatever tasks ran twice.
+    The new files are written beside the old slice, which goes only when all of them
+    are there. A date without rows is emptied. The count is that of the files written,
+    whatever tasks ran twice.
     """
+    spark = df.sparkSession
+    day = F.lit(business_date).cast(df.schema[part_col].dataType)
+    rows = for_date(df, part_col, business_date).withColumn(part_col, day)
+    replace_slices(rows, path, part_col)
     target = f"{path}/{part_col}={business_date}"
-    rows = for_date(df, part_col, business_date).drop(part_col)
-    rows.hint("rebalance").write.mode("overwrite").parquet(target)
-    return df.sparkSession.read.schema(rows.schema).parquet(target).count()
+    stored = spark.read.schema(T.StructType([f for f in rows.schema if f.name != part_col]))
+    if rows.isEmpty():
+        clear_slices(spark, path, part_col, [business_date], rows.schema)
+        return 0
+    return stored.parquet(target).count()
 
 
 def clear_slices(spark: SparkSession, path: str, part_col: str, dates: list[str], layout: T.StructType) -> None:
@@ -135,6 +141,39 @@ def insert_missing(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataF
     return target.unionByName(first.select(*target.columns))
 
 
+# --- what a load changes ----------------------------------------------------
+def hash_diff(stored: DataFrame, fresh: DataFrame, day: str, keys: list[str], columns: list[str]) -> DataFrame:
+    """``day, keys, unchanged, updated, inserted, deleted`` rows, for every date and key of either side.
+
+    Rows are compared by the hash of ``columns``. A key may repeat: its rows are two
+    multisets, equal rows are unchanged, and of the others as many as both sides hold are
+    updates. Only dates, keys and hashes are shuffled, once.
+    """
+    def side(df: DataFrame, old: int) -> DataFrame:
+        return df.select(day, *keys, row_hash(df, columns).alias("_h"), F.lit(old).alias("_old"))
+
+    both = side(stored, 1).unionByName(side(fresh, 0))
+    per_hash = both.groupBy(day, *keys, "_h").agg(
+        F.sum("_old").alias("_o"), F.sum(1 - F.col("_old")).alias("_n"))
+    same = F.least("_o", "_n")
+    per_key = per_hash.groupBy(day, *keys).agg(
+        F.sum(same).alias("unchanged"), F.sum(F.col("_o") - same).alias("_o"), F.sum(F.col("_n") - same).alias("_n"))
+    updated = F.least("_o", "_n")
+    return per_key.select(
+        day, *keys, "unchanged", updated.alias("updated"),
+        (F.col("_n") - updated).alias("inserted"), (F.col("_o") - updated).alias("deleted"))
+
+
+def diff_by_date(diff: DataFrame, day: str) -> DataFrame:
+    """The rows of ``hash_diff`` summed per date."""
+    return diff.groupBy(day).agg(*[F.sum(c).alias(c) for c in ("unchanged", "updated", "inserted", "deleted")])
+
+
+def changed_dates(diff: DataFrame, day: str) -> DataFrame:
+    """Dates with any difference."""
+    return diff.filter("updated + inserted + deleted > 0").select(day).distinct()
+
+
 def rule_predicates(contract: Contract) -> list[tuple[str, Column]]:
     """Every rule of a contract as (``column:rule``, the row breaks it)."""
     rules = []

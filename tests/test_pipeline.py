@@ -119,7 +119,7 @@ def test_rejects_and_exports_of_other_dates_stay(spark, tmp_path, day):
     moved = trades.withColumn("business_date", F.lit(other).cast("date"))
     for df, date in ((trades, DAY), (moved, other)):
         assert P.load_trades(df.withColumn("status", rejected), paths, date, load_ts=TS)["rows_rejected"] == 1
-    held = lambda: {str(r[0]) for r in spark.read.parquet(paths.table("dw_trade_movements_rejects")).select("trade_dt").collect()}
+    held = lambda: {str(r[0]) for r in P.read_table(spark, paths, "dw_trade_movements_rejects").select("trade_dt").collect()}
     assert held() == {DAY, other}
     both = trades.unionByName(moved.withColumn("status", rejected))
     assert P.load_trades(both, paths, load_ts=TS)["rows_rejected"] == 1  # all dates: the clean one loses its old reject
@@ -133,6 +133,73 @@ def test_rejects_and_exports_of_other_dates_stay(spark, tmp_path, day):
     assert {str(r["dt"]) for r in csv.collect()} == {DAY, other}
 
 
+def test_a_run_that_dies_between_tables_leaves_the_old_state_of_all(spark, tmp_path, day, monkeypatch):
+    paths, _ = run(spark, tmp_path, day)
+    state = lambda: {t: sorted(map(str, P.read_table(spark, paths, t).collect()))
+                     for n in P.TABLES for t in (n, f"{n}_rejects")}
+    before, number = state(), P.versions.current(spark, paths.root).number
+    write, calls = P.versions.Change.replace, []
+
+    def fails(self, table, *args, **kw):
+        calls.append(table)
+        if table == "dw_cash_positions":
+            raise OSError("disk full")
+        return write(self, table, *args, **kw)
+
+    monkeypatch.setattr(P.versions.Change, "replace", fails)
+    fewer = [df.limit(7) for df in day]
+    with pytest.raises(OSError, match="disk full"):
+        P.run_d1(spark, paths, *fewer, run_id="r2", load_ts=TS, business_date=DAY)
+    assert calls[:4] == ["dw_trade_movements", "dw_trade_movements_rejects", "dw_drvt_positions", "dw_drvt_positions_rejects"]
+    assert state() == before and P.versions.current(spark, paths.root).number == number
+    monkeypatch.undo()
+    P.run_d1(spark, paths, *fewer, run_id="r3", load_ts=TS, business_date=DAY)
+    assert P.read_table(spark, paths, "dw_trade_movements").count() == 7
+
+
+def test_exports_of_a_publication_that_dies_stay(spark, tmp_path, day, monkeypatch):
+    paths, _ = run(spark, tmp_path, day)
+    old = sorted(os.listdir(paths.export("derivatives") + "/dw_trade_movements_20240102.parquet"))
+
+    def broken(*args, **kw):
+        raise OSError("disk full")
+
+    monkeypatch.setattr(P, "export_csv", broken)
+    with pytest.raises(OSError):
+        P.publish(spark, paths, DAY)
+    assert sorted(os.listdir(paths.export("derivatives") + "/dw_trade_movements_20240102.parquet")) == old
+    monkeypatch.undo()
+    monkeypatch.setattr(P, "write_csv", broken)
+    with pytest.raises(OSError):
+        P.publish_dates(spark, paths)
+    assert not os.path.exists(paths.export("derivatives/dw_trade_movements") + "/dt=2024-01-02")
+
+
+def test_second_load_of_the_same_rows_writes_nothing(spark, tmp_path, day):
+    paths, other = P.Paths(str(tmp_path)), "2024-01-03"
+    moved = day[0].withColumns({c: F.lit(other).cast("date") for c in ("business_date", "trade_dt")})
+    both = M.map_trades_g1(day[0].unionByName(moved))
+    load = lambda rows, **kw: P.load_changes(rows, TRADE_MOVEMENTS_CONTRACT, paths, load_ts=TS, **kw)
+    assert load(both) == [DAY, other]
+    number = P.versions.current(spark, paths.root).number
+    assert load(both) == [] and load(both, business_date=DAY) == [] and P.versions.current(spark, paths.root).number == number
+    late = F.when((F.col("trade_id") == "TRD-00003") & (F.col("trade_dt") == other), F.lit("LATE")).otherwise(F.col("status"))
+    assert load(both.withColumn("status", late)) == [other]
+    assert P.read_table(spark, paths, "dw_trade_movements").filter("status = 'LATE'").count() == 1
+    gone = both.withColumn("status", F.when(F.col("trade_dt") == DAY, F.col("status")))  # all of a date is rejected
+    assert load(gone) == [other] and load(gone) == []
+    assert P.read_table(spark, paths, "dw_trade_movements_rejects").count() == 500
+
+
+def test_hash_diff_of_repeated_keys(spark):
+    old = spark.createDataFrame([("d1", 1, "a"), ("d1", 1, "a"), ("d1", 2, "x"), ("d2", 3, "k"), ("d2", 4, "k"), ("d2", 4, "k")], "day string, id int, v string")
+    new = spark.createDataFrame([("d1", 1, "a"), ("d1", 1, "b"), ("d1", 2, "x"), ("d2", 4, "k"), ("d2", 4, None), ("d3", 5, None)], "day string, id int, v string")
+    diff = sinks.hash_diff(old, new, "day", ["id"], ["v"])
+    got = {(r["day"], r["id"]): tuple(r)[2:] for r in diff.collect()}
+    assert got == {("d1", 1): (1, 1, 0, 0), ("d1", 2): (1, 0, 0, 0), ("d2", 3): (0, 0, 0, 1), ("d2", 4): (1, 1, 0, 0), ("d3", 5): (0, 0, 1, 0)}
+    assert sorted(r[0] for r in sinks.changed_dates(diff, "day").collect()) == ["d1", "d2", "d3"]
+
+
 def test_runs_look_at_their_own_dates_only(spark, tmp_path, day):
     paths, _ = run(spark, tmp_path, day)
     moved = [df.withColumns({c: F.lit("2024-01-03").cast("date") for c in ("business_date", "position_date") if c in df.columns}) for df in day]
@@ -196,7 +263,7 @@ def test_overflow_row_is_rejected_on_load(spark, tmp_path, day):
     paths = P.Paths(str(tmp_path))
     out = P.load_trades(big, paths, DAY, load_ts=TS)
     assert (out["rows_written"], out["rows_rejected"]) == (499, 1)
-    reject = spark.read.parquet(paths.table("dw_trade_movements_rejects")).first()
+    reject = P.read_table(spark, paths, "dw_trade_movements_rejects").first()
     assert set(reject["reject_reasons"]) == {"notional:type", "quantity:type"}
 
 
