@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,41 +102,66 @@ def impact(edges: DataFrame, dataset: str, direction: str = "downstream", namesp
 def impacts(edges: DataFrame, starts: dict[str, str], namespace: str | None = None) -> DataFrame:
     """``direction, namespace, name, depth``: what each start reaches, in one pass.
 
-    ``starts`` maps ``downstream`` and ``upstream`` to a dataset each. Edges become hops between datasets, written once; then one round per
-    level: frontier to hops, minus what was found. Each round is written to the shared
-    folder with all that is found so far, so plans stay short and a lost executor
-    repeats one round only.
+    ``starts`` maps ``downstream`` and ``upstream`` to a dataset each. Datasets and jobs are
+    the vertices. A vertex with one predecessor lies one step behind it, so such vertices
+    jump to the last ancestor that has several predecessors, in steps that double: a chain
+    takes as many rounds as its length has binary digits. What is left, the vertices where
+    paths meet, is gone through by a frontier that writes only the distances it improves.
+    Every round is written to the shared folder, so a lost executor repeats one round.
     """
-    node = ["namespace", "name"]
-    rows = edges.select("job", "direction", *node).distinct()
-    ins = rows.filter("direction = 'input'").select("job", F.struct(*node).alias("i"))
-    outs = rows.filter("direction = 'output'").select("job", F.struct(*node).alias("o"))
-    # Both ends of a job's hops, not their pairs: a job with many datasets is not multiplied out.
-    wanted = [F.struct(F.lit(w).alias("way"), F.lit(w == "downstream").alias("enter")) for w in starts]
-    sides = ins.select("job", F.col("i").alias("d"), F.lit(True).alias("is_input")).unionByName(
-        outs.select("job", F.col("o").alias("d"), F.lit(False).alias("is_input")))
-    sides = sides.withColumn("w", F.explode(F.array(*wanted))).select(
-        "job", "d.*", F.col("w.way").alias("way"), (F.col("is_input") == F.col("w.enter")).alias("enters"))
-    kept, _ = materialise(sides, "lineage-edges")
-    into, out = kept.filter("enters").drop("enters"), kept.filter("NOT enters").drop("enters")
+    wanted = [F.struct(F.lit(w).alias("way"), F.lit(w == "downstream").alias("down")) for w in starts]
+    rows = edges.select("job", "direction", "namespace", "name").distinct().withColumn("w", F.explode(F.array(*wanted)))
+    none = F.lit(None).cast("string")
+    dataset = F.struct(F.col("namespace").alias("ns"), F.col("name").alias("id"))
+    job = F.struct(none.alias("ns"), F.col("job").alias("id"))  # a job has no namespace
+    enters = (F.col("direction") == "input") == F.col("w.down")
+    hops, _ = materialise(rows.select(
+        "w.way", F.when(enters, dataset).otherwise(job).alias("a"), F.when(enters, job).otherwise(dataset).alias("b"),
+        enters.alias("enters")), "lineage-edges")
     first = F.element_at(F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]), F.col("way"))
-    start = kept.filter(F.col("name") == first)
+    start = F.col("v.ns").isNotNull() & (F.col("v.id") == first)
     if namespace is not None:
-        start = start.filter(F.col("namespace") == namespace)
-    found, _ = materialise(start.select("way", *node, F.lit(0).alias("depth")).distinct(), "lineage-level-0")
-    depth = 0
+        start = start & (F.col("v.ns") == namespace)
+    ends = hops.select("way", F.col("a").alias("v")).unionByName(hops.select("way", F.col("b").alias("v")))
+    origin, _ = materialise(ends.filter(start).distinct(), "lineage-start")
+
+    # Vertices with one predecessor, and the vertex and distance they follow from.
+    arrivals = hops.groupBy("way", F.col("b").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("root"))
+    single = arrivals.filter("n = 1").join(origin, ["way", "v"], "left_anti")
+    single, n = materialise(single.select("way", "v", "root", F.lit(1).cast("long").alias("hops")), "lineage-single")
+    for _ in range(n.bit_length() + 1):  # only cycles that no path enters need more
+        beyond = single.select("way", F.col("v").alias("root"), F.col("root").alias("_r"), F.col("hops").alias("_h"))
+        jumped = single.join(beyond, ["way", "root"], "left").select(
+            "way", "v", F.coalesce("_r", "root").alias("root"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"),
+            F.col("_r").isNotNull().alias("moved"))
+        jumped, _ = materialise(jumped, "lineage-jump")
+        single = jumped.drop("moved")
+        if jumped.filter("moved").isEmpty():
+            break
+
+    # Edges into the vertices where paths meet, from the last such vertex or the start.
+    meets = hops.join(single.select("way", F.col("v").alias("b")), ["way", "b"], "left_anti")
+    behind = single.select("way", F.col("v").alias("a"), "root", "hops")
+    steps, _ = materialise(meets.join(behind, ["way", "a"], "left").groupBy(
+        "way", F.coalesce("root", "a").alias("root"), F.col("b").alias("v")).agg(
+        F.min(F.coalesce("hops", F.lit(0)) + 1).alias("step")), "lineage-steps")
+    frontier, _ = materialise(origin.select("way", "v", F.lit(0).cast("long").alias("dist")), "lineage-level")
+    known = [frontier]
     while True:
-        frontier = found.filter(F.col("depth") == depth).select("way", *node)
-        depth += 1
-        jobs = into.join(frontier, ["way", *node], "left_semi").select("way", "job").distinct()
-        reached = out.join(jobs, ["way", "job"], "left_semi").select("way", *node, F.lit(depth).alias("depth"))
-        grown = found.unionByName(reached).groupBy("way", *node).agg(F.min("depth").alias("depth"))
-        before = found
-        found, _ = materialise(grown, f"lineage-level-{depth}")
-        if found.filter(F.col("depth") == depth).isEmpty():
-            found = before
+        found = reduce(DataFrame.unionByName, known).groupBy("way", "v").agg(F.min("dist").alias("best"))
+        reached = steps.join(frontier.select("way", F.col("v").alias("root"), "dist"), ["way", "root"]).groupBy("way", "v").agg(
+            F.min(F.col("dist") + F.col("step")).alias("dist"))
+        better = reached.join(found, ["way", "v"], "left").filter(F.col("best").isNull() | (F.col("dist") < F.col("best")))
+        frontier, improved = materialise(better.select("way", "v", "dist"), "lineage-level")
+        if not improved:
             break
-    return found.filter("depth > 0").select(F.col("way").alias("direction"), *node, "depth")
+        known.append(frontier)
+    met = reduce(DataFrame.unionByName, known).groupBy("way", "v").agg(F.min("dist").alias("dist"))
+    trailing = single.join(met.withColumnRenamed("v", "root"), ["way", "root"]).select(
+        "way", "v", (F.col("dist") + F.col("hops")).alias("dist"))
+    return met.unionByName(trailing).filter("v.ns IS NOT NULL AND dist > 0").select(
+        F.col("way").alias("direction"), F.col("v.ns").alias("namespace"), F.col("v.id").alias("name"),
+        (F.col("dist") / 2).cast("int").alias("depth"))
 
 
 def sql_inputs(queries: DataFrame, column: str, keys: list[str]) -> DataFrame:

@@ -12,6 +12,8 @@ from ..schemas import OVERFLOW_SOURCE
 
 # Hex digits of one histogram level.
 BUCKET_DIGITS = 4
+# Largest sample that one task may hold whole.
+TOP = 10_000
 
 
 def hash_order(key: str, seed: int) -> Column:
@@ -24,7 +26,8 @@ def hash_mod(key: str, seed: int, n: int) -> Column:
 
 
 def sample_cut(df: DataFrame, key: str, seed: int, n: int | None = None, fraction: float | None = None) -> DataFrame:
-    """One row with the hash position up to which keys belong to the sample.
+    """One row with the hash position ``cut`` up to which keys belong to the sample, and how many
+    ``rows`` of the cut itself fill it up.
 
     Keys are taken in hash order until ``n`` rows (or ``max(1, int(rows *
     fraction))``) are covered. A histogram over the leading hex digits finds
@@ -64,7 +67,9 @@ def sample_cut(df: DataFrame, key: str, seed: int, n: int | None = None, fractio
     need = fine.select("need").scalar()
     last = inside.filter(F.col("cum") - F.col("c") < need).agg(F.max("h").alias("cut"))
     # No edge bucket: the whole input is asked for ('g' sorts after every hex digit).
-    return last.select(F.coalesce("cut", F.lit("g")).alias("cut"))
+    before = inside.filter(F.col("cum") - F.col("c") < need).agg(F.max(F.col("cum") - F.col("c")).alias("b"))
+    return last.select(
+        F.coalesce("cut", F.lit("g")).alias("cut"), F.coalesce(need - before.scalar(), F.lit(0)).alias("rows"))
 
 
 def sample_rows(
@@ -76,12 +81,16 @@ def sample_rows(
     all their columns. Rows sharing the last key of a share stay together.
     """
     h = hash_order(key, seed)
+    if n is not None and n <= TOP:  # every task keeps its first rows only
+        return df.withColumn("_h", h).orderBy("_h", *df.columns).limit(n).drop("_h")
     cut = sample_cut(df, key, seed, n, fraction)
     if n is None:
-        return df.filter(h <= cut.scalar())
-    edge = cut.first()["cut"]
-    below = df.filter(h < edge)
-    return below.unionByName(df.filter(h == edge).orderBy(*df.columns).limit(max(0, n - below.count())))
+        return df.filter(h <= cut.select("cut").scalar())
+    # All rows below the cut, and of the cut's key as many as are missing.
+    taken = df.withColumn("_h", h).filter(F.col("_h") <= cut.select("cut").scalar())
+    place = F.row_number().over(W.partitionBy("_h").orderBy(*df.columns))
+    return taken.withColumn("_n", place).filter(
+        (F.col("_h") < cut.select("cut").scalar()) | (F.col("_n") <= cut.select("rows").scalar())).select(*df.columns)
 
 
 # --- drills -----------------------------------------------------------------
@@ -112,7 +121,7 @@ def drill_null_column(
         hit = F.col("_hit").isNotNull()
     else:
         marked = df
-        hit = hash_order(key, seed) <= sample_cut(rows, key, seed, fraction=fraction).scalar()
+        hit = hash_order(key, seed) <= sample_cut(rows, key, seed, fraction=fraction).select("cut").scalar()
     if business_date is not None:
         hit = hit & (F.col(date_col) == F.lit(business_date).cast("date"))
     blank = F.when(hit, F.lit(None)).otherwise(F.col(column)).cast(df.schema[column].dataType)
@@ -178,7 +187,7 @@ def drill_drop_rows(
     key: str = "trade_id", date_col: str = "business_date",
 ) -> DataFrame:
     """Remove a share of the rows (at least one), with every row of a picked key."""
-    cut = sample_cut(_slice(df, date_col, business_date), key, seed, fraction=fraction)
+    cut = sample_cut(_slice(df, date_col, business_date), key, seed, fraction=fraction).select("cut")
     gone = hash_order(key, seed) <= cut.scalar()
     if business_date is not None:
         gone = gone & (F.col(date_col) == F.lit(business_date).cast("date"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import quotient
 from ..schemas import JOB_LOG, JOB_SLA_SECONDS, schema
+from ..session import materialise
 
 PUBLISH_JOB = "publish_d1_reports"
 GATE_JOB = "quality_gate_d1"
@@ -167,40 +168,38 @@ def renotifications(
 
 
 # --- running counts ---------------------------------------------------------
-def running_counts(
-    df: DataFrame, keys: list[str], ts: str, tie: str, flags: dict[str, Column], grain: str = "hour"
-) -> DataFrame:
-    """Running totals of flags per key in time order.
+RANGES = 4  # ranges per shuffle partition: some meet in a task by chance
 
-    A key may hold most of the rows, so its history is not ordered in one task:
-    rows are numbered inside (key, time bucket), and the totals of the earlier
-    buckets are added from a small per-bucket table. ``grain`` is the bucket of
-    ``date_trunc``; a finer one makes smaller tasks.
-    """
-    bucketed = df.withColumn("_b", F.date_trunc(grain, F.col(ts))).withColumns(
-        {f"_f_{n}": F.coalesce(c.cast("long"), F.lit(0)) for n, c in flags.items()}
-    )
-    totals = bucketed.groupBy(*keys, "_b").agg(*[F.sum(f"_f_{n}").alias(f"_t_{n}") for n in flags])
-    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1) if keys else \
-        W.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_b", *[
-        F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in flags
-    ])
-    inside = W.partitionBy(*keys, "_b").orderBy(ts, tie).rowsBetween(W.unboundedPreceding, 0)
-    numbered = bucketed.withColumns({f"_r_{n}": F.sum(f"_f_{n}").over(inside) for n in flags})
-    # The bucket total is the last row of its window, so the join is on the same keys.
-    return numbered.join(offsets, [*keys, "_b"]).select(
-        *df.columns, *[(F.col(f"_r_{n}") + F.col(f"_o_{n}")).alias(n) for n in flags]
-    )
 
+def running_counts(df: DataFrame, keys: list[str], ts: str, tie: str, flags: dict[str, Column]) -> DataFrame:
+    """Running totals of flags per key in time order, as a prefix scan in two levels.
 
-def job_counters(runs: DataFrame, grain: str = "hour") -> DataFrame:
+    The rows are cut into ranges of (key, time, tie) with about equal numbers of rows,
+    whatever a key or an hour holds. Inside a range they are counted in order; what a key
+    has in earlier ranges is added from one row of totals per (range, key). The ranges are
+    written to the shared folder, so that both readings of them agree.
+    """
+    n = RANGES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = df.withColumns({f"_f_{name}": F.coalesce(c.cast("long"), F.lit(0)) for name, c in flags.items()})
+    ranged, _ = materialise(marked.repartitionByRange(n, *keys, ts, tie).withColumn("_p", F.spark_partition_id()), "running-counts")
+    totals = ranged.groupBy("_p", *keys).agg(*[F.sum(f"_f_{name}").alias(f"_t_{name}") for name in flags])
+    # One row per range that a key touches: a hot key has at most ``n``.
+    before = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select("_p", *keys, *[
+        F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_o_{name}") for name in flags])
+    offsets = offsets.select("_p", *[F.col(k).alias(f"_k_{k}") for k in keys], *[f"_o_{name}" for name in flags])
+    inside = W.partitionBy("_p", *keys).orderBy(ts, tie).rowsBetween(W.unboundedPreceding, 0)
+    counted = ranged.withColumns({f"_r_{name}": F.sum(f"_f_{name}").over(inside) for name in flags})
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    joined = counted.join(offsets.withColumnRenamed("_p", "_q"), [F.col("_p") == F.col("_q"), *same])
+    return joined.select(*df.columns, *[(F.col(f"_r_{name}") + F.col(f"_o_{name}")).alias(name) for name in flags])
+
+
+def job_counters(runs: DataFrame) -> DataFrame:
     """Counters of ended-ok, ended-not-ok and SLA violations as each run ends."""
     return running_counts(
         runs, ["job_name"], "ts", "event_id",
-        {"ended_ok": is_ok(), "ended_not_ok": is_failed(), "sla_violations": F.col("sla_miss") & (is_ok() | is_failed())},
-        grain,
-    )
+        {"ended_ok": is_ok(), "ended_not_ok": is_failed(), "sla_violations": F.col("sla_miss") & (is_ok() | is_failed())})
 
 
 # --- panels -----------------------------------------------------------------
@@ -253,11 +252,11 @@ def run_summary(runs: DataFrame) -> DataFrame:
     }).withColumn("duration_seconds", F.col("duration_seconds").cast("decimal(24,6)"))
 
 
-def pipeline_table(summaries: DataFrame, grain: str = "day") -> DataFrame:
+def pipeline_table(summaries: DataFrame) -> DataFrame:
     """Per order date: last pipeline counters, last duration, most jobs ok and not ok."""
     counted = running_counts(
         summaries, [], "finished_at", "run_id",
-        {"ok_counter": F.col("jobs_notok") == 0, "notok_counter": F.col("jobs_notok") > 0}, grain,
+        {"ok_counter": F.col("jobs_notok") == 0, "notok_counter": F.col("jobs_notok") > 0},
     )
     last = F.struct("finished_at", "run_id")
     return counted.groupBy("business_date").agg(

@@ -182,6 +182,11 @@ def result(name, kind, table, severity, passed, expected, actual, details) -> st
 # --- A ----------------------------------------------------------------------
 ORACLE["a1_read_slice"] = """SELECT o_orderkey, o_custkey, o_orderstatus FROM orders
 WHERE o_orderdate >= DATE '1998-06-01' AND o_orderdate < DATE '1998-06-02'"""
+ORACLE["a2_equal_depth_reads"] = """WITH o AS (SELECT o_orderkey, CASE WHEN o_custkey % 10 > 0 THEN o_custkey END AS k FROM orders),
+lows AS (SELECT DISTINCT min(k) AS low FROM (SELECT k, ntile(12) OVER (ORDER BY k) AS tile FROM o WHERE k IS NOT NULL) GROUP BY tile),
+cuts AS (SELECT low, row_number() OVER (ORDER BY low) - 1 AS part FROM lows)
+SELECT part, count(*) AS "rows", count(*) FILTER (k IS NULL) AS without_key FROM (
+  SELECT k, coalesce((SELECT max(part) FROM cuts WHERE low <= k), 0) AS part FROM o) GROUP BY part"""
 ORACLE["a3_fallback_trades"] = f"""WITH {TRADES} SELECT trade_id, ticker, {scaled('n4', 4)} AS notional, quantity,
 business_date AS trade_dt, CAST(NULL AS DATE) AS settlement_dt, seller AS counterparty_id, buyer AS trader_id,
 CAST(NULL AS VARCHAR) AS desk_code, 'EXECUTED' AS status FROM trades"""
@@ -198,6 +203,9 @@ count(*) AS "rows" FROM trades GROUP BY ALL"""
 _ORDERS = "SELECT o_orderkey, o_orderstatus, CAST(date_trunc('month', o_orderdate) AS DATE) AS business_date FROM orders"
 ORACLE["a7_replace_slice"] = f"""SELECT * FROM ({_ORDERS}) WHERE business_date <> DATE '1999-01-01'
 AND (business_date <> DATE '1998-06-01' OR o_orderstatus = 'F')"""
+ORACLE["a7_versioned_slices"] = f"""SELECT *, 'all' AS table_name FROM ({_ORDERS})
+WHERE business_date <> DATE '1995-03-01' AND (business_date <> DATE '1998-06-01' OR o_orderstatus = 'F')
+UNION ALL SELECT *, 'open' FROM ({_ORDERS}) WHERE o_orderstatus = 'O' AND business_date <> DATE '1998-06-01'"""
 ORACLE["a8_copy_table"] = f"SELECT * FROM ({_ORDERS}) WHERE business_date IN (DATE '1998-06-01', DATE '1998-07-01')"
 ORACLE["a9_write_dq_results"] = f"""WITH {DQ}, covered AS (SELECT DISTINCT business_date FROM dq WHERE run_id = 'run-R')
 SELECT business_date, run_id, check_name, severity, passed, actual_value FROM dq
@@ -251,6 +259,10 @@ ORACLE["b5_cash_sign_split"] = f"WITH {CASH} {_CASH_MAPPED}"
 ORACLE["b6_row_hash"] = f"""WITH {SRC_TRADES} SELECT trade_id,
 sha256(concat_ws('|', trade_id, CAST(business_date AS VARCHAR))) AS hash_g1,
 sha256(concat_ws('|', trade_id, ticker, concat(n4 // 10000, '.', lpad(CAST(n4 % 10000 AS VARCHAR), 4, '0')), quantity, CAST(business_date AS VARCHAR))) AS hash_g2 FROM src"""
+ORACLE["b6_hash_diff"] = f"""WITH {TRADES}, judged AS (SELECT business_date, trade_id, business_date >= DATE '1995-06-01' AS late, quantity FROM trades)
+SELECT business_date, count(*) FILTER (NOT late OR quantity NOT IN (7, 9, 50)) AS unchanged, count(*) FILTER (late AND quantity = 50) AS updated,
+count(*) FILTER (late AND quantity = 9) AS inserted, count(*) FILTER (late AND quantity IN (7, 9)) AS deleted,
+bool_or(late AND quantity IN (7, 9, 50)) AS written FROM judged GROUP BY business_date"""
 ORACLE["b7_add_audit"] = f"""WITH {CASH} SELECT position_id, TIMESTAMP '2024-02-01 00:00:00' AS dw_load_dt, 'oracle' AS dw_source,
 sha256(concat(position_id, '|', CAST(position_date AS VARCHAR))) AS dw_row_hash FROM cash"""
 ORACLE["b8_volume_category"] = """SELECT o_custkey, CASE WHEN v > 1000000 THEN 'HIGH' WHEN v > 100000 THEN 'MEDIUM' ELSE 'LOW' END AS volume_category
@@ -266,6 +278,8 @@ UNION ALL SELECT concat('PART', lpad(CAST(i AS VARCHAR), 3, '0')), 'none' FROM r
 # --- C ----------------------------------------------------------------------
 ORACLE["c1_settlement_recon"] = f"""WITH {RECON} SELECT trade_id, ticker, business_date, {scaled('p4', 4)} AS price, quantity,
 settlement_id, settlement_date, settlement_status, recon_status, {scaled('n4', 4)} AS notional_value FROM recon"""
+ORACLE["c1_frequent_keys"] = """SELECT l_suppkey AS k, count(*) AS n, TRUE AS within_error FROM lineitem GROUP BY 1
+HAVING count(*) * 1500 > (SELECT count(*) FROM lineitem)"""
 ORACLE["c3_position_recon"] = f"""WITH {POSRECON} SELECT pid AS participant_id, ticker, business_date, declared AS declared_quantity,
 traded AS traded_net_qty, diff AS quantity_diff, recon_status FROM posrecon"""
 ORACLE["c4_participant_exposure"] = f"""WITH {CLOSE}, {POS} SELECT p.pid AS participant_id, p.ticker, p.business_date,
@@ -366,6 +380,8 @@ _EXTERNAL = f"""WITH {EDGES}, external_io AS (
  EXCEPT SELECT 'input', namespace, name FROM edges WHERE direction = 'output')
 UNION ALL (SELECT 'output', namespace, name FROM edges WHERE direction = 'output'
  EXCEPT SELECT 'output', namespace, name FROM edges WHERE direction = 'input'))"""
+ORACLE["s3_external_sketches"] = f"""{_EXTERNAL} SELECT count(*) FILTER (direction = 'input') AS n_in,
+count(*) FILTER (direction = 'output') AS n_out, TRUE AS in_within, TRUE AS out_within FROM external_io"""
 ORACLE["s3_external_io"] = f"{_EXTERNAL} SELECT * FROM external_io"
 
 # --- H ----------------------------------------------------------------------
@@ -532,9 +548,20 @@ ORACLE["j9_load_tables"] = f"""WITH {_STORED}
 SELECT 'dw_trade_movements' AS table_name, business_date, 'oracle' AS dw_source, count(*) AS "rows", {scaled('sum(n4)', 4)} AS measure FROM (SELECT * FROM src WHERE status IS NOT NULL) GROUP BY business_date
 UNION ALL SELECT 'dw_drvt_positions', position_date, 'oracle', count(*), {scaled('sum(CAST(round(price * 10000) AS BIGINT))', 4)} FROM drvt GROUP BY position_date
 UNION ALL SELECT 'dw_cash_positions', position_date, 'oracle', count(*), {scaled('sum(coalesce(CAST(round(value * 10000) AS BIGINT), 0))', 4)} FROM cash GROUP BY position_date"""
-ORACLE["j10_publish"] = f"""WITH {CASH}, ok AS (SELECT position_date FROM cash GROUP BY 1 HAVING count(*) FILTER (coalesce(value, 0) = 0) = 0)
-SELECT position_id, CAST(CAST(long_value AS DECIMAL(18,4)) AS VARCHAR) AS long_value, CAST(CAST(short_value AS DECIMAL(18,4)) AS VARCHAR) AS short_value,
-CAST(CAST(net_value AS DECIMAL(18,4)) AS VARCHAR) AS net_value, position_date AS dt FROM ({_CASH_MAPPED}) WHERE position_date IN (SELECT position_date FROM ok)"""
+_TEXT4 = "CAST(CAST({} AS DECIMAL(18,4)) AS VARCHAR)"
+ORACLE["j10_publish"] = f"""WITH {SRC_TRADES}, {DRVT}, {CASH}, stored AS (SELECT * FROM src WHERE status IS NOT NULL),
+good_t AS (SELECT business_date FROM {_IDS.format(t='stored')} GROUP BY 1 HAVING sum(n - 1) = 0),
+good_p AS (SELECT position_date FROM drvt GROUP BY 1 HAVING count(*) FILTER (price IS NULL) = 0),
+good_c AS (SELECT position_date FROM cash GROUP BY 1 HAVING count(*) FILTER (coalesce(value, 0) = 0) = 0)
+SELECT 'dw_trade_movements' AS table_name, trade_id AS id, {scaled('n4', 4)} AS measure, CAST(NULL AS VARCHAR) AS "text", business_date AS dt
+FROM stored WHERE business_date IN (SELECT business_date FROM good_t)
+UNION ALL SELECT 'dw_drvt_positions', position_id, CAST(price AS DOUBLE), NULL, position_date FROM drvt
+WHERE position_date IN (SELECT position_date FROM good_p) AND position_date NOT IN (
+  SELECT position_date FROM cash WHERE position_date NOT IN (SELECT position_date FROM good_c))
+UNION ALL SELECT 'dw_cash_positions', position_id, CAST(net_value AS DOUBLE),
+concat({_TEXT4.format('long_value')}, '|', {_TEXT4.format('short_value')}), position_date FROM ({_CASH_MAPPED})
+WHERE position_date IN (SELECT position_date FROM good_c) AND position_date NOT IN (
+  SELECT position_date FROM drvt WHERE position_date NOT IN (SELECT position_date FROM good_p))"""
 ORACLE["j11_run_d1"] = f"""WITH {SRC_TRADES}, {DRVT}, {CASH}, stored AS (SELECT * FROM src WHERE status IS NOT NULL),
 t AS (SELECT business_date, sum(n - 1) AS dups, sum(n) AS n FROM {_IDS.format(t='stored')} GROUP BY 1),
 s AS (SELECT business_date, count(*) AS n FROM src GROUP BY 1),
@@ -599,6 +626,8 @@ ORACLE["k8_duration_by_job"] = f"""WITH {RUNS} SELECT date_trunc('hour', ts) AS
 {scaled(_MEAN, 6)} AS avg_duration FROM runs GROUP BY 1, 2, 3"""
 ORACLE["k8_duration_p95"] = f"""WITH {RUNS} SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, job_name,
 {scaled(_MEAN, 6)} AS avg_duration, quantile_disc(duration_seconds, 0.95) AS p_duration FROM runs GROUP BY 1, 2, 3"""
+ORACLE["k8_quantile_sketches"] = f"""WITH {RUNS} SELECT job_name, date_trunc('day', ts) AS window_start, count(*) AS "rows",
+TRUE AS p50_within, TRUE AS p95_within, TRUE AS p99_within FROM runs GROUP BY 1, 2"""
 ORACLE["k9_outcome_by_job"] = f"""WITH {RUNS} SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, job_name,
 count(*) FILTER (status = 'success') AS ended_ok, count(*) FILTER (status = 'failed') AS ended_not_ok FROM runs GROUP BY 1, 2, 3"""
 ORACLE["k10_job_table"] = f"""WITH {RUNS} SELECT job_name, count(*) FILTER (status = 'success') AS ended_ok, count(*) FILTER (status = 'failed') AS ended_not_ok,
@@ -611,6 +640,9 @@ max(duration_seconds) FILTER (r = 1) AS last_duration, max(jobs_ok) AS max_jobs_
 ORACLE["k12_headline_kpis"] = f"""WITH {RUNS}, {DQ} SELECT count(*) AS executions, count(*) FILTER (status = 'success') AS ended_ok,
 count(*) FILTER (status = 'failed') AS ended_not_ok, count(*) FILTER (sla_miss) AS sla_violations,
 (SELECT count(*) FROM dq WHERE NOT passed) AS dq_failed FROM runs"""
+ORACLE["k12_distinct_sketches"] = f"""WITH {RUNS} SELECT CAST(date_trunc('month', business_date) AS DATE) AS month,
+count(DISTINCT run_id) AS exact_runs, count(DISTINCT user_id) AS exact_users, count(DISTINCT date_trunc('hour', ts)) AS exact_hours,
+TRUE AS runs_within, TRUE AS users_within, TRUE AS hours_within FROM runs GROUP BY 1"""
 _DAYS = "date_trunc('day', created_at) AS window_start, date_trunc('day', created_at) + INTERVAL 1 DAY AS window_end"
 ORACLE["k13_check_failures_over_time"] = f"WITH {DQ} SELECT {_DAYS}, check_name, count(*) FILTER (NOT passed) AS failures FROM dq GROUP BY 1, 2, 3"
 ORACLE["k13_check_detail"] = f"""WITH {DQ} SELECT check_name, target_table, severity, count(*) AS runs,
@@ -701,12 +733,11 @@ ORACLE["m6_null_close"] = f"""WITH {CLOSE} SELECT ticker, business_date, CASE WH
 CASE WHEN ticker NOT IN {_TWO} THEN {scaled('vwap6', 6)} END AS vwap FROM closing"""
 _HEX = "'0123456789abcdef'"
 _MOD3 = " + ".join(f"(instr({_HEX}, substr(h, {i + 1}, 1)) - 1) * {16 ** (7 - i)}" for i in range(8))
-ORACLE["m7_late_settlement"] = f"""WITH {INSTR}, pick AS MATERIALIZED (
-SELECT DISTINCT instruction_id FROM (SELECT instruction_id FROM instr ORDER BY {position('instruction_id', 9)} LIMIT 50)),
-marked AS (SELECT i.*, {position('i.instruction_id', 9)} AS h, p.instruction_id IS NOT NULL AS hit
-FROM instr i LEFT JOIN pick p ON p.instruction_id = i.instruction_id)
-SELECT instruction_id, CASE WHEN hit THEN settlement_date + CAST(({_MOD3}) % 3 + 1 AS INT) ELSE settlement_date END AS settlement_date,
-CASE WHEN hit THEN 'FAILED' ELSE status END AS status, business_date FROM marked"""
+ORACLE["m7_late_settlement"] = f"""WITH {INSTR},
+placed AS (SELECT instruction_id, settlement_date, status, business_date, {position('instruction_id', 9)} AS h FROM instr),
+cut AS (SELECT max(h) AS c FROM (SELECT h FROM placed ORDER BY h LIMIT 50))
+SELECT instruction_id, CASE WHEN h <= c THEN settlement_date + CAST(({_MOD3}) % 3 + 1 AS INT) ELSE settlement_date END AS settlement_date,
+CASE WHEN h <= c THEN 'FAILED' ELSE status END AS status, business_date FROM placed, cut"""
 ORACLE["m8_volume_spike"] = f"""WITH {TRADES}, pick AS (SELECT ticker FROM trades GROUP BY 1 ORDER BY {position('ticker', 6)} LIMIT 1),
 template AS (SELECT p4, quantity FROM trades WHERE ticker = (SELECT ticker FROM pick) ORDER BY trade_id, order_id, p4, quantity, buyer, seller, trade_time LIMIT 1),
 base AS (SELECT ticker, count(*) AS n, sum(quantity) AS q, sum(p4) AS p, count(DISTINCT order_id) AS o FROM trades GROUP BY 1)

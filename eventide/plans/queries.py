@@ -8,13 +8,14 @@ compared value by value.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
-from ..operators import joins, lineage as L, mapping as M, quality as Q, recon as R, sampling as D, telemetry as K
+from ..operators import joins, lineage as L, mapping as M, quality as Q, recon as R, sampling as D, sketches, telemetry as K
 from ..schemas import (
     CLOSE_PRICES_CONTRACT,
     EXPORT_COLUMNS,
@@ -25,7 +26,7 @@ from ..schemas import (
     schema,
 )
 from ..session import materialise, prepare, scratch_dir
-from ..sources import driver_tables as V, readers, sinks
+from ..sources import driver_tables as V, readers, sinks, versions
 from ..streaming import alerts
 from . import pipeline as P
 
@@ -111,6 +112,18 @@ def _(spark, d):
     return readers.read_slice(spark, d, "orders.parquet", "o_orderdate", DAY).select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
+@query("a2_equal_depth_reads")
+def _(spark, d):
+    """Rows of every read of a table cut by key into reads of equal depth; a view stands in for the database."""
+    V.table(spark, d, "orders").select(
+        "o_orderkey", F.when(F.col("o_custkey") % 10 > 0, F.col("o_custkey")).alias("o_custkey")).createOrReplaceTempView("a2_orders")
+    tiles = spark.sql(readers.equal_depth_sql("a2_orders", "o_custkey", 12)).collect()
+    cuts = readers.equal_depth_predicates("o_custkey", [r["low"] for r in tiles])
+    parts = [spark.sql(f"SELECT {i} AS part, o_custkey FROM a2_orders WHERE {cut}") for i, cut in enumerate(cuts)]
+    return reduce(DataFrame.unionByName, parts).groupBy("part").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("o_custkey").isNull()).alias("without_key"))
+
+
 @query("a3_fallback_trades")
 def _(spark, d):
     return M.fallback_trades(V.raw_trades(spark, d))
@@ -145,6 +158,23 @@ def _(spark, d):
     return spark.read.parquet(path).select("o_orderkey", "o_orderstatus", "business_date")
 
 
+@query("a7_versioned_slices")
+def _(spark, d):
+    """Two tables through three changes, one of which replaces dates of both and empties one."""
+    root = scratch_dir(spark, "a7-versions")
+    rows = dated_orders(spark, d)
+    with versions.Change(spark, root) as change:
+        change.replace("all", f"{root}/all", rows, "business_date")
+        change.replace("open", f"{root}/open", rows.filter("o_orderstatus = 'O'"), "business_date")
+    with versions.Change(spark, root) as change:
+        done = rows.filter((F.col("business_date") == DAY) & (F.col("o_orderstatus") == "F"))
+        change.replace("all", f"{root}/all", done, "business_date", [DAY, "1995-03-01"])
+        change.replace("open", f"{root}/open", rows.filter(F.lit(False)), "business_date", [DAY])
+    versions.Change(spark, root).replace("all", f"{root}/all", rows.limit(0), "business_date", ["1996-01-01"])  # never committed
+    return versions.read(spark, root, "all").withColumn("table_name", F.lit("all")).unionByName(
+        versions.read(spark, root, "open").withColumn("table_name", F.lit("open")))
+
+
 @query("a8_copy_table")
 def _(spark, d):
     path = scratch_dir(spark, "a8")
@@ -306,6 +336,21 @@ def _(spark, d):
     )
 
 
+@query("b6_hash_diff")
+def _(spark, d):
+    """What a load of changed rows would insert, update and delete per date, beside what stays."""
+    t = V.raw_trades(spark, d, "trade_id", "price", "quantity", "business_date")
+    fresh = t.filter(F.col("quantity") != 7).withColumns({
+        "price": F.when(F.col("quantity") == 50, F.col("price") + 1).otherwise(F.col("price")),
+        "trade_id": F.when(F.col("quantity") == 9, F.concat("trade_id", F.lit("-new"))).otherwise(F.col("trade_id"))})
+    late = F.col("business_date") >= "1995-06-01"  # earlier dates arrive as they are stored
+    fresh = fresh.filter(late).unionByName(t.filter(~late))
+    diff = sinks.hash_diff(t, fresh, "business_date", ["trade_id"], ["trade_id", "price", "quantity"])
+    by_date = sinks.diff_by_date(diff, "business_date")
+    changed = sinks.changed_dates(diff, "business_date").withColumn("written", F.lit(True))
+    return by_date.join(changed, "business_date", "left").withColumn("written", F.coalesce("written", F.lit(False)))
+
+
 @query("b7_add_audit")
 def _(spark, d):
     cash = dw_cash(spark, d)
@@ -348,6 +393,19 @@ def _(spark, d):
     return recon(spark, d).drop("buyer_participant", "seller_participant")
 
 
+@query("c1_frequent_keys")
+def _(spark, d):
+    """Parts with more than a 1,500th of all trades: found by the sketch, and how far its counts are off."""
+    line = V.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"))
+    found = joins.frequent_keys(line, "k").select("rows", F.explode("items").alias("item")).select(
+        F.col("item.item").alias("k"), F.col("item.count").alias("estimate"), "rows")
+    true = line.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    hot = true.filter(F.col("n") * 1500 > line.agg(F.count(F.lit(1))).scalar())
+    off = F.abs(F.col("estimate") - F.col("n"))
+    return hot.join(found, "k", "left").select(
+        "k", "n", F.coalesce(off <= F.col("rows") * joins.count_error(1), F.lit(False)).alias("within_error"))
+
+
 @query("c3_position_recon")
 def _(spark, d):
     return R.position_recon(V.raw_participant_positions(spark, d), V.raw_trades(
@@ -847,17 +905,25 @@ def _(spark, d):
 
 @query("j10_publish")
 def _(spark, d):
+    """All checks of the gate, two publications of every other date each, and all three exports read back."""
     paths = P.Paths(scratch_dir(spark, "j10"))
-    P.load_positions(V.src_drvt_positions(spark, d), V.src_cash_positions(spark, d), paths, load_ts=LOAD_TS)
-    P.load_trades(landed_trades(spark, d), paths, load_ts=LOAD_TS)
-    cash = P.read_table(spark, paths, "dw_cash_positions")
-    results = Q.stamp_results(Q.check_zero_sum(cash), "run-1", LOAD_TS)
-    sinks.write_dq_results(results, paths.table("dq_results"))
-    _, _, exported = P.publish_dates(spark, paths)
+    src = {"trades": landed_trades(spark, d), "drvt": V.src_drvt_positions(spark, d), "cash": V.src_cash_positions(spark, d)}
+    with versions.Change(spark, paths.root) as change:
+        days = P.load_trades(src["trades"], paths, load_ts=LOAD_TS, change=change)["dates"]
+        days += P.load_positions(src["drvt"], src["cash"], paths, load_ts=LOAD_TS, change=change)["dates"]
+    P.quality_gate(spark, paths, src, "run-1", LOAD_TS)
+    for part in (days[0::2], days[1::2]):
+        trades, drvt, cash = P.publish_dates(spark, paths, dates=part)
     layout = schema("position_id string, ticker string, participant_code string, position_date string, long_value string, "
                     "short_value string, net_value string, dw_load_dt string, dw_source string, dt date")
-    return spark.read.schema(layout).option("header", True).csv(exported).select(
-        "position_id", "long_value", "short_value", "net_value", "dt")
+    text = F.lit(None).cast("string").alias("text")
+    return (
+        spark.read.parquet(trades).select(
+            F.lit("dw_trade_movements").alias("table_name"), F.col("trade_id").alias("id"), F.col("notional").alias("measure"), text, "dt")
+        .union(spark.read.parquet(drvt).select(F.lit("dw_drvt_positions"), "position_id", "settlement_price", text, "dt"))
+        .union(spark.read.schema(layout).option("header", True).csv(cash).select(
+            F.lit("dw_cash_positions"), "position_id", F.col("net_value").cast("decimal(18,4)"),
+            F.concat_ws("|", "long_value", "short_value"), "dt")))
 
 
 @query("j11_run_d1")
@@ -952,6 +1018,27 @@ def _(spark, d):
     return K.duration_by_job(V.job_runs(spark, d), "1 day", 0.95)
 
 
+def five_minutes(spark, d):
+    """Stored quantile sketches of the run times per job and five minutes."""
+    return materialise(sketches.quantile_sketches(V.job_runs(spark, d), ["job_name"], "duration_seconds"), "k8-sketches")[0]
+
+
+@query("k8_quantile_sketches")
+def _(spark, d):
+    """Daily quantiles merged from five-minute sketches, judged by their rank among the day's run times."""
+    asked = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    merged = sketches.merge_quantiles(five_minutes(spark, d), ["job_name"], "1 day", asked)
+    runs = V.job_runs(spark, d).select(
+        F.col("job_name"), F.date_trunc("day", "ts").alias("window_start"), "duration_seconds")
+    ranks = runs.join(merged, ["job_name", "window_start"]).groupBy("job_name", "window_start").agg(
+        F.max("rows").alias("rows"), F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("duration_seconds") < F.col(q)).alias(f"b_{q}") for q in asked],
+        *[F.count_if(F.col("duration_seconds") <= F.col(q)).alias(f"u_{q}") for q in asked])
+    slack = F.lit(sketches.rank_error()) * F.col("n") + 1
+    near = [((F.col(f"b_{q}") <= share * F.col("n") + slack) & (F.col(f"u_{q}") >= share * F.col("n") - slack)).alias(f"{q}_within")
+            for q, share in asked.items()]
+    return ranks.select("job_name", "window_start", "rows", *near)
+
+
 @query("k9_outcome_by_job")
 def _(spark, d):
     return K.outcome_by_job(V.job_runs(spark, d))
@@ -972,6 +1059,36 @@ def _(spark, d):
     return K.headline_kpis(V.job_runs(spark, d), V.dq_history(spark, d))
 
 
+@query("k12_distinct_sketches")
+def _(spark, d):
+    """Distinct runs, users and hours per month: merged from daily sketches, and counted again."""
+    columns = {"runs": F.col("run_id"), "users": F.col("user_id"), "hours": F.date_trunc("hour", "ts")}
+    events = V.job_runs(spark, d)
+    daily, _ = materialise(sketches.distinct_sketches(events, "business_date", columns), "k12-sketches")
+    month = F.date_trunc("month", "day").alias("month")
+    about = sketches.distinct_counts(daily, list(columns), [month])
+    exact = sketches.exact_counts(events, columns, [F.date_trunc("month", "business_date").alias("month")])
+    bound = 4 * sketches.distinct_error()
+    exact = exact.select("month", *[F.col(c).alias(f"exact_{c}") for c in columns])
+    return about.join(exact, "month").select(F.to_date("month").alias("month"), *[f"exact_{c}" for c in columns], *[
+        (F.abs(F.col(c) - F.col(f"exact_{c}")) <= bound * F.col(f"exact_{c}") + 1).alias(f"{c}_within") for c in columns])
+
+
+@query("s3_external_sketches")
+def _(spark, d):
+    """Datasets only read and only written, by theta sketches of ten groups of jobs merged, beside the exact numbers."""
+    edges = V.observed_edges(spark, d)
+    sides, _ = materialise(sketches.side_sketches(edges, [F.pmod(F.xxhash64("job"), F.lit(10)).alias("group")]), "s3-sketches")
+    about = sketches.external_counts(sides)
+    exact = L.external_io(edges).agg(
+        F.count_if(F.col("direction") == "input").alias("n_in"), F.count_if(F.col("direction") == "output").alias("n_out"))
+    slack = 4 * sketches.theta_error() * F.col("datasets")
+    row = about.withColumns({"n_in": exact.select("n_in").scalar(), "n_out": exact.select("n_out").scalar()})
+    return row.select(
+        "n_in", "n_out", (F.abs(F.col("read_only") - F.col("n_in")) <= slack).alias("in_within"),
+        (F.abs(F.col("written_only") - F.col("n_out")) <= slack).alias("out_within"))
+
+
 @query("k13_check_failures_over_time")
 def _(spark, d):
     return K.check_failures_over_time(V.dq_history(spark, d))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import os
 from collections.abc import Callable, Iterable, Mapping
+from decimal import Decimal
 
 from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException
@@ -73,6 +74,44 @@ def read_jdbc(
     return reader.load()
 
 
+def equal_depth_sql(table: str, column: str, partitions: int) -> str:
+    """Query for the least keys of ``partitions`` tiles with about equal numbers of rows each."""
+    return (f"SELECT tile, min({column}) AS low FROM (SELECT {column}, ntile({partitions}) OVER (ORDER BY {column}) AS tile "
+            f"FROM {table} WHERE {column} IS NOT NULL) tiles GROUP BY tile")
+
+
+def sql_literal(value) -> str:
+    """A number, or a text, date or timestamp in quotes."""
+    return str(value) if isinstance(value, (int, float, Decimal)) else "'" + str(value).replace("'", "''") + "'"
+
+
+def equal_depth_predicates(column: str, lows: Iterable) -> list[str]:
+    """Conditions that hold every row once: a tile from each low key to the next, NULLs with the first.
+
+    ``lows`` are the least keys of the tiles in any order; a key that fills several tiles
+    counts once, so all its rows are in one of them.
+    """
+    cuts = sorted(set(lows))[1:]
+    if not cuts:
+        return ["1 = 1"]
+    first = f"{column} < {sql_literal(cuts[0])} OR {column} IS NULL"
+    between = [f"{column} >= {sql_literal(a)} AND {column} < {sql_literal(b)}" for a, b in zip(cuts, cuts[1:])]
+    return [first, *between, f"{column} >= {sql_literal(cuts[-1])}"]
+
+
+def read_jdbc_equal_depth(spark: SparkSession, kind: str, table: str, column: str, env: Mapping[str, str] | None = None,
+                          partitions: int = 64) -> DataFrame:
+    """A database table read by tasks with about equal numbers of rows, however the keys are spread.
+
+    The database cuts its key into tiles; one row per tile comes to the driver.
+    """
+    options = jdbc_options(kind, env)
+    tiles = spark.read.format("jdbc").options(**options).option("query", equal_depth_sql(table, column, partitions)).load()
+    predicates = equal_depth_predicates(column, [r["low"] for r in tiles.select("low").collect()])
+    properties = {k: v for k, v in options.items() if k != "url"}
+    return spark.read.jdbc(options["url"], table, predicates=predicates, properties=properties)
+
+
 def read_slice(spark: SparkSession, src: str | DataFrame, table: str | None, date_col: str, business_date: str,
                partition_column: str | None = None, bounds: tuple[str, str] | None = None,
                partitions: int = 16) -> DataFrame:
@@ -89,6 +128,10 @@ def read_slice(spark: SparkSession, src: str | DataFrame, table: str | None, dat
     return for_date(df, date_col, business_date)
 
 
+# Conditions of a source that is away; any other (a misspelt column or table) is a fault of the loader.
+AWAY = {"PATH_NOT_FOUND", "FAILED_JDBC.CONNECTION", "FAILED_JDBC.UNCLASSIFIED", "UNABLE_TO_INFER_SCHEMA"}
+
+
 def first_available(loaders: Iterable[tuple[str, Callable[[], DataFrame]]]) -> DataFrame:
     """The first source that can be opened, with its label in ``dw_source``.
 
@@ -101,6 +144,8 @@ def first_available(loaders: Iterable[tuple[str, Callable[[], DataFrame]]]) -> D
             df = load()
             df.schema
         except (AnalysisException, Py4JError, OSError) as exc:  # away or unreachable: try the next
+            if isinstance(exc, AnalysisException) and exc.getCondition() not in AWAY:
+                raise
             failures.append(f"{label}: {type(exc).__name__}")
             continue
         if failures:

@@ -5,7 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 
+import random
+
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventide.functions import scalars as S
@@ -31,9 +34,23 @@ def runs(spark):
 
 def test_running_counts_match_a_plain_window(spark, runs):
     expect = {1: (0, 1), 2: (1, 1), 3: (1, 2), 4: (0, 1), 5: (1, 3), 6: (2, 3)}
-    for grain in ("minute", "hour", "year"):
-        got = {r["event_id"]: (r["ended_ok"], r["ended_not_ok"]) for r in K.job_counters(runs, grain).collect()}
-        assert got == expect
+    got = {r["event_id"]: (r["ended_ok"], r["ended_not_ok"]) for r in K.job_counters(runs).collect()}
+    assert got == expect
+
+
+def test_running_counts_spread_one_hot_hour(spark):
+    """Half the rows lie in one second of one key: several tasks share them, with the plain window's totals."""
+    hot = F.col("id") % 2 == 0
+    events = spark.range(0, 20_000, 1, 6).select(
+        F.col("id").alias("event_id"), F.when(hot, "hot").when(F.col("id") % 9 == 1, None).otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("job"),
+        F.when(hot, F.lit(0)).otherwise(F.col("id") * 7919 % 10_007).cast("timestamp").alias("ts"), (F.col("id") % 3 == 0).alias("flag"))
+    got = K.running_counts(events, ["job"], "ts", "event_id", {"n": F.col("flag")})
+    tasks = got.filter("job = 'hot'").groupBy(F.spark_partition_id()).count()
+    assert tasks.count() > 2
+    plain = W.partitionBy("job").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    want = events.withColumn("n", F.sum(F.col("flag").cast("long")).over(plain))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert K.running_counts(events.limit(0), [], "ts", "event_id", {"n": F.col("flag")}).collect() == []
 
 
 def test_absence_counts_every_silent_minute(runs):
@@ -122,6 +139,40 @@ def test_impact_follows_both_directions_and_cycles(spark):
     assert {r["name"] for r in L.impact(loop, "a").collect()} == {"b"}
 
 
+def test_impact_of_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rounds, write = [], L.materialise
+    monkeypatch.setattr(L, "materialise", lambda df, label: (rounds.append(label), write(df, label))[1])
+    chain = spark.range(1000).select(F.concat(F.lit("j"), F.col("id")).alias("job"), F.explode(F.array(
+        F.struct(F.lit("input").alias("direction"), F.concat(F.lit("d"), F.col("id")).alias("name")),
+        F.struct(F.lit("output").alias("direction"), F.concat(F.lit("d"), F.col("id") + 1).alias("name")))).alias("e")).select(
+        "job", "e.direction", F.lit("n").alias("namespace"), "e.name")
+    got = {r["name"]: r["depth"] for r in L.impact(chain, "d0").collect()}
+    assert got == {f"d{i}": i for i in range(1, 1001)}
+    assert sum(r in ("lineage-jump", "lineage-level") for r in rounds) <= 14  # 12 that jump, the start and one empty frontier
+
+
+def test_impact_of_random_graphs(spark):
+    rng = random.Random(3)
+    for trial in range(4):
+        jobs = {f"j{i}": ({f"d{rng.randrange(14)}" for _ in range(rng.choice([1, 1, 2]))}, {f"d{rng.randrange(14)}" for _ in range(rng.choice([1, 1, 2]))})
+                for i in range(14)}
+        rows = [(j, side, "n", d) for j, sides in jobs.items() for side, own in zip(("input", "output"), sides) for d in own]
+        edges = spark.createDataFrame(rows, "job string, direction string, namespace string, name string")
+        got = {(r["direction"], r["name"]): r["depth"] for r in L.impacts(edges, {"downstream": "d1", "upstream": "d2"}).collect()}
+        want = {}
+        for way, start in (("downstream", "d1"), ("upstream", "d2")):
+            seen, level, depth = {start}, {start}, 0
+            while level:
+                depth += 1
+                level = {o for i, o_ in jobs.values() for o in (o_ if way == "downstream" else i)
+                         if (i if way == "downstream" else o_) & level} - seen
+                seen |= level
+                want |= {(way, d): depth for d in level}
+        known = {d for i, o in jobs.values() for d in i | o}
+        want = {k: v for k, v in want.items() if {"downstream": "d1", "upstream": "d2"}[k[0]] in known}
+        assert got == want, trial
+
+
 def test_run_events_are_nested_json(spark):
     runs = spark.createDataFrame(
         [("close_market_eod", "2024-01-02", "2024-01-03 01:02:03.456", "r1", "p1", "COMPLETE", 500, None),
