@@ -104,3 +104,99 @@ def test_jaccard_of_small_sets():
     b = (np.array([2, 3, 4], np.uint64), np.array([1, 1, 1], np.float32))
     none = (np.zeros(0, np.uint64), np.zeros(0, np.float32))
     assert M.jaccard(a, b) == pytest.approx(2 / 5) and M.jaccard(none, none) == 1.0 and M.jaccard(a, none) == 0.0
+
+
+def test_matrix_of_similarities_equals_single_ones():
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(30):
+        h = np.sort(rng.choice(60, rng.integers(0, 40), replace=False)).astype(np.uint64)
+        sets.append((h, rng.choice([0.5, 1.0, 1.5, 4.0], len(h))))
+    sets[3] = sets[4] = (np.zeros(0, np.uint64), np.zeros(0))
+    got = M.similarities(sets[:11], sets[11:])
+    for i, a in enumerate(sets[:11]):
+        for j, b in enumerate(sets[11:]):
+            want = M.jaccard(a, b) if len(a[0]) or len(b[0]) else 0
+            assert got[i, j] == pytest.approx(want, abs=1e-12)
+
+
+def test_batches_equal_single_texts_and_plain_shingles():
+    idf = np.linspace(1, 9, M.BUCKETS)
+    texts = ["", None, "one", "a b c d", "a b c d e", "x y " * 50, "été  日本　語\x1cz q w e r t", "w" * 9000 + " b c d e f"]
+    one = M.Shingles(idf)
+    for got, text in zip(one.sets(texts), texts):
+        alone = M.Shingles(idf).of(text)
+        assert (got[0] == alone[0]).all() and (got[1] == alone[1]).all()
+        words = (text or "").split()
+        n = min(5, len(words))
+        distinct = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
+        assert len(got[0]) == len(distinct)
+    M.SLICE, old = 16, M.SLICE
+    try:
+        assert all((a[0] == b[0]).all() for a, b in zip(M.Shingles(idf).sets(texts), one.sets(texts)))
+    finally:
+        M.SLICE = old
+
+
+def test_hashes_have_64_bits():
+    """Neither the words nor the bands of equal length collide, nor do their halves follow from each other."""
+    words = [f"{i:07d}" for i in range(200_000)]
+    h, _ = M.Shingles().words([" ".join(words)])
+    rng = np.random.default_rng(2)
+    keys = M.band_keys(rng.integers(0, 1 << 32, (4000, M.BANDS * M.ROWS), np.uint64).astype(np.uint32)).reshape(-1)
+    for x in (h, keys):
+        low, high = x & np.uint64(0xFFFFFFFF), x >> np.uint64(32)
+        assert len(np.unique(x)) == len(x) and len(np.unique(low ^ high)) > 0.99 * len(x)
+        for half in (low, high):  # about n * n / 2 ** 33 chance collisions
+            assert len(x) - len(np.unique(half)) < 3 * len(x) ** 2 / 2**33 + 10
+    same = np.zeros((1, M.BANDS * M.ROWS), np.uint32)
+    assert len(np.unique(M.band_keys(same))) == M.BANDS
+
+
+def test_samples_of_long_texts_agree_as_often_as_the_similarity():
+    """More shingles than random draws: 20,000 and a third more."""
+    rng = np.random.default_rng(6)
+    sampler, agree, true = M.Sampler(200), [], []
+    for _ in range(6):
+        h = np.sort(rng.integers(0, 1 << 63, 26_000).astype(np.uint64))
+        w = rng.gamma(3, 1, len(h)) + 0.1
+        a, b = np.arange(len(h)) < 23_400, np.arange(len(h)) >= 2_600
+        mixed = rng.permutation(len(h))
+        one, two = (np.sort(mixed[x]) for x in (a, b))
+        true.append(M.jaccard((h[one], w[one]), (h[two], w[two])))
+        sig = [sampler.signatures(h[x], w[x], np.array([0]))[0] for x in (one, two)]
+        agree.append((sig[0] == sig[1]).mean())
+    assert abs(np.mean(true) - 0.8) < 0.01 and abs(np.mean(agree) - np.mean(true)) < 0.03
+
+
+def test_templated_texts_make_linear_rows(spark, monkeypatch):
+    """2,000 texts at about 0.7 to each other and one group of copies: no unit lists pairs, and groups are exact."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(300)]
+    texts = list(edits(rng, base, 2000, 10))  # shares 250 of 296 shingles with the template
+    near = [f"n{i}" for i in range(300)]
+    texts += list(edits(rng, near, 60, 2))
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)
+    sizes, land = {}, M.land
+
+    def counted(df, label):
+        out = land(df, label)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(M, "land", counted)
+    got = {r["doc_id"]: r["representative"] for r in M.mark(docs, ["doc_id"]).select("row.doc_id", "representative").collect()}
+    idf = M.inverse_frequency(M.word_frequencies(docs.select("text")))
+    sets = M.Shingles(idf).sets(texts)
+    alike = M.similarities(sets, sets) >= M.SIMILARITY
+    label = np.arange(len(texts))
+    while True:
+        least = np.array([label[row].min() for row in alike])
+        if (least == label).all():
+            break
+        label = least
+    assert got == dict(enumerate(label.tolist()))
+    in_buckets = sizes["icws-mixed"]
+    assert sizes["icws-second-units"] <= 3 * (M.BANDS * len(texts)) and sizes["icws-second-units"] <= 12 * in_buckets
+    assert sizes["icws-second-links"] <= len(texts)
