@@ -11,6 +11,7 @@ it was given, the last one the pieces of training sequences.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from eventide.llm import line_dedup, minhash_dedup, mixing, packing, quality
@@ -44,14 +45,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences, numbered in mix order.
+    """Pieces of training sequences, numbered in the order in which the files hold the documents.
 
-    Files are read back by size and several to a task, so their order says nothing. A place
-    in the mix follows from the rows alone: it is found again here, and the tasks that pack
-    and number the sequences take the documents range by range.
+    The mixing stage wrote them in mix order, and sequences are numbered by file and place.
+    Documents that are not rows of files have no such order: their places are found here.
     """
-    placed = mixing.place(docs.select("doc_id", "source", "text"))
-    return packing.pack(mixing.in_order(placed, ["doc_id", "text"]))
+    try:
+        docs.select("_metadata.file_path").schema
+    except AnalysisException:
+        placed = mixing.place(docs.select("doc_id", "source", "text"))
+        return packing.pack(mixing.in_order(placed, ["doc_id", "text"]))
+    return packing.pack_files(docs)
 
 
 STAGES = [

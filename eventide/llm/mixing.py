@@ -9,35 +9,38 @@ slot, and at every slot each source is less than one block away from the fluid.
 
 The schedule is cut into segments: how many blocks of each source lie before a
 segment follows from the fluid alone, so segments are scheduled apart, in parallel.
-Ranks inside a source come from counts per (source, hash bucket), so no task holds a
-whole source.
+Ranks inside a source come from ranges of (source, hash order) with about equal numbers of
+rows, whatever a source holds, so no task holds a whole source.
 
 Defined results
 - every document keeps exactly one place, repeated rows included. Nothing is dropped.
 - a null source is a source of its own. A source without a given weight has none of
   the flow until the others have run out.
-- ties in hash order are broken by doc_id, then text if present.
+- ties in hash order are broken by doc_id, then by the text's hash if there are texts, then
+  by where a row lies. Any number of sources is taken; a text id is as good as a number.
 - an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import land, partitions
 
 SEED = 11
 BLOCK = 64
 SEGMENT = 4096  # slots scheduled by one task
 CHUNK = 1 << 18  # slots looked at together
-BUCKETS = 1024  # hash buckets per source
-MAX_SOURCES = 100_000  # bound of the weights that travel with the job
 SMOOTHING = 0.5  # default weights: source size to this power
 TINY = 1e-7
 NO_SOURCE = "\x00"
@@ -152,58 +155,92 @@ def schedule(fluid: Fluid, start: int, end: int) -> list[tuple[int, int, int, in
     return out
 
 
+def _identified(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``row`` (all columns of a document) beside columns that identify the row, and their names.
+
+    Rows of files are known by file and place in it; others are landed under a number.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    file = F.col("_metadata.file_path")
+    try:
+        found = docs.select(
+            row, F.xxhash64(file).alias("f1"), F.xxhash64(F.lit(1), file).alias("f2"), F.col("_metadata.row_index").alias("at"))
+        found.schema
+    except AnalysisException:  # not rows of files
+        return land(docs.select(row, F.monotonically_increasing_id().alias("at")), "mixing-rows"), ["at"]
+    return found, ["f1", "f2", "at"]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows with the number of their range and their place among those of their source in it, from 0."""
+    part, last, seen = TaskContext.get().partitionId(), None, 0
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        codes = batch.column(0).dictionary_encode()
+        at = codes.indices.to_numpy()
+        starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        first = np.repeat(starts, np.diff(np.append(starts, n)))
+        place = np.arange(n) - first
+        if codes.dictionary[int(at[0])].as_py() == last:
+            place[first == 0] += seen
+        last, seen = codes.dictionary[int(at[-1])].as_py(), int(place[-1]) + 1
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(place)], names=[*batch.schema.names, "part", "place"])
+
+
 def place(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """``row`` (all columns of a document) with ``source_key, block, in_block, slot, release, deadline``.
 
     ``weights`` maps sources to target weights; by default source sizes to the power
-    ``SMOOTHING``. Reading the rows by (slot, in_block) is the mix.
+    ``SMOOTHING``. Reading the rows by (slot, in_block) is the mix. Rows are ranked without
+    their texts; 16 bytes per source travel with the job, names stay in the tables.
     """
     spark = docs.sparkSession
-    source = F.coalesce(F.col("source"), F.lit(NO_SOURCE))
-    mixed = F.xxhash64(F.lit(seed), "doc_id", "source")
-    light = docs.select(source.alias("source_key"), F.pmod(mixed, F.lit(BUCKETS)).cast("int").alias("bucket"))
-    counts = light.groupBy("source_key", "bucket").count()
-    sizes = counts.groupBy("source_key").agg(F.sum("count").alias("n")).orderBy("source_key").limit(MAX_SOURCES + 1).collect()
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: give groups of sources one name")
-    names = [r["source_key"] for r in sizes]
-    blocks = np.array([-(-r["n"] // block) for r in sizes], np.int64)
-    if weights is None:
-        target = np.array([float(r["n"]) ** SMOOTHING for r in sizes])
+    rows, known = _identified(docs)
+    source = F.coalesce(F.col("row.source"), F.lit(NO_SOURCE))
+    text = F.coalesce("row.text", F.lit("")) if "text" in docs.columns else F.lit("")
+    light = rows.select(
+        source.alias("source_key"), F.xxhash64(F.lit(seed), "row.doc_id", "row.source").alias("mixed"),
+        F.col("row.doc_id").cast("string").alias("id"), F.xxhash64(text).alias("hash"), *known)
+    order = ["source_key", "mixed", "id", "hash", *known]
+    ranged = light.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in light.schema if f.name not in ("mixed", "id", "hash"))
+    ranked = land(ranged.select("source_key", *known).mapInArrow(_counted, f"{kinds}, part int, place long"), "mixing-ranks")
+
+    # Where each source begins in each range, and a number for each source.
+    running = W.partitionBy("source_key").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    counts = ranked.groupBy("source_key", "part").agg(F.count(F.lit(1)).alias("n"))
+    sources = counts.groupBy("source_key").agg(F.sum("n").alias("n"))
+    if weights is not None:
+        given = spark.createDataFrame([(NO_SOURCE if k is None else k, float(v)) for k, v in weights.items()], "source_key string, weight double")
+        sources = sources.join(given, "source_key", "left").fillna(0.0, ["weight"])
     else:
-        target = np.array([float(weights.get(None if s == NO_SOURCE else s, 0.0)) for s in names])
-    fluid = Fluid(blocks, target) if names else None
+        sources = sources.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(SMOOTHING)))
+    sources = land(sources.withColumn("sid", F.monotonically_increasing_id()), "mixing-sources")
+    table = sources.select("sid", "n", "weight", F.xxhash64("source_key").alias("h")).toArrow()
+    sid, n, weight, h = (table.column(c).to_numpy() for c in ("sid", "n", "weight", "h"))
+    numbered = np.lexsort((sid, h))  # an order that does not hang on which task saw a source
+    sid, blocks = sid[numbered], -(-n[numbered] // block)
+    fluid = Fluid(blocks, weight[numbered]) if len(sid) else None
     total = int(blocks.sum())
 
     def segments(batches):
         for pdf in batches:
             for k in pdf["id"]:
-                rows = schedule(fluid, int(k) * SEGMENT, min(total, (int(k) + 1) * SEGMENT))
-                yield pd.DataFrame(
-                    [(names[s], *rest) for s, *rest in rows], columns=["source_key", "block", "slot", "release", "deadline"])
-
-    slots = spark.range(0, -(-total // SEGMENT), 1, min(partitions(spark), max(1, -(-total // SEGMENT)))).mapInPandas(
-        segments, "source_key string, block long, slot long, release long, deadline long")
-    # Where each (source, bucket) begins in its source, and the slots of the blocks it touches.
-    running = W.partitionBy("source_key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    begins = counts.withColumn("before", F.coalesce(F.sum("count").over(running), F.lit(0)))
-    touched = begins.select(
-        "source_key", "bucket", "before",
-        F.explode(F.sequence(F.floor(F.col("before") / block) + 1, F.floor((F.col("before") + F.col("count") - 1) / block) + 1)).alias("block"))
-    plan = touched.join(slots, ["source_key", "block"]).groupBy("source_key", "bucket").agg(
-        F.first("before").alias("before"),
-        F.sort_array(F.collect_list(F.struct("block", "slot", "release", "deadline"))).alias("plan"))
-    keyed = docs.select(
-        F.struct("*").alias("row"), source.alias("source_key"), F.pmod(mixed, F.lit(BUCKETS)).cast("int").alias("bucket"),
-        mixed.alias("mixed"))
-    ties = [F.col("row.doc_id")] + ([F.col("row.text")] if "text" in docs.columns else [])
-    order = W.partitionBy("source_key", "bucket").orderBy("mixed", *ties)
-    ranked = keyed.join(plan, ["source_key", "bucket"]).withColumn(
-        "rank", F.col("before") + F.row_number().over(order) - 1)
-    at = F.element_at("plan", (F.floor(F.col("rank") / block) - F.floor(F.col("before") / block) + 1).cast("int"))
-    return ranked.withColumn("at", at).select(
-        "row", "source_key", F.col("at.block").alias("block"), F.pmod("rank", F.lit(block)).alias("in_block"),
-        F.col("at.slot").alias("slot"), F.col("at.release").alias("release"), F.col("at.deadline").alias("deadline"))
+                found = schedule(fluid, int(k) * SEGMENT, min(total, (int(k) + 1) * SEGMENT))
+                yield pd.DataFrame([(int(sid[s]), *rest) for s, *rest in found], columns=["sid", "block", "slot", "release", "deadline"])
+
+    n_segments = -(-total // SEGMENT)
+    slots = spark.range(0, n_segments, 1, min(partitions(spark), max(1, n_segments))).mapInPandas(
+        segments, "sid long, block long, slot long, release long, deadline long")
+    begins = counts.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0))).drop("n")
+    rank = F.col("before") + F.col("place")
+    placed = ranked.join(begins, ["source_key", "part"]).join(sources.select("source_key", "sid"), "source_key").select(
+        *known, "source_key", "sid", (F.floor(rank / block) + 1).cast("long").alias("block"), F.pmod(rank, F.lit(block)).alias("in_block"))
+    placed = placed.join(slots, ["sid", "block"]).drop("sid")
+    return rows.join(placed, known).select("row", "source_key", "block", "in_block", "slot", "release", "deadline")
 
 
 def in_order(placed: DataFrame, columns: list[str]) -> DataFrame:

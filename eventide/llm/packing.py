@@ -8,7 +8,7 @@ emptiest open windows are cut up to fill the fullest ones, and the last one
 becomes sequences whose lengths are powers of two, so no padding remains.
 
 A task holds at most ``MAX_OPEN`` open windows; beyond that it settles them early
-in the same way. Sequence ids are (partition number << 32) + running number: a
+in the same way: cut windows make up to one piece more each. Sequence ids are (partition number << 32) + running number: a
 task that runs again over the same rows gives the same ids. Over range-partitioned
 rows the ids follow the ranges; inside a task a document may come later by the time
 its window stays open.
@@ -25,12 +25,16 @@ import base64
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .common import land, per_worker
 
 WINDOW = 2048
 END = 1
@@ -47,23 +51,28 @@ _ARROW = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_
 _ODD = re.compile("[^\\n\\x20-\\x7e\\xa1-\\u167f\\u2010-\\u2027\\u3041-\\u30ff\\u4e00-\\u9fa5\\uac00-\\ud7a3]")
 
 
+def _packed(ids: list[int]) -> bytes:
+    return np.asarray(ids, "<u4").tobytes()
+
+
 class _Known(dict):
     """Ids of words after ``lead``, found when first asked for. No word may be empty."""
 
     def __init__(self, lead: str, encode: Callable[[str], list[int]]):
         self.lead, self.encode = lead, encode
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> bytes:
         if not word:
             raise KeyError(word)
         if len(self) > CACHE:
             self.clear()
-        ids = self[word] = self.encode(self.lead + word)
+        ids = self[word] = _packed(self.encode(self.lead + word))
         return ids
 
 
-def encoder(path: str | None = None) -> Callable[[str], list[int]]:
-    """Text -> token ids of the tokenizer at ``path`` (by default the 50k byte-level BPE).
+def encoder(path: str | None = None) -> Callable[[str], bytes]:
+    """Text -> token ids of the tokenizer at ``path`` (by default the 50k byte-level BPE),
+    as little-endian 32-bit numbers.
 
     The default tokenizer splits a text into words by a pattern and encodes each word on
     its own. A single blank between two visible characters always begins a word, and a
@@ -77,8 +86,8 @@ def encoder(path: str | None = None) -> Callable[[str], list[int]]:
     tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
     tokenizer.encode_special_tokens = True
 
-    def whole(text: str) -> list[int]:
-        return tokenizer.encode(text, add_special_tokens=False).ids
+    def whole(text: str) -> bytes:
+        return _packed(tokenizer.encode(text, add_special_tokens=False).ids)
 
     if path:
         return whole
@@ -88,24 +97,24 @@ def encoder(path: str | None = None) -> Callable[[str], list[int]]:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     piece = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     first, later = _Known("", piece), _Known(" ", piece)
-    line_end = piece("\n")
+    line_end = _packed(piece("\n"))
 
-    def encode(text: str) -> list[int]:
+    def encode(text: str) -> bytes:
         if _ODD.search(text):
             return whole(text)
-        out: list[int] = []
+        out: list[bytes] = []
         try:
             for i, line in enumerate(text.split("\n")):
                 if i:
-                    out += line_end
+                    out.append(line_end)
                 words = line.split(" ")
-                out += first[words[0]]
+                out.append(first[words[0]])
                 if len(words) > 1:
                     del words[0]
-                    out += chain.from_iterable(map(later.__getitem__, words))
+                    out += map(later.__getitem__, words)
         except KeyError:  # neighbouring, leading or trailing white space
-            return whole(text) if text else []
-        return out
+            return whole(text) if text else b""
+        return b"".join(out)
 
     return encode
 
@@ -212,20 +221,18 @@ class Packer:
         return done
 
 
+_LAST = _packed([END])
+
+
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> DataFrame:
     """Pieces of ``docs (doc_id, text)``; each token lies in exactly one piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         packer = Packer(window, first_id=TaskContext.get().partitionId() << 32)
-        encode = None
+        encode = per_worker(("packing", path), lambda: encoder(path))
         for batch in batches:
-            encode = encode or encoder(path)
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py() or "")
-                ids.append(END)
-                packer.add(doc, np.asarray(ids, "<u4"))
+                packer.add(doc, np.frombuffer(encode(text.as_py() or "") + _LAST, "<u4"))
                 if len(packer.done) >= 20_000:
                     yield _batch(packer.take())
         packer.settle()
@@ -234,6 +241,49 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Data
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
+def pack_files(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> DataFrame:
+    """Like ``pack`` for rows read from files, with sequences numbered in the order of the files.
+
+    Spark gives a task parts of several files, in no order. Each part is packed on its own
+    under a number within it; the parts are numbered afterwards, by file and place in it, in a
+    table with a row per part. So rows that were written in an order keep it without a shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = per_worker(("packing", path), lambda: encoder(path))
+        packer, part = Packer(window), None
+
+        def close() -> pa.RecordBatch:
+            rows = _batch(packer.take())
+            held = [pa.array([part[i]] * rows.num_rows, kind) for i, kind in ((0, pa.string()), (1, pa.int64()))]
+            return pa.RecordBatch.from_arrays([*rows.columns, *held], names=[*rows.schema.names, "file", "begin"])
+
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), batch.column(1))
+            for doc, file, begin, text in rows:
+                if (file, begin) != part:
+                    if part is not None:
+                        packer.settle()
+                        yield close()
+                    packer, part = Packer(window), (file, begin)
+                packer.add(doc, np.frombuffer(encode(text.as_py() or "") + _LAST, "<u4"))
+                if len(packer.done) >= 20_000:
+                    yield close()
+        if part is not None:
+            packer.settle()
+            yield close()
+
+    rows = docs.select(
+        docs["doc_id"].cast("long").alias("doc_id"), "text", F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("begin"))
+    pieces = land(rows.mapInArrow(run, f"{SCHEMA}, file string, begin long"), "packing-pieces")
+    number = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).cast("long")  # how Spark names the files of a write
+    parts = pieces.select("file", "begin").distinct()  # one row per part of a file
+    parts = parts.withColumn("part", F.row_number().over(W.orderBy(number, "file", "begin")) - 1)
+    return pieces.join(F.broadcast(parts), ["file", "begin"]).withColumn(
+        "sequence_id", F.shiftleft(F.col("part").cast("long"), 32) + F.col("sequence_id")).select(*_ARROW.names)
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = zip(*rows) if rows else [[]] * len(_ARROW)
     return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], schema=_ARROW)

@@ -89,9 +89,26 @@ def test_odd_rows(spark):
     out = M.in_order(placed, docs.columns)
     assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
     assert M.place(docs.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        old, M.MAX_SOURCES = M.MAX_SOURCES, 1
-        try:
-            M.place(docs)
-        finally:
-            M.MAX_SOURCES = old
+
+
+def test_repeated_rows_and_ids_have_places_of_their_own(spark, tmp_path):
+    """A third of all rows are copies of one row, another third has no id; both from files and from a plan."""
+    rows = [(7, "s", "same") if i % 3 == 0 else (None, "s", f"t{i % 50}") if i % 3 == 1 else (i, "q", f"u{i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(6)
+    docs.write.parquet(f"{tmp_path}/docs")
+    for df in (docs, spark.read.parquet(f"{tmp_path}/docs")):
+        placed = M.place(df, block=10).select("row.*", "slot", "in_block", "block", "source_key").toPandas()
+        assert len(placed) == 3000 and not placed.duplicated(["slot", "in_block"]).any()
+        assert sorted(placed["text"]) == sorted(r[2] for r in rows)
+        assert (placed.groupby(["source_key", "block"]).size() == 10).all()
+
+
+def test_any_number_of_sources(spark):
+    """More sources than were once allowed: every document has a place, and every block its slot."""
+    n = 120_000
+    docs = spark.range(0, n, 1, 8).selectExpr("id AS doc_id", "concat('s', id % 110000) AS source")
+    placed = M.place(docs, block=1).select("source_key", "block", "in_block", "slot", "release", "deadline")
+    checks = placed.selectExpr(
+        "count(*) AS n", "count(DISTINCT slot) AS slots", "min(slot) AS low", "max(slot) AS high",
+        "count_if(release <= slot AND slot < deadline) AS inside", "count(DISTINCT source_key, block) AS blocks").first()
+    assert tuple(checks) == (n, n, 0, n - 1, n, n)

@@ -53,7 +53,7 @@ def test_words_apart_encode_like_the_whole_text(tokenizer):
     encode = packing.encoder()
     for text in ("", " ", "a  b\n\n c\t", "l'été d'Été 3x <|endoftext|>", "\x1ca\x85b", "日本語テキスト、です", "😀 ok", "x" * 5000,
                  " it's we'll thin  nbsp", "\r\n\r\n x", "é combining"):
-        assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_edge_rows(spark, tokenizer):
@@ -96,3 +96,22 @@ def test_settling_early_keeps_everything():
         assert packer.n_open <= 3
     packer.settle()
     assert sum(p[2] for p in packer.take()) == total
+
+
+def test_files_give_the_order_of_sequences(spark, tokenizer, tmp_path):
+    """Files of a sorted write, read back in parts: each token once, sequences in the order of the rows."""
+    n = 900
+    docs = spark.range(n).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), int(id % 97) * 3) AS text", "'x' AS file", "1 AS begin")
+    docs.repartitionByRange(11, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/docs")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        pieces = packing.pack_files(spark.read.parquet(f"{tmp_path}/docs")).toPandas()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    check(pieces, {r["doc_id"]: r["text"] for r in docs.collect()}, tokenizer)
+    assert packing.padding(pieces) == 0.0
+    parts = (pieces["sequence_id"] // 2**32).groupby(pieces["doc_id"]).agg(["min", "max"]).sort_index()
+    assert (parts["min"] == parts["max"]).all() and parts["min"].is_monotonic_increasing and parts["min"].nunique() >= 11
+    docs.limit(0).write.parquet(f"{tmp_path}/none")
+    assert packing.pack_files(spark.read.parquet(f"{tmp_path}/none")).count() == 0
