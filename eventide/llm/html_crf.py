@@ -67,9 +67,12 @@ CUES = frozenset(
     "cookie cookies consent subscribe newsletter copyright reserved advertisement sponsored comment comments reply "
     "share login menu privacy terms follow".split())
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?")
+# An attribute is a name with, after "=", a value in quotes or up to the next blank. A quote
+# elsewhere, or one that never closes, is a character like any other.
+_ATTR = r"[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+"
+_TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ATTR})*+)>?")
 _COMMENT_END = re.compile("-->|(?<!<!)--!>")
-_ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMED = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+))?+)?+")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -89,9 +92,10 @@ class Block:
 @functools.lru_cache(1 << 12)
 def _own_features(tag: str, attrs: str) -> frozenset[int]:
     own = {_feature(f"in:{tag}")}
-    for name, a, b, c in _ATTR.findall(attrs):
-        for word in _WORD.findall(a or b or c):
-            own.add(_feature(f"{'role' if name.lower() == 'role' else 'class'}:{word.lower()}"))
+    for name, a, b, c in _NAMED.findall(attrs):
+        if name.lower() in ("class", "id", "role"):
+            for word in _WORD.findall(a or b or c):
+                own.add(_feature(f"{'role' if name.lower() == 'role' else 'class'}:{word.lower()}"))
     return frozenset(own)
 
 
@@ -102,19 +106,27 @@ class _Open:
     ends without it hides nothing, since nobody can tell how far it was meant to reach.
     """
 
-    __slots__ = ("tag", "tags", "features", "above", "ended")
+    __slots__ = ("tag", "parent", "own", "above", "ended", "found")
 
     def __init__(self, tag: str, attrs: str, parent: _Open | None, hidden: bool = False):
-        self.tag = tag
-        self.tags = parent.tags if parent else frozenset()
-        self.features = parent.features if parent else frozenset()
+        self.tag, self.parent = tag, parent
+        self.own: frozenset[int] = frozenset() if hidden else _own_features(tag, attrs)
         self.above: tuple[_Open, ...] = parent.above if parent else ()  # hidden elements around, its own included
         self.ended = False
+        self.found: tuple[frozenset[str], frozenset[int]] | None = None
         if hidden:
             self.above += (self,)
-        else:
-            self.tags |= {tag}
-            self.features |= _own_features(tag, attrs)
+
+    def gathered(self) -> tuple[frozenset[str], frozenset[int]]:
+        """Tags and features of this element and those around it, gathered where a block needs them."""
+        path, at = [], self
+        while at is not None and at.found is None:
+            path.append(at)
+            at = at.parent
+        tags, features = at.found if at is not None else (frozenset(), frozenset())
+        if path:
+            self.found = (tags.union(o.tag for o in path if o.own), features.union(*[o.own for o in path]))
+        return self.found
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -246,10 +258,11 @@ def _block(text: str, linked: float, inside: _Open | None) -> Block:
         own.append("sign")
     if len(words) <= 16:
         own += [f"cue:{w}" for w in {t.lower() for t in _TOKEN.findall(text)} & CUES]
-    features = set(inside.features) if inside else set()
+    tags, around = inside.gathered() if inside else (frozenset(), frozenset())
+    features = set(around)
     features.update(_feature(x) for x in own)
     features.add(_feature("bias"))
-    return Block(text, tuple(sorted(features)), inside.tags if inside else frozenset())
+    return Block(text, tuple(sorted(features)), tags)
 
 
 @dataclass
@@ -429,6 +442,21 @@ def _plain(b: Block) -> Block:
     return Block(b.text.replace(CONTENT, "").replace(REST, ""), b.features, b.tags)
 
 
+def marginals(emissions: np.ndarray, turns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of content per block, and of both labels of each neighbouring pair (forward-backward in logs)."""
+    n = len(emissions)
+    e = np.column_stack([np.zeros(n), emissions])
+    a, b = np.zeros((n, 2)), np.zeros((n, 2))
+    a[0] = e[0]
+    for i in range(1, n):
+        a[i] = np.logaddexp(a[i - 1, 0] + turns[0], a[i - 1, 1] + turns[1]) + e[i]
+    for i in range(n - 2, -1, -1):
+        step = e[i + 1] + b[i + 1]
+        b[i] = np.logaddexp(turns[:, 0] + step[0], turns[:, 1] + step[1])
+    z = np.logaddexp(*a[-1])
+    return np.exp(a[:, 1] + b[:, 1] - z), np.exp(a[:-1, :, None] + turns[None] + (e[1:] + b[1:])[:, None, :] - z)
+
+
 def train(sequences: list[tuple[list[Block], np.ndarray]], seed: int = SEED) -> Model:
     """Conditional log-likelihood by stochastic gradient (AdaGrad), forward-backward in logs."""
     rng = np.random.default_rng(seed)
@@ -438,23 +466,12 @@ def train(sequences: list[tuple[list[Block], np.ndarray]], seed: int = SEED) ->
     for _ in range(EPOCHS):
         for k in rng.permutation(len(data)):
             features, y = data[k]
-            n, turns = len(y), model.turns
-            e = np.zeros((n, 2))
-            e[:, 1] = [model.weights[f].sum() for f in features]
-            a, b = np.zeros((n, 2)), np.zeros((n, 2))
-            a[0] = e[0]
-            for i in range(1, n):
-                a[i] = np.logaddexp(a[i - 1, 0] + turns[0], a[i - 1, 1] + turns[1]) + e[i]
-            for i in range(n - 2, -1, -1):
-                step = e[i + 1] + b[i + 1]
-                b[i] = np.logaddexp(turns[:, 0] + step[0], turns[:, 1] + step[1])
-            z = np.logaddexp(*a[-1])
-            p1 = np.exp(a[:, 1] + b[:, 1] - z)
-            if n > 1:
-                pairs = np.exp(a[:-1, :, None] + turns[None] + (e[1:] + b[1:])[:, None, :] - z).sum(0)
+            p1, pairs = marginals(np.array([model.weights[f].sum() for f in features]), model.turns)
+            if len(y) > 1:
+                pairs = pairs.sum(0)
                 np.add.at(pairs, (y[:-1], y[1:]), -1)
                 g_t += pairs**2
-                model.turns = turns - 0.2 * pairs / np.sqrt(g_t)
+                model.turns = model.turns - 0.2 * pairs / np.sqrt(g_t)
             where = np.concatenate(features)
             grad = np.repeat(p1 - y, [len(f) for f in features])
             touched, inverse = np.unique(where, return_inverse=True)

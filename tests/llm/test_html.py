@@ -74,6 +74,73 @@ def test_long_and_deep_pages(model):
     assert model.extract("<div>" * 5000 + "<p>deep text here.</p>") == "deep text here."
 
 
+@pytest.mark.parametrize("page,texts", [
+    ("<p title=it's>One two three.</p><p>Three don't go.</p><p>Last one.</p>", ["One two three.", "Three don't go.", "Last one."]),
+    ("<p>a <a href=x\">link</a> here.</p><p>\"quoted\" text</p>", ["a link here.", '"quoted" text']),
+    ("<p>one</p><p class=\"x>two</p><p>three</p>", ["one", "two", "three"]),
+    ("<p 'x' \"y>one</p><p>it's two</p>", ["one", "it's two"]),
+    ("<p a = 'x > y' b=\">\">one</p><p / =x>two</p><p a=>three</p><br/>", ["one", "two", "three"]),
+    ("<p a=b'c\"d>one</p>\"'<p a='1'b=\"2\">two</p>", ["one", "\"'", "two"]),
+])
+def test_quotes_in_tags(page, texts):
+    assert [b.text for b in H.blocks(page)] == texts
+
+
+def test_attribute_names_give_features():
+    names = lambda tag, attrs: H._own_features(tag, attrs) - H._own_features(tag, "")
+    want = names("div", " class=\"navBar\"")
+    assert len(want) == 2 and want == names("div", " CLASS='nav Bar'") == names("div", "/title=\"x class=y\" id=nav-bar") == names("div", " class = nav_bar")
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for name in ("x", "{}"):  # one name, and a name of its own for each element
+        letters = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(20_000)]
+        page = "".join(f"<div class={name.format(x)}>" for x in letters) + "<p>deep text</p>"
+        assert [b.text for b in H.blocks(page)] == ["deep text"]
+    H.blocks("<p a=\"" * 20_000 + "<p>x")
+    assert time.perf_counter() - began < 2
+
+
+def test_gradient_matches_differences():
+    """The likelihood's gradient against central differences, on random chains."""
+    rng = np.random.default_rng(7)
+    pages = [([H.Block("x", tuple(sorted(rng.choice(40, 4, replace=False).tolist())), frozenset()) for _ in range(n)],
+              rng.integers(0, 2, n)) for n in (1, 2, 5, 9)]
+
+    def loss(m):
+        """Minus the log probability of the labels, by summing over all label sequences."""
+        total = 0.0
+        for page, y in pages:
+            e, n = m.emissions(page), len(page)
+            value = lambda k: sum(e[i] * k[i] for i in range(n)) + sum(m.turns[k[i], k[i + 1]] for i in range(n - 1))
+            every = [value([c >> i & 1 for i in range(n)]) for c in range(2**n)]
+            total += np.logaddexp.reduce(every) - value(y.tolist())
+        return total
+
+    m = H.Model(rng.normal(size=H.FEATURES), rng.normal(size=(2, 2)))
+    want_w, want_t = np.zeros(40), np.zeros((2, 2))
+    for page, y in pages:
+        p, pair = H.marginals(m.emissions(page), m.turns)
+        for i, b in enumerate(page):
+            for f in b.features:
+                want_w[f] += p[i] - y[i]
+        for i in range(len(page) - 1):
+            want_t += pair[i]
+            want_t[y[i], y[i + 1]] -= 1
+    for f in range(40):
+        step = np.zeros(H.FEATURES)
+        step[f] = 1e-5
+        assert (loss(H.Model(m.weights + step, m.turns)) - loss(H.Model(m.weights - step, m.turns))) / 2e-5 == pytest.approx(want_w[f], abs=1e-5)
+    for a in range(2):
+        for b in range(2):
+            step = np.zeros((2, 2))
+            step[a, b] = 1e-5
+            assert (loss(H.Model(m.weights, m.turns + step)) - loss(H.Model(m.weights, m.turns - step))) / 2e-5 == pytest.approx(want_t[a, b], abs=1e-5)
+
+
 def test_blocks_decode_and_join_white_space():
     found = H.blocks("<p>a&nbsp;b<br>c\n\n d <b>e</b>f &amp;amp; &am &#x41;</p>")
     assert [b.text for b in found] == ["a b c d ef &amp; &am A"]
