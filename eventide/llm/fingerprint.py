@@ -114,9 +114,16 @@ def with_next(rows: DataFrame, columns: list[str], derived: dict | None = None,
     cuts = sorted(set(cuts or []))
 
     def bucket(value: Column) -> Column:
+        """How many cuts are smaller: a binary search in one array."""
         if not cuts:
             return F.lit(0)
-        return F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda q: q < value))
+        table, bits = F.array(*[F.lit(x) for x in cuts]), len(cuts).bit_length()
+
+        def halve(low: Column, bit: Column) -> Column:
+            here = low + bit
+            return F.when((here <= len(cuts)) & (F.element_at(table, F.least(here, F.lit(len(cuts)))) < value), here).otherwise(low)
+
+        return F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(bits))]), F.lit(0), halve)
 
     heads = ids.select("_id", bucket(F.col("_id")).alias("_b")).groupBy("_b").agg(F.max("_id").alias("top")).collect()
     tops = {r["_b"]: r["top"] for r in heads}
@@ -129,13 +136,14 @@ def with_next(rows: DataFrame, columns: list[str], derived: dict | None = None,
     keyed = plain.withColumns({"_b": bucket(F.col("_id")), "_copy": F.lit(False)})
     firsts = plain.filter(F.col("_id").isin(list(tops.values()))).withColumn(
         "_r", F.row_number().over(W.partitionBy("_id").orderBy(names[tie]))).filter("_r = 1").drop("_r")
-    pairs = F.array(*[F.struct(F.lit(top).alias("id"), F.lit(b).alias("b")) for b, top in after.items()])
     if after:
-        firsts = firsts.withColumn("_p", F.explode(F.filter(pairs, lambda p: p["id"] == F.col("_id"))))
-        firsts = firsts.withColumns({"_b": F.col("_p.b"), "_copy": F.lit(True)}).drop("_p")
+        goes_to = spark.range(1).select(F.inline(F.array(*[
+            F.struct(F.lit(top).cast("long").alias("_id"), F.lit(b).alias("_b")) for b, top in after.items()])))
+        firsts = firsts.join(F.broadcast(goes_to), "_id").withColumn("_copy", F.lit(True))  # one row per range
     else:
         firsts = firsts.withColumns({"_b": F.lit(0), "_copy": F.lit(True)})
-    dealt = keyed.unionByName(firsts).repartition("_b")
+    # Whole buckets by range: neighbours in number share tasks evenly, where a hash would pile some up.
+    dealt = keyed.unionByName(firsts.select(*keyed.columns)).repartitionByRange(n, "_b")
     for name, make in (derived or {}).items():
         names[name] = f"c{len(names)}"
         dealt = dealt.withColumn(names[name], make(lambda c: F.col(names[c])))
