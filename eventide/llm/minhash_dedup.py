@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.joins import split_join
 from .common import NO_ID, components, land, order_id
 
 SEED = 29
@@ -542,8 +543,10 @@ def mark(docs: DataFrame, columns: list[str] | None = None, similarity: float =
     least = keyed.groupBy("h1", "h2").agg(F.min("rank").alias("rank"))
     # A text without near copies is a group of its own.
     least = land(least.join(groups, ["h1", "h2"], "left").select("h1", "h2", "rank", "component"), "icws-ranks")
-    best = least.filter("component IS NOT NULL").groupBy("component").agg(F.min("rank").alias("best"))
-    named = land(least.join(best, "component", "left").select("h1", "h2", F.coalesce("best", "rank").alias("best")), "icws-named")
+    grouped, alone = least.filter("component IS NOT NULL"), least.filter("component IS NULL")
+    best = grouped.groupBy("component").agg(F.min("rank").alias("best"))
+    named = land(split_join(grouped, best, "component", "inner").select("h1", "h2", "best").unionByName(
+        alone.select("h1", "h2", F.col("rank").alias("best"))), "icws-named")
     return keyed.join(named, ["h1", "h2"]).select(
         "row", F.when(F.col("best.id") != NO_ID, F.col("best.id")).alias("representative"),
         (F.col("rank") == F.col("best")).alias("kept"), "best")
