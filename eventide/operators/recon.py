@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import percent, quotient, volume_category
+from ..session import materialise
 from .joins import bloom_anti_join, salted_left_join, split_join
 
 TICKER_DAY = ["ticker", "business_date"]
@@ -179,6 +180,33 @@ def participant_exposure(recon: DataFrame, close: DataFrame, generated_at=None)
     return _stamp(out, "report_generated_at", generated_at)
 
 
+def exposure_in_one_pass(trades: DataFrame, declared: Column) -> DataFrame:
+    """Position reconciliation and exposure from one scan of the trades and one shuffle.
+
+    ``declared`` marks the trades that make up the declared positions. Each trade gives a
+    buy leg, a sell leg and a row for its ticker's close; one aggregation by (date, ticker,
+    participant) yields declared and traded quantities and closing prices together, summed
+    before they travel, however hot a ticker is. Its result, a row per position and ticker
+    day, meets itself for the prices.
+    """
+    q = F.col("quantity").cast("long")
+    none = F.lit(None).cast("string")
+    legs = F.explode(F.array(
+        F.struct(F.col("buyer_participant").alias("participant_id"), q.alias("signed"), F.lit(False).alias("close")),
+        F.struct(F.col("seller_participant").alias("participant_id"), (-q).alias("signed"), F.lit(False).alias("close")),
+        F.struct(none.alias("participant_id"), F.lit(0).cast("long").alias("signed"), F.lit(True).alias("close"))))
+    rows = trades.withColumn("_declared", F.coalesce(declared, F.lit(False))).select(
+        "business_date", "ticker", "price", "trade_time", "_declared", legs.alias("leg")).select("*", "leg.*")
+    summed, _ = materialise(rows.groupBy("business_date", "ticker", "participant_id", "close").agg(
+        F.sum(F.when(F.col("_declared"), F.col("signed"))).alias("declared_quantity"),
+        F.count_if("_declared").alias("_n"), F.sum("signed").alias("traded_net_qty"), _last_price().alias("closing_price")), "exposure")
+    diff = F.col("declared_quantity") - F.col("traded_net_qty")
+    recon = summed.filter("NOT close AND _n > 0").select(
+        "participant_id", "ticker", "business_date", "declared_quantity", "traded_net_qty", diff.alias("quantity_diff"),
+        F.when(F.abs(diff) < 1, "MATCHED").otherwise("BREAK").alias("recon_status"))
+    return participant_exposure(recon, summed.filter("close"))
+
+
 # --- settlement -------------------------------------------------------------
 def settlement_recon(
     trades: DataFrame, instructions: DataFrame, reconciled_at=None

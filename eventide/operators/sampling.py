@@ -224,19 +224,24 @@ def drill_volume_spike(df: DataFrame, business_date: str | None = None, seed: in
     Each existing trade of the ticker gives rise to ``factor`` copies of the
     template, so the new rows are made where the old ones are, however many.
     """
-    rows = _slice(df, "business_date", business_date)
-    ticker = rows.select("ticker").distinct().orderBy(hash_order("ticker", seed)).limit(1)
-    mine = rows.filter(F.col("ticker") == ticker.scalar())
     copied = ["price", "quantity", "buyer_participant", "seller_participant", "trade_time"]
-    template = mine.agg(F.min_by(F.struct(*copied), F.struct("trade_id", "order_id", *copied)).alias("t"))
-    new_id = uuid_from(F.lit("spike"), "trade_id", "_row", "_copy")
-    kind = df.schema["order_id"].dataType  # texts get a UUID, numbers a hash
-    new_order = uuid_from(F.lit("spike-order"), "trade_id", "_row", "_copy") if isinstance(kind, T.StringType) else (
-        F.xxhash64(F.lit("spike-order"), "trade_id", "_row", "_copy").cast(kind))
-    spike = (
-        mine.withColumn("_row", F.xxhash64(*df.columns))  # trade ids can repeat
-        .select("trade_id", "ticker", "business_date", "_row", F.explode(F.sequence(F.lit(1), F.lit(factor))).alias("_copy"))
-        .withColumn("t", template.scalar())
-        .select(new_id.alias("trade_id"), new_order.alias("order_id"), "ticker", "business_date", "t.*")
-    )
-    return df.unionByName(spike.select(*df.columns))
+    # One pass finds the ticker and the trade to copy, another gives every row and its copies.
+    least = F.min_by(F.struct(*copied), F.struct("trade_id", "order_id", *copied)).alias("t")
+    per_ticker = _slice(df, "business_date", business_date).groupBy("ticker").agg(least)
+    pick = per_ticker.orderBy(hash_order("ticker", seed)).limit(1).select(F.struct("ticker", "t")).scalar()
+    hit = F.col("ticker") == pick["ticker"]
+    if business_date is not None:
+        hit = hit & (F.to_date("business_date") == F.lit(business_date).cast("date"))
+    row = F.xxhash64(*df.columns)  # trade ids can repeat
+    number = not isinstance(df.schema["order_id"].dataType, T.StringType)  # texts get a UUID, numbers a hash
+
+    def copy(k: Column) -> Column:
+        made = {
+            "trade_id": uuid_from(F.lit("spike"), "trade_id", row, k),
+            "order_id": F.xxhash64(F.lit("spike-order"), "trade_id", row, k) if number else uuid_from(F.lit("spike-order"), "trade_id", row, k),
+        } | {c: pick["t"][c] for c in copied}
+        return F.struct(*[made.get(c, F.col(c)).cast(df.schema[c].dataType).alias(c) for c in df.columns])
+
+    own = F.array(F.struct(*df.columns))
+    copies = F.transform(F.sequence(F.lit(1), F.lit(factor)), copy)
+    return df.select(F.explode(F.when(hit, F.concat(own, copies)).otherwise(own)).alias("r")).select("r.*")

@@ -538,6 +538,7 @@ SELECT p.pid AS participant_id, p.ticker, p.business_date, declared AS declared_
 recon_status, {scaled('c.c4', 4)} AS closing_price, {scaled('declared * coalesce(c.c4, 0)', 4)} AS mark_to_market,
 {scaled('diff * coalesce(c.c4, 0)', 4)} AS exposure_diff
 FROM posrecon p LEFT JOIN closing c ON c.ticker = p.ticker AND c.business_date = p.business_date"""
+ORACLE["j6_exposure_one_pass"] = ORACLE["j6_participant_exposure_report"]
 ORACLE["j7_derive_instructions"] = f"""WITH {TRADES} SELECT {uid("concat_ws('-', 'instruction', trade_id, business_date)")} AS instruction_id, trade_id,
 business_date + 2 AS settlement_date, buyer AS participant, ticker, quantity, {scaled('n4', 4)} AS amount, 'MATCHED' AS status, business_date FROM trades"""
 ORACLE["j8_derive_positions"] = f"""WITH {TRADES}, {POS} SELECT {uid("concat_ws('-', 'position', pid, ticker, business_date)")} AS position_id, ticker,

@@ -877,6 +877,13 @@ def _(spark, d):
     return R.participant_exposure(R.position_recon(V.raw_participant_positions(spark, d), t), R.close_prices(t))
 
 
+@query("j6_exposure_one_pass")
+def _(spark, d):
+    t = V.raw_trades(spark, d, "ticker", "trade_time", "price", "quantity", "buyer_participant", "seller_participant",
+                     "business_date", "returnflag")
+    return R.exposure_in_one_pass(t, F.col("returnflag") != "R")
+
+
 @query("j7_derive_instructions")
 def _(spark, d):
     t = V.raw_trades(spark, d, "trade_id", "ticker", "price", "quantity", "buyer_participant", "business_date")

@@ -157,3 +157,17 @@ def test_rows_in_and_not_in(spark):
 def test_cross_count(spark):
     assert joins.cross_count(spark.range(7), spark.range(6)).first()["cnt"] == 42
     assert joins.cross_count(spark.range(0), spark.range(6)).first()["cnt"] == 0
+
+
+def test_exposure_in_one_pass_equals_the_separate_steps(spark):
+    t = spark.range(4000).select(
+        F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("T"), F.col("id") % 11)).alias("ticker"),
+        F.timestamp_seconds(F.col("id") * 7919 % 4001).alias("trade_time"), (F.col("id") % 97 + 1).cast("decimal(18,4)").alias("price"),
+        (F.col("id") % 13).cast("int").alias("quantity"),
+        F.when(F.col("id") % 29 > 0, F.concat(F.lit("P"), F.col("id") % 5)).alias("buyer_participant"), F.concat(F.lit("P"), F.col("id") % 7).alias("seller_participant"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 4).cast("int")).alias("business_date"), (F.col("id") % 10 > 2).alias("ours"))
+    want = R.participant_exposure(
+        R.position_recon(R.participant_positions(t.filter("ours")).filter("participant IS NOT NULL"), t), R.close_prices(t))
+    got = R.exposure_in_one_pass(t, F.col("ours")).filter("participant_id IS NOT NULL")
+    assert counts(got) == counts(want)
+    assert R.exposure_in_one_pass(t.limit(0), F.col("ours")).collect() == []
