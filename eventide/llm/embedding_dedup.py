@@ -37,6 +37,7 @@ CELL_ROWS = 256  # rows that a cell should hold over all labels
 MAX_CODES = 256
 BLOCK = 1024  # rows of a cell that are compared at once
 SLACK = 1e-9
+CLOSE = 1e-6  # codewords nearer to each other are one
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -47,7 +48,16 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
             own = x[near == c]
             if len(own):
                 centres[c] = own.mean(0)
-    return np.unique(centres, axis=0)
+    return _apart(np.unique(centres, axis=0))
+
+
+def _apart(centres: np.ndarray) -> np.ndarray:
+    """Without those that lie within ``CLOSE`` of an earlier one: the bound divides by their distance."""
+    kept: list[int] = []
+    for i, c in enumerate(centres):
+        if not kept or ((centres[kept] - c) ** 2).sum(1).min() > CLOSE**2:
+            kept.append(i)
+    return centres[kept]
 
 
 def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -59,7 +69,8 @@ class Grid:
 
     def __init__(self, left: np.ndarray, right: np.ndarray, radius: float):
         self.books, self.radius = (left, right), radius
-        self.gaps = [np.sqrt(_squares(c, c)) for c in self.books]
+        # Differences, not products: a small distance must not cancel out.
+        self.gaps = [np.stack([np.sqrt(((c - x) ** 2).sum(1)) for x in c]) for c in self.books]
 
     def bounds(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Home cell of each row, and per half the squared least distance to every codeword's region.
@@ -202,11 +213,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, target_recall: f
         "vec_id", "embedding", F.xxhash64("label", F.size("embedding")).alias("kind"),
         F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
     # Exact copies collapse to one counted row; the smallest id stands for them.
+    # Copies of a vector under other labels have other representatives, numbered as they are written.
     reps = land(good.groupBy("kind", "h1", "h2").agg(
         F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"),
-        F.any_value("embedding").alias("embedding")), "imi-reps")
-    # Copies of a vector under other labels have other representatives, but ids can repeat.
-    reps = reps.withColumn("rep", F.xxhash64("kind", "h1", "h2"))
+        F.any_value("embedding").alias("embedding")).withColumn("rep", F.monotonically_increasing_id()), "imi-reps")
     size = reps.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
     if not size["n"]:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),

@@ -97,3 +97,69 @@ def test_chunks_do_not_change_a_score(monkeypatch):
     monkeypatch.setattr(X, "CHUNK", 37)
     parts = m.pooled(ids)
     assert np.allclose(whole[0], parts[0]) and (whole[1][whole[0] > 0] == parts[1][parts[0] > 0]).all()
+
+
+def random_model(rng, scale=0.5):
+    return X.Model(rng.normal(0, scale, (50, X.DIM)), [rng.normal(0, scale, (w, X.DIM, X.FILTERS)) for w in X.WIDTHS],
+                   rng.normal(0, scale, (len(X.WIDTHS), X.FILTERS)), rng.normal(0, scale, len(X.WIDTHS) * X.FILTERS), 0.3)
+
+
+def random_texts(rng, n):
+    out = [rng.integers(0, 50, (int(rng.integers(0, 9)), X.PIECES)).astype(np.int32) for _ in range(n)]
+    for ids in out:
+        ids[rng.random(ids.shape) < 0.2] = 0
+    return out
+
+
+def test_pooling_matches_plain_loops():
+    rng = np.random.default_rng(3)
+    m = random_model(rng)
+    m.embed[0] = 0
+    for ids in random_texts(rng, 20):
+        value, _ = m.pooled(ids)
+        words = [sum(m.embed[p] for p in row) for row in ids] + [np.zeros(X.DIM)] * max(X.WIDTHS)
+        for k, w in enumerate(X.WIDTHS):
+            for f in range(X.FILTERS):
+                best = max(sum(float(words[i + j] @ m.filters[k][j][:, f]) for j in range(w)) + m.bias[k, f] for i in range(max(1, len(ids))))
+                assert value[k, f] == pytest.approx(max(0.0, best), abs=1e-5)
+
+
+def test_gradients_match_differences():
+    rng = np.random.default_rng(4)
+    m = random_model(rng)
+    m.embed[0] = 0
+    texts, y = random_texts(rng, 6), np.array([0, 1, 1, 0, 1, 0], float)
+    g_embed, g_filters, g_bias, g_out, g_ob = X.gradients(m, texts, y)
+
+    def loss():
+        z = np.array([m.logit(t) for t in texts])
+        return float(np.mean(np.logaddexp(0, z) - y * z))
+
+    def slope(array, at, step=1e-4):
+        held = array[at]
+        array[at] = held + step
+        up = loss()
+        array[at] = held - step
+        down = loss()
+        array[at] = held
+        return (up - down) / (2 * step)
+
+    for piece in sorted(g_embed)[:12]:
+        for c in range(0, X.DIM, 3):
+            assert slope(m.embed, (piece, c)) == pytest.approx(g_embed[piece][c], abs=2e-3)
+    for k, g in enumerate(g_filters):
+        for at in ((0, 1, 2), (len(g) - 1, 4, 7)):
+            assert slope(m.filters[k], at) == pytest.approx(g[at], abs=2e-3)
+    assert slope(m.bias, (1, 3)) == pytest.approx(g_bias[1, 3], abs=2e-3) and slope(m.out, 5) == pytest.approx(g_out[5], abs=2e-3)
+    m.out_bias += 1e-4
+    up = loss()
+    m.out_bias -= 2e-4
+    assert (up - loss()) / 2e-4 == pytest.approx(float(g_ob[0]), abs=2e-3)
+
+
+def test_the_first_of_texts_with_one_id_is_learnt(spark):
+    a = [(i, "bad words here" if i % 2 else "fine words there") for i in range(40)]
+    docs = spark.createDataFrame(a + [(i, "zzz later text") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, label int")
+    one, two = X.fit(docs.repartition(5), labels), X.fit(spark.createDataFrame(a, "doc_id long, text string"), labels)
+    assert (one.embed == two.embed).all() and (one.out == two.out).all()

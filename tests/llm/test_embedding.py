@@ -96,3 +96,20 @@ def test_a_lower_target_recall_still_reaches_it(spark):
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     links = sum(r[1] for r in got(E.near_duplicates(spark.createDataFrame(rows, LAYOUT), target_recall=0.9)))
     assert links >= 0.9 * sum(r[1] for r in brute(rows))
+
+
+def test_bounds_hold_for_codewords_that_nearly_meet():
+    """The bound of a region never exceeds the distance to a point of it."""
+    rng = np.random.default_rng(11)
+    for trial in range(60):
+        base = rng.normal(size=(4, 3))
+        close = base + rng.normal(size=(4, 3)) * 10.0 ** rng.integers(-9, -3)
+        book = E._apart(np.unique(np.concatenate([base, close]), axis=0))
+        gaps = np.sqrt(((book[:, None] - book[None]) ** 2).sum(2))
+        assert gaps[~np.eye(len(book), dtype=bool)].min() > E.CLOSE
+        grid = E.Grid(book, rng.normal(size=(2, 3)), 0.04)
+        x = np.concatenate([book[rng.integers(len(book), size=(300,))] + rng.normal(0, 0.05, (300, 3)), rng.normal(size=(300, 3))], axis=1)
+        _, lower = grid.bounds(x)
+        near = E._squares(x[:, :3], book).argmin(1)
+        true = ((x[:, None, :3] - x[None, :, :3]) ** 2).sum(2)  # to the points of each region
+        assert (lower[0][:, near] <= true + 1e-9).all(), trial

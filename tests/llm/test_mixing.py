@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 
@@ -31,6 +34,38 @@ def test_every_block_keeps_its_window(sizes, weights, segment):
     check_schedule(sizes, weights, segment)
 
 
+def exact_windows(sizes, weights):
+    """(release, deadline) of every block in exact arithmetic: the fluid is followed from one source's end to the next."""
+    left, time, times = [Fraction(n) for n in sizes], Fraction(0), [[] for _ in sizes]
+    out = [Fraction(0)] * len(sizes)
+    while any(left):
+        rate = {s: Fraction(weights[s]) / sum(Fraction(weights[k]) for k in range(len(sizes)) if left[k]) for s in range(len(sizes)) if left[s]}
+        span = min(left[s] / r for s, r in rate.items())
+        for s, r in rate.items():
+            for block in range(int(out[s]) + 1, int(out[s] + r * span) + 1):
+                times[s].append(time + (block - out[s]) / r)
+            out[s] += r * span
+            left[s] -= r * span
+        time += span
+    return [[(math.floor(a), math.ceil(b)) for a, b in zip([Fraction(0), *t], t)] for t in times]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_a_second_scheduler_agrees(seed):
+    """Earliest deadline first, slot by slot over all sources, from windows in exact arithmetic."""
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 9))
+    sizes, weights = rng.integers(1, 40, n).tolist(), rng.integers(1, 12, n).tolist()
+    windows, done, want = exact_windows(sizes, weights), [0] * n, []
+    for slot in range(sum(sizes)):
+        ready = [(windows[s][done[s]][1], s) for s in range(n) if done[s] < sizes[s] and windows[s][done[s]][0] <= slot]
+        deadline, s = min(ready)
+        assert slot < deadline
+        done[s] += 1
+        want.append((s, done[s], slot, *windows[s][done[s] - 1]))
+    assert M.schedule(M.Fluid(np.array(sizes), np.array(weights, float)), 0, sum(sizes)) == want
+
+
 def test_random_mixes():
     rng = np.random.default_rng(3)
     for _ in range(40):
