@@ -229,7 +229,7 @@ def drill_volume_spike(df: DataFrame, business_date: str | None = None, seed: in
     least = F.min_by(F.struct(*copied), F.struct("trade_id", "order_id", *copied)).alias("t")
     per_ticker = _slice(df, "business_date", business_date).groupBy("ticker").agg(least)
     pick = per_ticker.orderBy(hash_order("ticker", seed)).limit(1).select(F.struct("ticker", "t")).scalar()
-    hit = F.col("ticker") == pick["ticker"]
+    hit = F.col("ticker") == F.col("_pick.ticker")
     if business_date is not None:
         hit = hit & (F.to_date("business_date") == F.lit(business_date).cast("date"))
     row = F.xxhash64(*df.columns)  # trade ids can repeat
@@ -239,9 +239,9 @@ def drill_volume_spike(df: DataFrame, business_date: str | None = None, seed: in
         made = {
             "trade_id": uuid_from(F.lit("spike"), "trade_id", row, k),
             "order_id": F.xxhash64(F.lit("spike-order"), "trade_id", row, k) if number else uuid_from(F.lit("spike-order"), "trade_id", row, k),
-        } | {c: pick["t"][c] for c in copied}
+        } | {c: F.col(f"_pick.t.{c}") for c in copied}
         return F.struct(*[made.get(c, F.col(c)).cast(df.schema[c].dataType).alias(c) for c in df.columns])
 
     own = F.array(F.struct(*df.columns))
     copies = F.transform(F.sequence(F.lit(1), F.lit(factor)), copy)
-    return df.select(F.explode(F.when(hit, F.concat(own, copies)).otherwise(own)).alias("r")).select("r.*")
+    return df.withColumn("_pick", pick).select(F.explode(F.when(hit, F.concat(own, copies)).otherwise(own)).alias("r")).select("r.*")

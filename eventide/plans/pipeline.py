@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +31,7 @@ from ..schemas import (
     TRADE_MOVEMENTS_CONTRACT,
     Contract,
 )
+from ..session import together
 from ..sources import versions
 from ..sources.sinks import (
     changed_dates,
@@ -85,9 +86,10 @@ def _load(change: versions.Change, mapped: DataFrame, contract: Contract, paths:
     good = add_audit(good, source, HASH_KEYS[(table, generation)], load_ts)
     loaded = [business_date] if business_date is not None else []
     undated = [None] if business_date is None else []
-    written = change.replace(table, paths.table(table), good, day, loaded)
-    written += change.replace(f"{table}_rejects", paths.table(f"{table}_rejects"), rejects, day, loaded + undated)
-    dates = sorted({*loaded, *written} - {versions.NO_DATE})
+    written = together(
+        mapped.sparkSession, lambda: change.replace(table, paths.table(table), good, day, loaded),
+        lambda: change.replace(f"{table}_rejects", paths.table(f"{table}_rejects"), rejects, day, loaded + undated))
+    dates = sorted({*loaded, *written[0], *written[1]} - {versions.NO_DATE})
     for name in (table, f"{table}_rejects"):
         change.clear(name, dates)
     return dates
@@ -132,13 +134,17 @@ def load_positions(drvt: DataFrame, cash: DataFrame, paths: Paths, business_date
     """Load both position tables, which change together; missing prices and zero sums are counted."""
     own = change or versions.Change(drvt.sparkSession, paths.root)
     g1 = generation == "g1"
-    days_d = _load(own, map_drvt_positions(drvt) if g1 else map_drvt_rows(drvt, zero_as_null=True),
-                   DRVT_POSITIONS_CONTRACT, paths, generation, label, business_date, load_ts)
-    days_c = _load(own, map_cash_positions(cash) if g1 else map_cash_rows(cash),
-                   CASH_POSITIONS_CONTRACT, paths, generation, label, business_date, load_ts)
-    d = _stored(own, DRVT_POSITIONS_CONTRACT.table, days_d, F.count_if(F.col("settlement_price").isNull()).alias("nulls_found"))
-    c = _stored(own, CASH_POSITIONS_CONTRACT.table, days_c,
-                F.count_if(F.col("long_value") + F.col("short_value") == 0).alias("zero_sum_found"))
+
+    def load(rows: DataFrame, contract: Contract, found: Column) -> tuple[list[str], dict[str, int]]:
+        dates = _load(own, rows, contract, paths, generation, label, business_date, load_ts)
+        return dates, _stored(own, contract.table, dates, found)
+
+    (days_d, d), (days_c, c) = together(
+        drvt.sparkSession,
+        lambda: load(map_drvt_positions(drvt) if g1 else map_drvt_rows(drvt, zero_as_null=True), DRVT_POSITIONS_CONTRACT,
+                     F.count_if(F.col("settlement_price").isNull()).alias("nulls_found")),
+        lambda: load(map_cash_positions(cash) if g1 else map_cash_rows(cash), CASH_POSITIONS_CONTRACT,
+                     F.count_if(F.col("long_value") + F.col("short_value") == 0).alias("zero_sum_found")))
     if change is None:
         own.commit()
     return {
@@ -287,8 +293,9 @@ def publish_dates(spark: SparkSession, paths: Paths, guard: bool = True, all_run
     if guard:
         verdicts = Q.publish_guard(read_table(spark, paths, "dq_results"), all_runs)
         allowed = verdicts.filter("publish_allowed").select("business_date")
-    drafts, targets, files = f"{paths.root}/exports-{uuid.uuid4().hex}", [], []
-    for table, fmt in EXPORT_FORMATS.items():
+    drafts = f"{paths.root}/exports-{uuid.uuid4().hex}"
+
+    def export(table: str, fmt: str) -> tuple[str, list[tuple[str, str]]]:
         rows = versions.read(spark, paths.root, table, dates).select(*EXPORT_COLUMNS[table])
         rows = rows.withColumn("dt", F.col(DATE_COLUMN[table]))
         if allowed is not None:
@@ -299,10 +306,11 @@ def publish_dates(spark: SparkSession, paths: Paths, guard: bool = True, all_run
             rows.write.partitionBy("dt").parquet(draft)
         else:
             write_csv(rows, draft, "dt")
-        files += [(f"{draft}/{n}", f"{target}/{n}") for n in versions.names(spark, draft) if n.startswith("dt=")]
-        targets.append(target)
-    versions.move_all(spark, files, drafts)
-    return targets
+        return target, [(f"{draft}/{n}", f"{target}/{n}") for n in versions.names(spark, draft) if n.startswith("dt=")]
+
+    done = together(spark, *[partial(export, table, fmt) for table, fmt in EXPORT_FORMATS.items()])
+    versions.move_all(spark, [m for _, moves in done for m in moves], drafts)
+    return [target for target, _ in done]
 
 
 def publish_reports(report: DataFrame, exposure: DataFrame, path: str, date_col: str = "business_date") -> None:
@@ -323,8 +331,9 @@ def run_d1(
     Only the dates loaded are checked and published, whatever else the warehouse holds.
     """
     with versions.Change(spark, paths.root) as change:  # trades, positions and rejects change together
-        loaded = load_trades(trades, paths, business_date, generation, load_ts=load_ts, change=change)
-        positions = load_positions(drvt, cash, paths, business_date, generation, load_ts=load_ts, change=change)
+        loaded, positions = together(
+            spark, lambda: load_trades(trades, paths, business_date, generation, load_ts=load_ts, change=change),
+            lambda: load_positions(drvt, cash, paths, business_date, generation, load_ts=load_ts, change=change))
     dates = sorted({*loaded["dates"], *positions["dates"]})
     src = {"trades": trades, "drvt": drvt, "cash": cash}
     verdict = quality_gate(spark, paths, src, run_id, load_ts, business_date, generation, gate_mode, dates)

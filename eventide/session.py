@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +45,14 @@ def materialise(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), int(seen.get["rows"])
 
+
+
+def together(spark: SparkSession, *steps: Callable):
+    """Results of independent steps whose jobs run at the same time, in order.
+
+    Small writes leave most of a cluster idle one after the other. All steps end before
+    the first error of any is raised.
+    """
+    with ThreadPoolExecutor(len(steps)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]
+    return [r.result() for r in running]

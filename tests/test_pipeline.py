@@ -150,7 +150,7 @@ def test_a_run_that_dies_between_tables_leaves_the_old_state_of_all(spark, tmp_p
     fewer = [df.limit(7) for df in day]
     with pytest.raises(OSError, match="disk full"):
         P.run_d1(spark, paths, *fewer, run_id="r2", load_ts=TS, business_date=DAY)
-    assert calls[:4] == ["dw_trade_movements", "dw_trade_movements_rejects", "dw_drvt_positions", "dw_drvt_positions_rejects"]
+    assert {"dw_trade_movements", "dw_trade_movements_rejects", "dw_drvt_positions", "dw_drvt_positions_rejects"} <= set(calls)
     assert state() == before and P.versions.current(spark, paths.root).number == number
     monkeypatch.undo()
     P.run_d1(spark, paths, *fewer, run_id="r3", load_ts=TS, business_date=DAY)
