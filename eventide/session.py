@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+_MADE: dict[str, None] = {}  # scratch folders of this process, oldest first
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the runtime settings the operators' meaning depends on."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -31,7 +34,25 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         if not re.fullmatch(r"local(\[[^\]]*\])?", master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="eventide-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _MADE[path] = None
+    return path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch folders that nothing reads any more. Only folders made here are touched."""
+    for path in paths:
+        if path in _MADE:
+            del _MADE[path]
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete every scratch folder of this process, once its results are read; returns how many."""
+    paths = list(_MADE)
+    discard(spark, *paths)
+    return len(paths)
 
 
 def materialise(df: DataFrame, label: str) -> tuple[DataFrame, int]:
