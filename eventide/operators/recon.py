@@ -333,14 +333,17 @@ def trades_without_instruction(trades: DataFrame, instructions: DataFrame) -> Da
 
 # --- row-count parity -------------------------------------------------------
 def row_count_parity(source: DataFrame, target: DataFrame, source_date: str, target_date: str) -> DataFrame:
-    """Row counts of two tables per date, side by side."""
-    s = source.groupBy(F.col(source_date).alias("business_date")).agg(F.count(F.lit(1)).alias("source_count"))
-    t = target.groupBy(F.col(target_date).alias("business_date")).agg(F.count(F.lit(1)).alias("target_count"))
-    n_s, n_t = F.coalesce("source_count", F.lit(0)), F.coalesce("target_count", F.lit(0))
-    return s.join(t, "business_date", "full_outer").select(
-        "business_date", n_s.alias("source_count"), n_t.alias("target_count"),
-        (n_s - n_t).alias("count_diff"),
-    )
+    """Row counts of two tables per date, side by side, from one aggregation.
+
+    Rows without a date are counted apart for each table: no date equals another then.
+    """
+    sides = source.select(F.col(source_date).alias("business_date"), F.lit(1).alias("_s")).unionByName(
+        target.select(F.col(target_date).alias("business_date"), F.lit(0).alias("_s")))
+    apart = F.when(F.col("business_date").isNull(), F.col("_s")).alias("_apart")
+    counts = sides.groupBy("business_date", apart).agg(
+        F.sum("_s").cast("long").alias("source_count"), F.sum(1 - F.col("_s")).cast("long").alias("target_count"))
+    return counts.select(
+        "business_date", "source_count", "target_count", (F.col("source_count") - F.col("target_count")).alias("count_diff"))
 
 
 # --- derived inputs ---------------------------------------------------------
