@@ -9,7 +9,7 @@ from types import ModuleType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_dir
+from ..session import discard, scratch_dir
 
 # Stands for a missing id wherever ids are ordered: it comes after all others.
 NO_ID = (1 << 63) - 1
@@ -22,7 +22,15 @@ def land(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_dir(df.sparkSession, f"llm-{label}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.landed = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete what ``land`` wrote for frames that nothing reads any more."""
+    for df in frames:
+        discard(df.sparkSession, df.landed)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +42,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 def order_id(column: str = "doc_id") -> Column:
+    """The id as a number; one that is none counts as missing."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
 
@@ -65,13 +74,15 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     seen = _digest(pairs)
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = land(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{label}-least")
-        large = land(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        first = land(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{label}-least")
+        large = land(both.filter("v > u").join(first, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                      .distinct(), f"{label}-large")
         least = land(large.groupBy("u").agg(F.min("v").alias("m")), f"{label}-least")
-        pairs = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
-        pairs = land(pairs, f"{label}-small")
+        small = land(small, f"{label}-small")
+        drop(pairs, large, first, least)
+        pairs = small
         now = _digest(pairs)
         if now == seen:
             break

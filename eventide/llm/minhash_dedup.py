@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.joins import split_join
-from .common import NO_ID, components, land, order_id
+from .common import NO_ID, components, drop, land, order_id
 
 SEED = 29
 SIMILARITY = 0.8
@@ -466,7 +466,9 @@ def _verified(units: DataFrame, signed: DataFrame, docs: DataFrame, idf: np.ndar
     texts = land(_texts_of(docs, wanted), f"{label}-texts")
     rows = full.join(likely.distinct(), ["u", "rep"]).join(texts, "rep").select(*order, "sig", "text")
     rows = rows.repartition("u").sortWithinPartitions("u", "side", "rep")
-    return land(rows.mapInArrow(_forest(idf, similarity), "a long, b long").distinct(), f"{label}-links")
+    links = land(rows.mapInArrow(_forest(idf, similarity), "a long, b long").distinct(), f"{label}-links")
+    drop(full, likely, texts)
+    return links
 
 
 def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -484,10 +486,10 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY) -> Da
     shared = land(member.join(leaders, "bucket").select("bucket", "band", "rep", "a"), "icws-shared")
 
     # First every document with the leaders of its buckets, in blocks of a leader's documents.
-    stars = land(shared.filter("rep != a").select("a", "rep").distinct().join(
+    landed_stars = land(shared.filter("rep != a").select("a", "rep").distinct().join(
         signed.select("rep", "shingles"), "rep"), "icws-stars")
-    blocks = stars.groupBy("a").agg(_blocks("n"))
-    stars = stars.join(blocks, "a").withColumn("u", F.xxhash64("a", F.pmod(F.xxhash64("rep"), F.col("n"))))
+    blocks = landed_stars.groupBy("a").agg(_blocks("n"))
+    stars = landed_stars.join(blocks, "a").withColumn("u", F.xxhash64("a", F.pmod(F.xxhash64("rep"), F.col("n"))))
     first = stars.select("u", F.lit(1).alias("side"), F.lit(0).alias("band"), "rep", F.col("rep").alias("grp")).unionByName(
         stars.select("u", F.lit(0).alias("side"), F.lit(0).alias("band"), F.col("a").alias("rep"), F.col("a").alias("grp")).distinct())
     links = _verified(first, signed, texts, idf, similarity, "icws-first")
@@ -504,7 +506,7 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY) -> Da
     mixed = land(split.join(largest, "bucket").withColumn("outer", F.col("grp") != F.col("main")).drop("main"), "icws-mixed")
     counts = mixed.groupBy("bucket").agg(
         _blocks("no", F.col("outer")), _blocks("nm", ~F.col("outer")))
-    placed = mixed.join(counts, "bucket").withColumn("x", F.when(
+    placed = split_join(mixed, counts, "bucket", "inner").withColumn("x", F.when(
         F.col("outer"), F.pmod(F.xxhash64("rep"), F.col("no"))).otherwise(F.col("no") + F.pmod(F.xxhash64("rep"), F.col("nm"))))
     others = F.when(F.col("outer"), F.sequence(F.lit(0).cast("long"), F.col("no") + F.col("nm") - 1)).otherwise(
         F.sequence(F.lit(0).cast("long"), F.col("no") - 1))
@@ -513,6 +515,7 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY) -> Da
         F.when(F.col("x") > F.col("y"), 1).otherwise(0).alias("side"), "band", "rep", "grp")
     more = _verified(units, signed, texts, idf, similarity, "icws-second")
     groups = components(links.unionByName(more), "icws-second").withColumnRenamed("node", "rep")
+    drop(member, shared, landed_stars, split, mixed, links, more)
     return signed.select("rep", "h1", "h2").join(groups, "rep").select("h1", "h2", "rep", "component")
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.joins import bloom_filter, maybe_in
 from .common import land
 
 SEED = 20
@@ -153,9 +154,11 @@ def fit(docs: DataFrame, labels: DataFrame, cosines: int = COSINES, ridge: float
     spark = docs.sparkSession
     labels = labels.filter("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.avg(F.col("label").cast("double")).alias("label"))
-    rows = land(
-        docs.select("doc_id", statistics("text").alias("stats")).join(labels, "doc_id").select("stats", "label"),
-        "quality")
+    # Only documents that may have a label are described; the join on the id is exact.
+    key = F.col("doc_id").cast("string").alias("_key")
+    described = maybe_in(docs.select("doc_id", "text", key), bloom_filter(labels.select(key), "_key"), "_key").select(
+        "doc_id", statistics("text").alias("stats"))
+    rows = land(described.join(labels, "doc_id").select("stats", "label"), "quality")
     width = len(NAMES)
     moments = rows.agg(
         F.count(F.lit(1)).alias("n"), F.avg("label").alias("rate"),
