@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import together
+
 _KEY = "_join_key"
 
 # --- frequent keys ----------------------------------------------------------
@@ -47,7 +50,8 @@ def hot_keys(df: DataFrame, key: str, parts: int, least: int = LEAST_HOT) -> tup
     return {r["item"]: r["count"] for r in rows}, int(rows[0]["share"]) if rows else least
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, key: str, least: int = LEAST_HOT) -> DataFrame:
+def salted_left_join(left: DataFrame, right: DataFrame, key: str, least: int = LEAST_HOT,
+                     left_keys: DataFrame | None = None) -> DataFrame:
     """``left LEFT JOIN right USING (key)`` in one join, whichever side repeats a key.
 
     A sketch of both key columns names the hot keys. The rows of a hot key are laid out
@@ -57,12 +61,14 @@ def salted_left_join(left: DataFrame, right: DataFrame, key: str, least: int = L
     side without a key are spread over all tasks.
 
     A row's part follows from its values and its map task, so a task that runs again
-    deals its rows alike, and copies of one row spread, too.
+    deals its rows alike, and copies of one row spread, too. ``left_keys`` may give the left
+    side's keys by a cheaper plan than ``left`` itself.
     """
     spark = left.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     right = right.filter(F.col(key).isNotNull())
-    (many_l, share_l), (many_r, share_r) = (hot_keys(df, key, parts, least) for df in (left, right))
+    (many_l, share_l), (many_r, share_r) = together(
+        spark, *[partial(hot_keys, df, key, parts, least) for df in (left if left_keys is None else left_keys, right)])
     names = [f"_g{i}" for i in range(4)]
     a, b, i, j = names
     if not many_l and not many_r:

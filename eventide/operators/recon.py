@@ -209,7 +209,7 @@ def exposure_in_one_pass(trades: DataFrame, declared: Column) -> DataFrame:
 
 # --- settlement -------------------------------------------------------------
 def settlement_recon(
-    trades: DataFrame, instructions: DataFrame, reconciled_at=None
+    trades: DataFrame, instructions: DataFrame, reconciled_at=None, trade_ids: DataFrame | None = None
 ) -> DataFrame:
     """Trades against settlement instructions by trade id.
 
@@ -223,7 +223,7 @@ def settlement_recon(
     )
     found = F.col("_found").isNotNull()
     status = F.col("settlement_status")
-    out = salted_left_join(trades, side, "trade_id").select(
+    out = salted_left_join(trades, side, "trade_id", left_keys=trade_ids).select(
         "trade_id", "ticker", "business_date", "price", "quantity", "buyer_participant",
         "seller_participant", "settlement_id", "settlement_date", "settlement_status",
         F.when(found & (status == "MATCHED"), "MATCHED")
@@ -234,7 +234,7 @@ def settlement_recon(
     return _stamp(out, "reconciled_at", reconciled_at)
 
 
-def settlement_recon_detailed(trades: DataFrame, instructions: DataFrame) -> DataFrame:
+def settlement_recon_detailed(trades: DataFrame, instructions: DataFrame, trade_ids: DataFrame | None = None) -> DataFrame:
     """Reconciliation with separate quantity and amount match flags."""
     side = instructions.select(
         "trade_id", "instruction_id", F.col("quantity").alias("settlement_quantity"),
@@ -243,7 +243,7 @@ def settlement_recon_detailed(trades: DataFrame, instructions: DataFrame) -> Dat
     amount = _notional()
     present = F.col("instruction_id").isNotNull()
     return salted_left_join(
-        trades.select("trade_id", "ticker", "price", "quantity", "business_date"), side, "trade_id"
+        trades.select("trade_id", "ticker", "price", "quantity", "business_date"), side, "trade_id", left_keys=trade_ids
     ).select(
         "trade_id", "instruction_id", "ticker", F.col("quantity").alias("trade_quantity"),
         "settlement_quantity",

@@ -66,7 +66,8 @@ def close(spark, d):
 
 
 def recon(spark, d):
-    return R.settlement_recon(V.raw_trades(spark, d), V.raw_settlement_instructions(spark, d))
+    return R.settlement_recon(
+        V.raw_trades(spark, d), V.raw_settlement_instructions(spark, d), trade_ids=V.raw_trades(spark, d, "trade_id"))
 
 
 def dw_trades(spark, d, source="oracle"):
@@ -462,7 +463,7 @@ def _(spark, d):
 @query("c11_settlement_recon_detailed")
 def _(spark, d):
     t = V.raw_trades(spark, d, "trade_id", "ticker", "price", "quantity", "business_date")
-    return R.settlement_recon_detailed(t, V.raw_settlement_instructions(spark, d))
+    return R.settlement_recon_detailed(t, V.raw_settlement_instructions(spark, d), V.raw_trades(spark, d, "trade_id"))
 
 
 # --- D: aggregations --------------------------------------------------------
