@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -52,7 +54,10 @@ _ODD = re.compile("[^\\n\\x20-\\x7e\\xa1-\\u167f\\u2010-\\u2027\\u3041-\\u30ff\\
 
 
 def _packed(ids: list[int]) -> bytes:
-    return np.asarray(ids, "<u4").tobytes()
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 class _Known(dict):
@@ -95,7 +100,8 @@ def encoder(path: str | None = None) -> Callable[[str], bytes]:
 
     with open(public_tokenizers.path(RANKS), "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    piece = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    words = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    piece = words._core_bpe.encode_ordinary  # without the wrapper's handling of lone surrogates, which texts cannot hold
     first, later = _Known("", piece), _Known(" ", piece)
     line_end = _packed(piece("\n"))
 
