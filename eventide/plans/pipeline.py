@@ -40,7 +40,6 @@ from ..sources.sinks import (
     hash_diff,
     split_valid,
     write_csv,
-    write_dq_results,
 )
 
 TABLES = ("dw_trade_movements", "dw_drvt_positions", "dw_cash_positions")
@@ -194,10 +193,7 @@ def load_changes(mapped: DataFrame, contract: Contract, paths: Paths, business_d
 
 
 def read_table(spark: SparkSession, paths: Paths, name: str, business_date: str | None = None) -> DataFrame:
-    """A table as the newest change left it; check results, which only grow by runs, as they lie there."""
-    if name == "dq_results":
-        df = spark.read.parquet(paths.table(name))
-        return df if business_date is None else for_date(df, DATE_COLUMN[name], business_date)
+    """A table as the newest change left it."""
     return versions.read(spark, paths.root, name, None if business_date is None else [business_date])
 
 
@@ -250,7 +246,9 @@ def quality_gate(
     scope = dates if dates is not None else None if business_date is None else [business_date]
     dw = {n: versions.read(spark, paths.root, n, scope) for n in TABLES}
     results = Q.stamp_results(gate_checks(dw, src, business_date, generation), run_id, created_at)
-    write_dq_results(results, paths.table("dq_results"), "replace" if generation == "g1" else "append")
+    with versions.Change(spark, paths.root) as change:
+        write = change.replace if generation == "g1" else change.append
+        write("dq_results", paths.table("dq_results"), results, "business_date")
     stored = read_table(spark, paths, "dq_results", business_date).filter(F.col("run_id") == run_id)
     if mode == "raise":
         Q.gate(stored, "raise")
