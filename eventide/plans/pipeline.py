@@ -87,7 +87,7 @@ def _load(change: versions.Change, mapped: DataFrame, contract: Contract, paths:
     undated = [None] if business_date is None else []
     written = together(
         mapped.sparkSession, lambda: change.replace(table, paths.table(table), good, day, loaded),
-        lambda: change.replace(f"{table}_rejects", paths.table(f"{table}_rejects"), rejects, day, loaded + undated))
+        lambda: change.replace(f"{table}_rejects", paths.table(f"{table}_rejects"), rejects, day, loaded + undated, flat=True))
     dates = sorted({*loaded, *written[0], *written[1]} - {versions.NO_DATE})
     for name in (table, f"{table}_rejects"):
         change.clear(name, dates)
@@ -187,7 +187,7 @@ def load_changes(mapped: DataFrame, contract: Contract, paths: Paths, business_d
     hit = F.col(day).cast("string").isin(dates)
     rejects = rejects.filter(hit | F.col(day).isNull() if undated else hit)
     change.replace(table, paths.table(table), good, day, dates)
-    change.replace(f"{table}_rejects", paths.table(f"{table}_rejects"), rejects, day, dates + undated)
+    change.replace(f"{table}_rejects", paths.table(f"{table}_rejects"), rejects, day, dates + undated, flat=True)
     change.commit()
     return dates + [versions.NO_DATE] * len(undated)
 
@@ -248,7 +248,7 @@ def quality_gate(
     results = Q.stamp_results(gate_checks(dw, src, business_date, generation), run_id, created_at)
     with versions.Change(spark, paths.root) as change:
         write = change.replace if generation == "g1" else change.append
-        write("dq_results", paths.table("dq_results"), results, "business_date")
+        write("dq_results", paths.table("dq_results"), results, "business_date", flat=True)
     stored = read_table(spark, paths, "dq_results", business_date).filter(F.col("run_id") == run_id)
     if mode == "raise":
         Q.gate(stored, "raise")
