@@ -33,8 +33,8 @@ SEED = 5
 COSINE = 0.98
 SAMPLE_VALUES = 2_000_000  # numbers in the codebooks' sample
 SAMPLE_ROWS = 20_000
-CELL_ROWS = 256  # rows that a cell should hold over all labels
-MAX_CODES = 256
+CELL_ROWS = 4096  # rows of one label that a cell should hold: visits cost more than comparisons
+MAX_CODES = 1024
 BLOCK = 1024  # rows of a cell that are compared at once
 SLACK = 1e-9
 CLOSE = 1e-6  # codewords nearer to each other are one
@@ -114,11 +114,15 @@ def unit(values: list, dim: int) -> np.ndarray:
 
 
 def fit(reps: DataFrame, dim: int, n: int, cosine: float, target_recall: float, seed: int = SEED) -> Grid:
-    """Codebooks from a bounded sample drawn by hash; the number of codewords follows the row count."""
+    """Codebooks from a bounded sample drawn by hash; the number of codewords follows the row count ``n`` of the largest label.
+
+    A vector visits the more cells the finer they are, and a visit costs a copy in a shuffle,
+    a comparison only part of a matrix product; hence few, large cells.
+    """
     rows = max(1, min(SAMPLE_ROWS, SAMPLE_VALUES // max(1, dim)))
     drawn = reps.select("embedding").orderBy(F.xxhash64(F.lit(seed), "embedding")).limit(rows).collect()
     x = unit([r["embedding"] for r in drawn], dim)
-    k = int(min(MAX_CODES, max(1, np.ceil(np.sqrt(n / CELL_ROWS)))))
+    k = int(min(MAX_CODES, max(2, np.ceil(np.sqrt(n / CELL_ROWS)))))
     rng = np.random.default_rng(seed)
     cut = max(1, dim // 2)
     right = x[:, cut:] if dim > 1 else np.zeros((len(x), 1))
@@ -222,7 +226,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, target_recall: f
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
                            F.lit(True).alias("kept"))
     dim = size["dim"]
-    grid = fit(reps, dim, size["n"], cosine, target_recall)
+    largest = reps.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    grid = fit(reps, dim, largest, cosine, target_recall)
     spread = land(reps.select("kind", "rep", "copies", "embedding").mapInPandas(
         lambda it: _spread(it, grid, dim), "kind long, cell int, rep long, copies long, home boolean, vec binary"), "imi-cells")
     # How many blocks of homes and of visitors each cell has.
