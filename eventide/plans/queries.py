@@ -899,8 +899,9 @@ def _(spark, d):
 @query("j9_load_tables")
 def _(spark, d):
     paths = P.Paths(scratch_dir(spark, "j9"))
-    P.load_trades(landed_trades(spark, d), paths, load_ts=LOAD_TS)
-    P.load_positions(V.src_drvt_positions(spark, d), V.src_cash_positions(spark, d), paths, load_ts=LOAD_TS)
+    with versions.Change(spark, paths.root) as change:
+        P.load_trades(landed_trades(spark, d), paths, load_ts=LOAD_TS, change=change)
+        P.load_positions(V.src_drvt_positions(spark, d), V.src_cash_positions(spark, d), paths, load_ts=LOAD_TS, change=change)
     t = P.read_table(spark, paths, "dw_trade_movements").select(
         F.lit("dw_trade_movements").alias("table_name"), F.col("trade_dt").alias("business_date"), "dw_source",
         F.col("notional").alias("measure"))
