@@ -7,7 +7,7 @@ import os
 from collections.abc import Callable, Iterable, Mapping
 from decimal import Decimal
 
-from py4j.protocol import Py4JError
+from py4j.protocol import Py4JError, Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,7 +129,25 @@ def read_slice(spark: SparkSession, src: str | DataFrame, table: str | None, dat
 
 
 # Conditions of a source that is away; any other (a misspelt column or table) is a fault of the loader.
-AWAY = {"PATH_NOT_FOUND", "FAILED_JDBC.CONNECTION", "FAILED_JDBC.UNCLASSIFIED", "UNABLE_TO_INFER_SCHEMA"}
+AWAY = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
+
+
+def _away(exc: Exception) -> bool:
+    """Whether a source cannot be reached, rather than asked for something it does not hold."""
+    if isinstance(exc, AnalysisException):
+        return exc.getCondition() in AWAY
+    cause = getattr(exc, "java_exception", None)
+    while cause is not None:
+        kinds, kind = [], cause.getClass()
+        while kind is not None:
+            kinds.append(kind.getName())
+            kind = kind.getSuperclass()
+        if "java.lang.ClassNotFoundException" in kinds or kinds[0].startswith("java.net."):  # no driver, no network
+            return True
+        if "java.sql.SQLException" in kinds and (cause.getSQLState() or "").startswith("08"):  # connection exceptions
+            return True
+        cause = cause.getCause()
+    return not isinstance(exc, Py4JJavaError)
 
 
 def first_available(loaders: Iterable[tuple[str, Callable[[], DataFrame]]]) -> DataFrame:
@@ -144,7 +162,7 @@ def first_available(loaders: Iterable[tuple[str, Callable[[], DataFrame]]]) -> D
             df = load()
             df.schema
         except (AnalysisException, Py4JError, OSError) as exc:  # away or unreachable: try the next
-            if isinstance(exc, AnalysisException) and exc.getCondition() not in AWAY:
+            if not _away(exc):
                 raise
             failures.append(f"{label}: {type(exc).__name__}")
             continue

@@ -84,3 +84,11 @@ def test_a_fault_of_the_loader_is_not_taken_for_an_absent_source(spark, tmp_path
     with pytest.raises(Exception, match="idd"):
         readers.first_available([typo, other])
     assert readers.first_available([away, other]).first()["dw_source"] == "mysql_fallback"
+    no_driver = ("oracle", lambda: readers.read_jdbc(spark, "oracle", "t", env={}))
+    assert readers.first_available([no_driver, other]).first()["dw_source"] == "mysql_fallback"
+
+    def broken():
+        spark._jvm.java.lang.Integer.parseInt("x")
+
+    with pytest.raises(Exception, match="For input string"):
+        readers.first_available([("oracle", broken), other])
