@@ -50,12 +50,13 @@ ROWS = 5
 BUCKETS = 1 << 16  # document frequency counters
 TABLE = 1 << 14  # random draws per sample, addressed by shingle hash
 CHUNK = 1 << 15  # shingles sampled at once
-BATCH = 1 << 20  # characters of texts shingled at once
+BATCH = 1 << 19  # characters of texts shingled at once
 SLICE = 1 << 22  # bytes whose words are hashed at once
 PARTS = 64
 FILTER_BITS = 25  # bit table that selects the texts to be compared: 4 MB
 BLOCK = 256  # documents of a block
 BLOCK_SHINGLES = 1 << 19  # and their shingles, on average
+CELLS = 1 << 22  # entries of a matrix of texts and shingles
 FEW = 8  # pairs of a unit that are compared one by one
 # Two documents at the similarity wanted agree in that share of all samples, give or
 # take 4 %; a pair this far below it is not compared any further.
@@ -182,10 +183,15 @@ def similarities(one: list[tuple], two: list[tuple]) -> np.ndarray:
     first = np.maximum.accumulate(np.where(fresh, at, 0)) if len(at) else at
     n = at - first + 1  # an entry reaches its own step and all lower ones of its shingle
     cells = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    matrix = np.zeros((len(sets), len(step)))
-    matrix[np.repeat(own, n), cells] = 1
-    left, right = matrix[: len(one)], matrix[len(one) :]
-    both = (left * step) @ right.T
+    rows = np.repeat(own, n)
+    order = np.argsort(cells, kind="stable")
+    rows, cells = rows[order], cells[order]
+    both, width = np.zeros((len(one), len(two))), max(1, CELLS // len(sets))
+    for low in range(0, len(step), width):  # some columns at a time
+        a, b = np.searchsorted(cells, (low, low + width))
+        matrix = np.zeros((len(sets), min(width, len(step) - low)))
+        matrix[rows[a:b], cells[a:b] - low] = 1
+        both += (matrix[: len(one)] * step[low : low + width]) @ matrix[len(one) :].T
     return both / np.maximum(total[: len(one), None] + total[None, len(one) :] - both, 1e-300)
 
 

@@ -106,7 +106,9 @@ def test_jaccard_of_small_sets():
     assert M.jaccard(a, b) == pytest.approx(2 / 5) and M.jaccard(none, none) == 1.0 and M.jaccard(a, none) == 0.0
 
 
-def test_matrix_of_similarities_equals_single_ones():
+@pytest.mark.parametrize("cells", [1, 100, M.CELLS])
+def test_matrix_of_similarities_equals_single_ones(cells, monkeypatch):
+    monkeypatch.setattr(M, "CELLS", cells)
     rng = np.random.default_rng(4)
     sets = []
     for _ in range(30):
