@@ -286,6 +286,7 @@ def publish_dates(spark: SparkSession, paths: Paths, guard: bool = True, all_run
     """Export every date (of ``dates``, if given) whose gate allows it, as ``dt=<date>`` partitions.
 
     All three tables are written aside first; the dates appear when every file is there.
+    A table of which no date is allowed gets an empty folder.
     """
     allowed = None
     if guard:
@@ -308,9 +309,17 @@ def publish_dates(spark: SparkSession, paths: Paths, guard: bool = True, all_run
 
     done = together(spark, *[partial(export, table, fmt) for table, fmt in EXPORT_FORMATS.items()])
     versions.move_all(spark, [m for _, moves in done for m in moves], drafts)
+    for target, _ in done:
+        versions.make_folder(spark, target)
     return [target for target, _ in done]
 
 
+def published(spark: SparkSession, paths: Paths, table: str) -> DataFrame:
+    """The Parquet export of a table read back with its date ``dt``; empty when no date was allowed."""
+    layout = read_table(spark, paths, table).select(*EXPORT_COLUMNS[table], F.col(DATE_COLUMN[table]).alias("dt")).schema
+    return spark.read.schema(layout).parquet(paths.export(f"{_folder(table)}/{table}"))
+
+
 def publish_reports(report: DataFrame, exposure: DataFrame, path: str, date_col: str = "business_date") -> None:
     """Settlement report as Parquet and exposure as CSV under ``exports/dt=<date>/``."""
     dated = [df.withColumn("dt", F.col(date_col)).hint("rebalance", "dt") for df in (report, exposure)]

@@ -922,14 +922,14 @@ def _(spark, d):
         days += P.load_positions(src["drvt"], src["cash"], paths, load_ts=LOAD_TS, change=change)["dates"]
     P.quality_gate(spark, paths, src, "run-1", LOAD_TS)
     for part in (days[0::2], days[1::2]):
-        trades, drvt, cash = P.publish_dates(spark, paths, dates=part)
+        cash = P.publish_dates(spark, paths, dates=part)[-1]
     layout = schema("position_id string, ticker string, participant_code string, position_date string, long_value string, "
                     "short_value string, net_value string, dw_load_dt string, dw_source string, dt date")
     text = F.lit(None).cast("string").alias("text")
     return (
-        spark.read.parquet(trades).select(
+        P.published(spark, paths, "dw_trade_movements").select(
             F.lit("dw_trade_movements").alias("table_name"), F.col("trade_id").alias("id"), F.col("notional").alias("measure"), text, "dt")
-        .union(spark.read.parquet(drvt).select(F.lit("dw_drvt_positions"), "position_id", "settlement_price", text, "dt"))
+        .union(P.published(spark, paths, "dw_drvt_positions").select(F.lit("dw_drvt_positions"), "position_id", "settlement_price", text, "dt"))
         .union(spark.read.schema(layout).option("header", True).csv(cash).select(
             F.lit("dw_cash_positions"), "position_id", F.col("net_value").cast("decimal(18,4)"),
             F.concat_ws("|", "long_value", "short_value"), "dt")))

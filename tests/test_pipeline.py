@@ -362,3 +362,28 @@ def test_cash_split_and_zero_as_null(spark, day):
     zero = day[1].limit(1).withColumn("market_value", F.lit(0).cast("decimal(22,6)"))
     assert M.map_drvt_positions(zero).first()["settlement_price"] == 0
     assert M.map_drvt_positions(zero, zero_as_null=True).first()["settlement_price"] is None
+
+
+@pytest.mark.parametrize("repeated", [["a", "b", "c"], ["a"]])
+def test_tables_without_an_allowed_date_are_published_empty(spark, tmp_path, repeated):
+    """Dates with a repeated trade id, a missing price or a zero sum are not exported, be it all of them."""
+    from eventide.plans.queries import REGISTRY
+
+    def put(name, rows, layout):
+        df = spark.createDataFrame(rows, layout)
+        df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in df.columns if c == "l_shipdate"}).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    days = {"a": "1995-01-10 00:00:00", "b": "1995-02-10 00:00:00", "c": "1995-03-10 00:00:00"}
+    lines = [(k, 1, 1, n, 5.0, 10.0, "A", day) for k, (x, day) in enumerate(days.items())
+             for n in ([1, 1] if x in repeated else [1, 2])]
+    put("lineitem", lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_returnflag string, l_shipdate string")
+    put("orders", [(k, 1) for k in range(3)], "o_orderkey long, o_custkey long")
+    put("nation", [(1, "N")], "n_nationkey int, n_name string")
+    put("supplier", [(1, 1)], "s_suppkey long, s_nationkey int")
+    put("customer", [(1, 1, 20.0, "M"), (7, 1, 20.0, "M")], "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string")
+    put("part", [(1, "B", "T", 50, 3.0), (2, "B", "T", 50, 3.0)], "p_partkey long, p_brand string, p_type string, p_size int, p_retailprice double")
+    got = REGISTRY["j10_publish"](spark, str(tmp_path)).collect()
+    clean = [d[:7] for x, d in days.items() if x not in repeated]
+    # Both parts lack a price, and one of the customers sums to zero; the other one's date fails for the part's price.
+    assert sorted((r["table_name"], str(r["dt"])[:7]) for r in got) == sorted(("dw_trade_movements", d) for d in clean for _ in range(2))
