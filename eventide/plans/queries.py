@@ -1217,6 +1217,12 @@ def _(spark, d):
     return L.sql_inputs(V.table(spark, d, "documents"), "text", ["doc_id"])
 
 
+EVENT_FIELDS = """eventTime string,
+    run struct<runId: string, facets: struct<orchestration: struct<pipelineRunId: string>, errorMessage: struct<message: string>>>,
+    inputs array<struct<name: string>>,
+    outputs array<struct<name: string, outputFacets: struct<outputStatistics: struct<rowCount: bigint>>>>"""
+
+
 @query("l5_run_events")
 def _(spark, d):
     r = V.job_runs(spark, d)
@@ -1226,16 +1232,15 @@ def _(spark, d):
         F.col("ol_parent_run_id").alias("parent_run_id"), kind.alias("event_type"),
         F.col("output_rows").alias("row_count"), "error")
     events = L.run_events(runs, L.lineage_edges(spark))
-
-    def at(path, name):
-        return F.get_json_object("event", path).alias(name)
-
-    return events.select(
-        "job_name", "event_type", at("$.run.runId", "run_id"), at("$.eventTime", "event_time"),
-        at("$.run.facets.orchestration.pipelineRunId", "parent_run_id"),
-        at("$.run.facets.errorMessage.message", "error"), at("$.inputs[0].name", "first_input"),
-        at("$.outputs[0].name", "first_output"),
-        F.get_json_object("event", "$.outputs[0].outputFacets.outputStatistics.rowCount").cast("long").alias("row_count"))
+    # Every event is read back once, with the fields that the report shows.
+    read = events.select("job_name", "event_type", F.from_json("event", schema(EVENT_FIELDS)).alias("e"))
+    output = F.get("e.outputs", F.lit(0))
+    return read.select(
+        "job_name", "event_type", F.col("e.run.runId").alias("run_id"), F.col("e.eventTime").alias("event_time"),
+        F.col("e.run.facets.orchestration.pipelineRunId").alias("parent_run_id"),
+        F.col("e.run.facets.errorMessage.message").alias("error"),
+        F.get("e.inputs", F.lit(0))["name"].alias("first_input"), output["name"].alias("first_output"),
+        output["outputFacets"]["outputStatistics"]["rowCount"].alias("row_count"))
 
 
 @query("l6_run_ids")

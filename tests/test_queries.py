@@ -29,3 +29,22 @@ def test_query_matches_sql(spark, con, name):
 
 def test_entry(spark):
     assert E.entry(spark).count() > 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_run_events_do_not_deal_the_runs_out_by_job(spark, tmp_path):
+    """The four job names would put all runs into four tasks."""
+    from eventide.plans.queries import REGISTRY
+
+    rows = [(i, f"2024-01-0{1 + i % 3} 10:0{i % 10}:00", i % 8, ["error", "purchase", "view"][i % 3], 1.0, f'{{"k": {i}}}') for i in range(30)]
+    e = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    e.selectExpr("event_id", "CAST(ts AS timestamp_ntz) AS ts", "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    got = REGISTRY["l5_run_events"](spark, str(tmp_path))
+    plan = _plan(got)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    for r in got.collect():
+        assert (r["error"] is not None) == (r["event_type"] == "FAIL") and (r["row_count"] is not None) == (r["event_type"] == "COMPLETE")
+        assert r["event_time"].endswith(":00.000Z") and r["run_id"] and r["parent_run_id"] and r["first_output"] and r["first_input"]
