@@ -147,10 +147,10 @@ def hash_diff(stored: DataFrame, fresh: DataFrame, day: str, keys: list[str], co
 
     Rows are compared by the hash of ``columns``. A key may repeat: its rows are two
     multisets, equal rows are unchanged, and of the others as many as both sides hold are
-    updates. Only dates, keys and hashes are shuffled, once.
+    updates. Dates, keys and hashes (32 bytes) are shuffled once, then dates, keys and counts.
     """
     def side(df: DataFrame, old: int) -> DataFrame:
-        return df.select(day, *keys, row_hash(df, columns).alias("_h"), F.lit(old).alias("_old"))
+        return df.select(day, *keys, F.unhex(row_hash(df, columns)).alias("_h"), F.lit(old).alias("_old"))
 
     both = side(stored, 1).unionByName(side(fresh, 0))
     per_hash = both.groupBy(day, *keys, "_h").agg(
@@ -170,7 +170,7 @@ def diff_by_date(diff: DataFrame, day: str) -> DataFrame:
 
 
 def changed_dates(diff: DataFrame, day: str) -> DataFrame:
-    """Dates with any difference."""
+    """Dates with any difference, from the rows of ``hash_diff`` or their sums per date."""
     return diff.filter("updated + inserted + deleted > 0").select(day).distinct()
 
 

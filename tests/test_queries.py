@@ -48,3 +48,23 @@ def test_run_events_do_not_deal_the_runs_out_by_job(spark, tmp_path):
     for r in got.collect():
         assert (r["error"] is not None) == (r["event_type"] == "FAIL") and (r["row_count"] is not None) == (r["event_type"] == "COMPLETE")
         assert r["event_time"].endswith(":00.000Z") and r["run_id"] and r["parent_run_id"] and r["first_output"] and r["first_input"]
+
+
+def test_hash_diff_is_computed_once_on_short_hashes(spark, tmp_path):
+    from eventide.plans.queries import REGISTRY
+    from eventide.sources import sinks
+
+    lines = [(k, 1, float(q), 10.0, day) for k, (q, day) in enumerate(
+        [(7, "1996-01-05"), (9, "1996-01-06"), (50, "1996-01-07"), (1, "1996-01-08"), (7, "1994-01-05"), (1, "1997-02-01")])]
+    t = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, day string")
+    spark.createDataFrame([(1, "N")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    t.withColumn("l_shipdate", t["day"].cast("timestamp_ntz")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = REGISTRY["b6_hash_diff"](spark, str(tmp_path))
+    assert "lineitem" not in _plan(got)  # the sums per date are read, not made twice
+    assert sorted((str(r[0]), *r[1:]) for r in got.collect()) == [
+        ("1994-01-01", 1, 0, 0, 0, False), ("1996-01-01", 1, 1, 1, 2, True), ("1997-02-01", 1, 0, 0, 0, False)]
+    old = spark.createDataFrame([("d", "a", 1), ("d", "a", 1), ("d", None, 2), (None, "b", 3)], "day string, k string, v int")
+    new = spark.createDataFrame([("d", "a", 1), ("d", "a", 4), ("d", None, 2), (None, "b", None)], "day string, k string, v int")
+    diff = sinks.hash_diff(old, new, "day", ["k"], ["k", "v"])
+    assert "unhex" in diff._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["day"], r["k"]): tuple(r)[2:] for r in diff.collect()} == {("d", "a"): (1, 1, 0, 0), ("d", None): (1, 0, 0, 0), (None, "b"): (0, 1, 0, 0)}
