@@ -163,3 +163,29 @@ def test_the_first_of_texts_with_one_id_is_learnt(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, label int")
     one, two = X.fit(docs.repartition(5), labels), X.fit(spark.createDataFrame(a, "doc_id long, text string"), labels)
     assert (one.embed == two.embed).all() and (one.out == two.out).all()
+
+
+def test_every_labelled_row_is_learnt(spark):
+    """A word that tells a label only in rows beyond the first shard is learnt as well."""
+    rng = np.random.default_rng(8)
+    texts, y = [], []
+    for i in range(900):
+        toxic = int(i % 3 == 0)
+        texts.append(" ".join([*rng.choice(["one", "two", "three"], 5), f"{'vile' if toxic else 'kind'}{i % 15:02d}x"]))
+        y.append(toxic)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, label int")
+    seen = []
+    held = X._weights
+    try:
+        X._weights = lambda counts, share, rng: (seen.append((counts.copy(), share)), held(counts, share, rng))[1]
+        model = X.fit(docs, labels, rows=100)
+    finally:
+        X._weights = held
+    # The starting weights of the shards count each row but those kept for the thresholds, which are about a quarter.
+    words = X.Words()
+    counts, share = seen[0]
+    least = sum(counts[:, words.ids(f"{w}{i:02d}x")[0, 0]].sum() for w, i in [("vile", k) for k in range(0, 15, 3)] + [("kind", k) for k in range(15) if k % 3])
+    assert 900 * 0.7 <= least <= 900 * 0.75 and share == pytest.approx(1 / 3, abs=0.05)
+    got = docs.select("doc_id", X.scorer(model)("text").alias("s")).toPandas().sort_values("doc_id")
+    assert ((got["s"] >= 0.5).astype(int).to_numpy() == np.array(y)).mean() > 0.99
