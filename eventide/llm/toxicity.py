@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +41,7 @@ PIECES = 1 + len(STEMS)
 WIDTHS = (1, 2, 3)
 FILTERS = 8  # per width
 EPOCHS = 8
-PASSES = 4  # least number of passes of many shards; each has more steps than one of a single shard
+PASSES = 3  # least number of passes of many shards; each has more steps than one of a single shard
 STEPS = 256  # logits of many shards are rounded to so many a unit
 BLOCKS = 16  # parts in which the models of the shards are added up
 BATCH = 32
@@ -299,13 +300,13 @@ def _shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _opened(batches, keep: bool):
-    """Number, texts and labels of each shard, and which rows are kept for the thresholds."""
-    for pdf in batches:
-        for r in pdf.itertuples():
-            ends = np.cumsum(np.frombuffer(r.length, np.int64) // (2 * PIECES))[:-1]
-            ids = np.frombuffer(r.ids, np.uint16).astype(np.int32).reshape(-1, PIECES)
-            y = np.frombuffer(r.label, np.float32)
-            yield r.shard, np.split(ids, ends), y, (np.arange(len(y)) % CALIBRATION == 0) & keep
+    """Number, texts and labels of each shard, and which rows are kept for the thresholds; nothing is copied."""
+    for batch in batches:
+        for shard, label, length, ids in zip(*(batch.column(c) for c in ("shard", "label", "length", "ids"))):
+            ends = np.cumsum(np.frombuffer(length.as_buffer(), np.int64) // (2 * PIECES))[:-1]
+            pieces = np.frombuffer(ids.as_buffer(), np.uint16).reshape(-1, PIECES)
+            y = np.frombuffer(label.as_buffer(), np.float32)
+            yield shard.as_py(), np.split(pieces, ends), y, (np.arange(len(y)) % CALIBRATION == 0) & keep
 
 
 def _chosen(texts: list[np.ndarray], mask: np.ndarray) -> list[np.ndarray]:
@@ -315,9 +316,10 @@ def _chosen(texts: list[np.ndarray], mask: np.ndarray) -> list[np.ndarray]:
 _PART = "shard long, block long, part binary"
 
 
-def _blocks(shard: int, values: np.ndarray) -> pd.DataFrame:
+def _blocks(shard: int, values: np.ndarray) -> pa.RecordBatch:
     parts = [p.tobytes() for p in np.array_split(values.astype(np.float64), BLOCKS)]
-    return pd.DataFrame({"shard": shard, "block": range(BLOCKS), "part": parts})
+    return pa.RecordBatch.from_pydict({
+        "shard": pa.array([shard] * BLOCKS, pa.int64()), "block": pa.array(range(BLOCKS), pa.int64()), "part": pa.array(parts, pa.binary())})
 
 
 def _add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -333,7 +335,7 @@ def _added(shards: DataFrame, values) -> np.ndarray:
         for shard, texts, y, kept in _opened(batches, True):
             yield _blocks(shard, values(shard, texts, y, kept))
 
-    parts = shards.mapInPandas(each, _PART).groupBy("block").applyInPandas(_add, _PART).collect()
+    parts = shards.mapInArrow(each, _PART).groupBy("block").applyInPandas(_add, _PART).collect()
     return np.concatenate([np.frombuffer(r["part"]) for r in sorted(parts, key=lambda r: r["block"])])
 
 
@@ -378,7 +380,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int =
         return empty
     count = max(1, -(-n // rows))
     dealt = rows_.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(count)))
-    shards = land(dealt.repartition(count, "shard").groupBy("shard").applyInPandas(_shard, _SHARD), "toxicity-shards")
+    shards = land(dealt.repartition(4 * count if count > 1 else 1, "shard").groupBy("shard").applyInPandas(_shard, _SHARD), "toxicity-shards")
     drop(rows_)
     used, hits = _added(shards, lambda _, texts, y, kept: np.array([(~kept).sum(), y[~kept].sum()] + [0] * BLOCKS))[:2]
     keep = 0 < hits < used
@@ -406,11 +408,12 @@ def _calibrate(model: Model, shards: DataFrame, rounded: bool) -> None:
         words = Words()
         for _, texts, y, kept in _opened(batches, True):
             own = _chosen(texts, kept)
-            yield pd.DataFrame({"language": [words.language(t) for t in own], "logit": [model.logit(t) for t in own],
-                                "label": y[kept].astype(int)})
+            yield pa.RecordBatch.from_pydict({
+                "language": pa.array([words.language(t) for t in own], pa.int32()),
+                "logit": pa.array([model.logit(t) for t in own], pa.float64()), "label": pa.array(y[kept].astype(np.int32))})
 
     value = F.round(F.col("logit") * STEPS) / STEPS if rounded else F.col("logit")
-    bins = shards.mapInPandas(each, "language int, logit double, label int").groupBy(
+    bins = shards.mapInArrow(each, "language int, logit double, label int").groupBy(
         "language", value.alias("logit")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic")).orderBy(
         "language", "logit").collect()
     language, logits, n, toxic = (np.array([r[i] for r in bins]) for i in range(4))
