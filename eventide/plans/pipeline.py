@@ -31,7 +31,7 @@ from ..schemas import (
     TRADE_MOVEMENTS_CONTRACT,
     Contract,
 )
-from ..session import together
+from ..session import brief_shuffles, in_part, part_count, together
 from ..sources import versions
 from ..sources.sinks import (
     changed_dates,
@@ -82,11 +82,13 @@ def _load(change: versions.Change, mapped: DataFrame, contract: Contract, paths:
     if business_date is not None:
         mapped = for_date(mapped, day, business_date)
     good, rejects = split_valid(mapped, contract)
-    good = add_audit(good, source, HASH_KEYS[(table, generation)], load_ts)
+    n = part_count(mapped)
+    parts = [split_valid(mapped.filter(in_part(contract.columns[0].name, i, n)), contract)[0] for i in range(n)] if n > 1 else [good]
+    audit = partial(add_audit, source=source, key_cols=HASH_KEYS[(table, generation)], load_ts=load_ts)
     loaded = [business_date] if business_date is not None else []
     undated = [None] if business_date is None else []
     written = together(
-        mapped.sparkSession, lambda: change.replace(table, paths.table(table), good, day, loaded),
+        mapped.sparkSession, lambda: change.replace(table, paths.table(table), parts, day, loaded, finish=audit),
         lambda: change.replace(f"{table}_rejects", paths.table(f"{table}_rejects"), rejects, day, loaded + undated, flat=True))
     dates = sorted({*loaded, *written[0], *written[1]} - {versions.NO_DATE})
     for name in (table, f"{table}_rejects"):
@@ -286,7 +288,8 @@ def publish_dates(spark: SparkSession, paths: Paths, guard: bool = True, all_run
     """Export every date (of ``dates``, if given) whose gate allows it, as ``dt=<date>`` partitions.
 
     All three tables are written aside first; the dates appear when every file is there.
-    A table of which no date is allowed gets an empty folder.
+    A table of which no date is allowed gets an empty folder. The stored files hold one date
+    each, so they are exported as they are read, without a shuffle.
     """
     allowed = None
     if guard:
@@ -300,7 +303,6 @@ def publish_dates(spark: SparkSession, paths: Paths, guard: bool = True, all_run
         if allowed is not None:
             rows = rows.join(allowed.withColumnRenamed("business_date", "dt"), "dt", "left_semi")
         draft, target = f"{drafts}/{table}", paths.export(f"{_folder(table)}/{table}")
-        rows = rows.hint("rebalance", "dt")
         if fmt == "parquet":
             rows.write.partitionBy("dt").parquet(draft)
         else:
@@ -337,23 +339,25 @@ def run_d1(
 
     Only the dates loaded are checked and published, whatever else the warehouse holds.
     """
-    with versions.Change(spark, paths.root) as change:  # trades, positions and rejects change together
-        loaded, positions = together(
-            spark, lambda: load_trades(trades, paths, business_date, generation, load_ts=load_ts, change=change),
-            lambda: load_positions(drvt, cash, paths, business_date, generation, load_ts=load_ts, change=change))
-    dates = sorted({*loaded["dates"], *positions["dates"]})
-    src = {"trades": trades, "drvt": drvt, "cash": cash}
-    verdict = quality_gate(spark, paths, src, run_id, load_ts, business_date, generation, gate_mode, dates)
-    if business_date is None:
-        publish_dates(spark, paths, guard, dates=dates)
-        if guard:
-            allowed = Q.publish_guard(read_table(spark, paths, "dq_results")).filter("publish_allowed")
-            verdict = verdict.join(allowed.select("business_date", F.lit(True).alias("_out")), "business_date", "left")
+    with brief_shuffles(spark):
+        with versions.Change(spark, paths.root) as change:  # trades, positions and rejects change together
+            loaded, positions = together(
+                spark, lambda: load_trades(trades, paths, business_date, generation, load_ts=load_ts, change=change),
+                lambda: load_positions(drvt, cash, paths, business_date, generation, load_ts=load_ts, change=change))
+        dates = sorted({*loaded["dates"], *positions["dates"]})
+        src = {"trades": trades, "drvt": drvt, "cash": cash}
+        verdict = quality_gate(spark, paths, src, run_id, load_ts, business_date, generation, gate_mode, dates)
+        if business_date is None:
+            publish_dates(spark, paths, guard, dates=dates)
         else:
-            verdict = verdict.withColumn("_out", F.lit(True))
-    else:
-        done = publish(spark, paths, business_date, guard)
+            done = publish(spark, paths, business_date, guard)
+    if business_date is not None:
         verdict = verdict.withColumn("_out", F.lit(done["status"] == "success"))
+    elif guard:
+        allowed = Q.publish_guard(read_table(spark, paths, "dq_results")).filter("publish_allowed")
+        verdict = verdict.join(allowed.select("business_date", F.lit(True).alias("_out")), "business_date", "left")
+    else:
+        verdict = verdict.withColumn("_out", F.lit(True))
     counts = [
         versions.read(spark, paths.root, t, dates).groupBy(
             F.col(DATE_COLUMN[t]).alias("business_date")).agg(F.count(F.lit(1)).alias(f"{t}_rows"))

@@ -25,7 +25,7 @@ from ..schemas import (
     TRADE_MOVEMENTS_CONTRACT,
     schema,
 )
-from ..session import materialise, prepare, scratch_dir
+from ..session import materialise, materialise_parts, prepare, scratch_dir
 from ..sources import driver_tables as V, readers, sinks, versions
 from ..streaming import alerts
 from . import pipeline as P
@@ -946,8 +946,8 @@ def _(spark, d):
 @query("j11_run_d1_g2")
 def _(spark, d):
     paths = P.Paths(scratch_dir(spark, "j11-g2"))
-    trades, _ = materialise(M.map_trades_g1(V.src_trade_movements(spark, d)).withColumn(
-        "business_date", F.col("trade_dt")), "j11-g2-trades")
+    trades, _ = materialise_parts([M.map_trades_g1(part).withColumn("business_date", F.col("trade_dt"))
+                                   for part in V.src_trade_parts(spark, d)], "j11-g2-trades")
     drvt, cash = M.map_drvt_positions(V.src_drvt_positions(spark, d)), M.map_cash_positions(V.src_cash_positions(spark, d))
     return P.run_d1(
         spark, paths, trades, drvt.withColumn("business_date", F.col("position_date")),

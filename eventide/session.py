@@ -5,16 +5,21 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
 _MADE: dict[str, None] = {}  # scratch folders of this process, oldest first
 
+# Files are worked on in parts of at least so many bytes, and in at most so many parts.
+PART_BYTES, MOST_PARTS = 32 << 20, 4
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the runtime settings the operators' meaning depends on."""
@@ -67,6 +72,59 @@ def materialise(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     return spark.read.schema(df.schema).parquet(path), int(seen.get["rows"])
 
 
+def materialise_parts(parts: list[DataFrame], label: str) -> tuple[DataFrame, int]:
+    """Like :func:`materialise`, for a frame given in parts, which are written one after the other.
+
+    The files of each part's shuffles go before the next part begins.
+    """
+    spark, layout = parts[0].sparkSession, parts[0].schema
+    path, rows = scratch_dir(spark, label), 0
+    with brief_shuffles(spark):
+        for part in parts:
+            seen = Observation()
+            part.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append").option("compression", "zstd").parquet(path)
+            rows += int(seen.get["rows"])
+    return spark.read.schema(layout).parquet(path), rows
+
+
+# --- work in parts ----------------------------------------------------------
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, a query's shuffle files go when it ends.
+
+    Otherwise they stay until the driver happens to collect its garbage, so that a job of many
+    steps holds all their shuffles at once. A frame must not be executed twice inside: its
+    stages would run again.
+    """
+    old = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if old is None else spark.conf.set(SHUFFLE_CLEANUP, old)
+
+
+def part_count(df: DataFrame) -> int:
+    """In how many parts to work on ``df``: every part reads its files again, but only one
+    part's shuffle is on disk at a time.
+
+    Whatever is not read straight from the files of one table stays whole, since every part
+    would repeat its joins, and so does what may change from one reading to the next.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    steady = plan.deterministic()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    if not steady or plan.nodeName() != "LogicalRelation" or "HadoopFsRelation" not in plan.relation().getClass().getName():
+        return 1
+    size = int(str(plan.stats().sizeInBytes()))
+    return max(1, min(MOST_PARTS, -(-size // PART_BYTES)))
+
+
+def in_part(key: str, i: int, n: int) -> Column:
+    """Whether a row is in the ``i``-th of ``n`` parts; every row is in one, those without a key too."""
+    return F.pmod(F.xxhash64(key), F.lit(n)) == i
+
 
 def together(spark: SparkSession, *steps: Callable):
     """Results of independent steps whose jobs run at the same time, in order.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import uuid_from
 from ..schemas import JOB_SLA_SECONDS
+from ..session import in_part, part_count
 
 RAW_TRADE_COLUMNS = [
     "trade_id", "order_id", "ticker", "trade_time", "price", "quantity",
@@ -31,10 +32,12 @@ def _with_nation(df: DataFrame, nation: DataFrame, key: str, out: str) -> DataFr
     return df.join(names, key)
 
 
-def raw_trades(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Trades: one row per line item, repeated ids included."""
+def raw_trades(spark: SparkSession, sf_dir: str, *columns: str, part: tuple[int, int] | None = None) -> DataFrame:
+    """Trades: one row per line item, repeated ids included. ``part`` (i of n) keeps those of some orders."""
     wanted = list(columns) or RAW_TRADE_COLUMNS
     line = table(spark, sf_dir, "lineitem")
+    if part is not None:
+        line = line.filter(in_part("l_orderkey", *part))
     if "returnflag" in wanted:
         line = line.withColumn("returnflag", F.col("l_returnflag"))
     nation = table(spark, sf_dir, "nation")
@@ -98,10 +101,10 @@ def raw_participant_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return participant_positions(trades)
 
 
-def src_trade_movements(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+def src_trade_movements(spark: SparkSession, sf_dir: str, *columns: str, part: tuple[int, int] | None = None) -> DataFrame:
     """Source-layer trades: price at six decimals, settlement in two days.
 
-    Only what the given columns need (all by default) is read and joined.
+    Only what the given columns need (all by default) is read and joined, and only ``part`` (i of n) of the orders.
     """
     made = {
         "trade_id": (["trade_id"], F.col("trade_id")),
@@ -118,7 +121,14 @@ def src_trade_movements(spark: SparkSession, sf_dir: str, *columns: str) -> Data
     }
     chosen = {c: made[c] for c in columns or made}
     needed = list(dict.fromkeys(x for inputs, _ in chosen.values() for x in inputs))
-    return raw_trades(spark, sf_dir, *needed).select(*[value.alias(c) for c, (_, value) in chosen.items()])
+    return raw_trades(spark, sf_dir, *needed, part=part).select(*[value.alias(c) for c, (_, value) in chosen.items()])
+
+
+def src_trade_parts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """``src_trade_movements`` in parts that hold every row once: their three joins shuffle
+    several times what the tables take up, so a large table is joined some orders at a time."""
+    n = part_count(table(spark, sf_dir, "lineitem"))
+    return [src_trade_movements(spark, sf_dir, part=(i, n) if n > 1 else None) for i in range(n)]
 
 
 def src_drvt_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
