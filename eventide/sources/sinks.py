@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -198,9 +200,10 @@ def violations(contract: Contract) -> Column:
 def split_valid(df: DataFrame, contract: Contract) -> tuple[DataFrame, DataFrame]:
     """Rows that fit the contract, cast to its types, and the rejected rows with
     their reasons. Nothing is dropped: every input row is in one of the two."""
-    checked = df.withColumn("reject_reasons", violations(contract))
+    # The reasons are listed for rejected rows only: arrays of all rows would be most of a load's work.
+    rejected = reduce(lambda a, b: a | b, [F.coalesce(broken, F.lit(False)) for _, broken in rule_predicates(contract)], F.lit(False))
     types = {c.name: c.type for c in contract.columns}
-    good = checked.filter(F.size("reject_reasons") == 0).select(
+    good = df.filter(~rejected).select(
         *[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns]
     )
-    return good, checked.filter(F.size("reject_reasons") > 0)
+    return good, df.filter(rejected).withColumn("reject_reasons", violations(contract))
