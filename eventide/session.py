@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +51,13 @@ def discard(spark: SparkSession, *paths: str) -> None:
         if path in _MADE:
             del _MADE[path]
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            try:
+                files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+            except Py4JJavaError as exc:
+                if "ClassNotFoundException" not in str(exc.java_exception):
+                    raise
+                continue  # this session has no such file system, so nothing was written there
+            files.delete(folder, True)
 
 
 def clear_scratch(spark: SparkSession) -> int:
